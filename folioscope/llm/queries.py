@@ -5,9 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm.common import table
+from folioscope.llm.decontaminate import contamination_digests
 from folioscope.llm.line_dedup import line_digests
+from folioscope.llm.quality import judge
+from folioscope.llm.simhash import hex_fingerprint, near_duplicates
+
+
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents"), radius=2, shingle=3)
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination_digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"), width=10)
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.array_join("rejected_by", ",").alias("rejected_by"),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,7 +43,10 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op8_line_dedup": op8_line_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
