@@ -11,6 +11,7 @@ from folioscope.llm.common import table
 from folioscope.llm.decontaminate import contamination_digests
 from folioscope.llm.line_dedup import line_digests
 from folioscope.llm.quality import judge
+from folioscope.llm.secrets import secret_digests
 from folioscope.llm.simhash import hex_fingerprint, near_duplicates
 
 
@@ -38,6 +39,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digests(table(spark, folder, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_digests(table(spark, folder, "documents"), min_docs=10)
 
@@ -45,6 +50,7 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
     "op8_line_dedup": op8_line_dedup,
     "op10_quality": op10_quality,
 }

@@ -19,7 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, sha256_hex
@@ -91,8 +91,6 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def _spans(pieces: DataFrame) -> DataFrame:
     """Ends are running sums over one blob's matches of one rule, so a text's length bounds each window."""
-    from pyspark.sql import Window
-
     running = Window.partitionBy("blob_id", "kind", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap") + F.col("m.n")).over(running).cast("int")
     return (
@@ -166,10 +164,13 @@ def secret_digests(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
         "found", F.coalesce("found", F.array().cast("array<struct<start:int,k:int,kind:string,end:int>>"))
     )
     text = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    count = {r.kind: F.size(F.filter("found", lambda s, k=r.kind: s["kind"] == k)).cast("long") for r in RULES}
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
     return found.select(
         "doc_id",
-        *(n.alias(f"n_{kind}") for kind, n in count.items()),
+        *(count(r.kind).alias(f"n_{r.kind}") for r in RULES),
         sha256_hex(text).alias("base_sha256"),
         text.alias("spans"),
         "blob_id",
