@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm.chat import chats
 from folioscope.llm.common import table
 from folioscope.llm.decontaminate import contamination_digests
+from folioscope.llm.licenses import scan_licences
 from folioscope.llm.line_dedup import line_digests
+from folioscope.llm.mixing import Mix, select_tokens
 from folioscope.llm.quality import judge
 from folioscope.llm.secrets import secret_digests
 from folioscope.llm.simhash import hex_fingerprint, near_duplicates
+from folioscope.llm.warc import round_trip
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +24,29 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(table(spark, folder, "pages"), min_bytes=0)
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return select_tokens(table(spark, folder, "documents"), Mix()).drop("row_key")
+
+
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chats(table(spark, folder, "conversations")).withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
+def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licences(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join("licences", ",").alias("licences"),
+        "spans",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        "n_unknown",
+    )
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return contamination_digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"), width=10)
 
@@ -49,6 +76,10 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
+    "op3_mixing": op3_mixing,
+    "op4_chat": op4_chat,
+    "op5_licences": op5_licences,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_line_dedup": op8_line_dedup,
