@@ -16,6 +16,7 @@ from folioscope.llm.mixing import Mix, select_tokens
 from folioscope.llm.quality import judge
 from folioscope.llm.secrets import secret_digests
 from folioscope.llm.simhash import hex_fingerprint, near_duplicates
+from folioscope.llm.suffix_dedup import repeat_digests
 from folioscope.llm.warc import round_trip
 
 
@@ -74,6 +75,10 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_digests(table(spark, folder, "documents"), min_docs=10)
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeat_digests(table(spark, folder, "documents"), width=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op8_line_dedup": op8_line_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
 }
 
