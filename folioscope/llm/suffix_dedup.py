@@ -45,7 +45,7 @@ from folioscope.llm.suffix_sort import room, sorted_suffixes
 GRAM = 16
 PIECE = 1 << 20
 LONGEST_RUN = 64
-HOT = 20_000
+HOT = 500_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -156,7 +156,7 @@ def repeated_names(docs: DataFrame, width: int) -> DataFrame:
 
 def segments(docs: DataFrame, width: int, hot: int) -> DataFrame:
     """``key, segment, doc, row_key, at``: the runs of starts whose names are repeated, with the text that they cover."""
-    names = cut(repeated_names(docs, width))
+    names = written(repeated_names(docs, width), "names")
     hot_names = cut(names.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"))
     n_hot = hot_names.count()
     if n_hot:
