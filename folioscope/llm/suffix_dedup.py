@@ -5,19 +5,20 @@ with a smaller ``doc_id``.  The work is cut into shards that need no merging:
 
 1. every start of a ``width``-byte string is named by the smallest hash among the
    ``GRAM``-byte strings inside it, so equal strings share a name wherever they are;
-2. names found in one document only cannot hold a repeat and are left out; names are
-   range-partitioned with their documents, so a name that a third of all documents
-   share is spread out;
-3. runs of starts with one name become segments; equal segments are merged before
-   they are shuffled to the shard of their name.  Names in more than ``HOT``
-   documents are cut into single strings, which are dealt by their own hash;
-4. each shard sorts the suffixes of its segments in external memory
+2. runs of starts with one name become segments, which each task packs, compressed,
+   into one row for every shard of names: this is the only time that texts move
+   before the result is applied;
+3. a shard leaves out the names found in one document only, merges equal segments,
+   and sorts the suffixes of the others in external memory
    (:mod:`folioscope.llm.suffix_sort`); neighbours whose common prefix reaches
-   ``width`` are equal strings, and the smallest document of each group is noted;
-5. the starts with a smaller document go back to their documents as spans.
+   ``width`` are equal strings, and the smallest document of each group is noted.
+   Where a name has one distinct segment there is nothing to sort;
+4. the starts with a smaller document go back to their documents as spans.
 
-Temporary files of a sort belong to its task and vanish with it, like a spill;
-what outlives a task is in the shared folder.
+A shard is spooled by name into buckets, on disk if it is large; a segment that
+a third of all documents share is one text in its shard.  Temporary files belong
+to their task and vanish with it, like a spill; what outlives a task is in Spark's
+shuffle.
 
 Defined results
 ---------------
@@ -31,32 +32,31 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, written
 from folioscope.llm.suffix_sort import room, sorted_suffixes
 
 GRAM = 16
 PIECE = 1 << 20
-LONGEST_RUN = 64
-HOT = 500_000
+POSITION, POSITION_ABOVE = np.uint64(0xFFFF), np.uint64(0xFFFFFFFFFFFF0000)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def _hashes(raw: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of the ``GRAM`` bytes from each of the first ``n`` positions."""
+    """A 48-bit hash of the ``GRAM`` bytes from each of the first ``n`` positions, above 16 bits of the position."""
     words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     h = words[:n] * MIX[0] + words[8 : 8 + n] * MIX[1]
     h ^= h >> np.uint64(29)
     h *= MIX[2]
-    h ^= h >> np.uint64(32)
-    return h
+    return (h & POSITION_ABOVE) | np.arange(n, dtype=np.uint64) & POSITION
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,12 +69,10 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def named_runs(pieces: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one name in ``(row, offset, bytes)`` pieces: piece, start in it, length and name."""
+    """Runs of starts with one name in ``(row, offset, bytes)`` pieces: the joined bytes, piece, start in them, length and name."""
     raw = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     lengths = np.array([len(p[2]) for p in pieces])
     ends = np.cumsum(lengths)
-    if len(raw) < width:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
     names = _window_min(_hashes(raw, len(raw) - GRAM + 1), width - GRAM + 1)
     piece = np.repeat(np.arange(len(pieces)), lengths)[: len(names)]
     last = ends[piece] - width
@@ -84,12 +82,7 @@ def named_runs(pieces: list[tuple[int, int, bytes]], width: int) -> tuple[np.nda
     first = np.flatnonzero(fresh & (at <= last))
     following = np.append(np.flatnonzero(fresh), len(names))
     stop = np.minimum(following[np.searchsorted(following, first, side="right")], last[first] + 1)
-    parts = -(-(stop - first) // LONGEST_RUN)
-    step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST_RUN
-    begin = np.repeat(first, parts) + step
-    length = np.minimum(np.repeat(stop, parts) - begin, LONGEST_RUN)
-    of = piece[begin]
-    return of, begin - (ends - lengths)[of], length, names[begin].view(np.int64)
+    return raw, piece[first], first, stop - first, (names[first] >> np.uint64(16)).view(np.int64)
 
 
 def _pieces(texts: Iterator[bytes], width: int, limit: int = 2 * PIECE) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -107,131 +100,138 @@ def _pieces(texts: Iterator[bytes], width: int, limit: int = 2 * PIECE) -> Itera
         yield held
 
 
-def _names(docs: DataFrame, width: int) -> DataFrame:
-    """``key, doc``: the names in each document."""
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of one length, bytes of equal weight side by side, compressed."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), 3)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            for held in _pieces((t.as_py() for t in batch.column("raw")), width):
-                of, _, _, key = named_runs(held, width)
-                doc = ids[np.array([p[0] for p in held])[of]]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc)], ["key", "doc"])
-
-    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.select(F.col("doc_id").cast("long").alias("doc"), F.encode("text", "UTF-8").alias("raw")).mapInArrow(
-        run, "key long, doc long"
-    )
 
+def _unsqueeze(data: bytes, *kinds) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(raw) // sum(sizes), [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).reshape(n))
+        at += n * size
+    return out
 
-def repeated_names(docs: DataFrame, width: int) -> DataFrame:
-    """``key, doc`` of the names in two documents or more.
 
-    Partitions are sorted runs of (key, doc).  The names at a partition's edges are
-    let through, since their other documents may lie next door; the sort decides.
-    """
+def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    return raw[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)] if len(size) else raw[:0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known, started = None, None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
-            if held is not None:
-                key, doc = np.insert(key, 0, held[0]), np.insert(doc, 0, held[1])
-            begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-            end = np.append(begin[1:], len(key))
-            many = doc[begin] != doc[end - 1]
-            many[0] |= not started or known == key[0]
-            started = True
-            out = np.repeat(many, end - begin)
-            held, known = (None, key[-1]) if many[-1] else ((key[-1], doc[-1]), None)
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(doc[out])], ["key", "doc"])
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["key", "doc"])
-
-    runs = _names(docs, width).repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
-    return runs.mapInArrow(run, "key long, doc long")
-
-
-def segments(docs: DataFrame, width: int, hot: int) -> DataFrame:
-    """``key, segment, doc, row_key, at``: the runs of starts whose names are repeated, with the text that they cover."""
-    names = written(repeated_names(docs, width), "names")
-    hot_names = cut(names.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"))
-    n_hot = hot_names.count()
-    if n_hot:
-        marks = hot_names.withColumn("hot", F.lit(True))
-        # At most one in ``hot`` names; broadcast only while that is little.
-        names = names.join(F.broadcast(marks) if n_hot <= 100_000 else marks, "key", "left")
-    else:
-        names = names.withColumn("hot", F.lit(None).cast("boolean"))
-    by_doc = names.groupBy("doc").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
+
+def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int = 16 << 20) -> DataFrame:
+    """``shard, docs, runs, text``: the segments that a task has for a shard, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
-            keys, hots = batch.column("keys"), batch.column("hot")
-            for held in _pieces((t.as_py() for t in batch.column("raw")), width):
-                of, start, length, key = named_runs(held, width)
-                row = np.array([p[0] for p in held])[of]
-                keep, burst = np.zeros(len(key), bool), np.zeros(len(key), bool)
-                bounds = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else []
-                for s, e in zip(bounds[:-1], bounds[1:]):
-                    keep[s:e] = np.isin(key[s:e], keys[int(row[s])].values.to_numpy())
-                    if len(hots[int(row[s])]):
-                        burst[s:e] = np.isin(key[s:e], hots[int(row[s])].values.to_numpy())
-                burst &= keep
-                of, start, length, key, row, burst = (x[keep] for x in (of, start, length, key, row, burst))
-                times = np.where(burst, length, 1)
-                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                of, key, row, burst = (np.repeat(x, times) for x in (of, key, row, burst))
-                start, length = np.repeat(start, times) + step, np.where(burst, 1, np.repeat(length, times))
-                texts = [held[o][2][s : s + n + width - 1] for o, s, n in zip(of.tolist(), start.tolist(), length.tolist())]
-                for k in np.flatnonzero(burst).tolist():
-                    key[k] = int.from_bytes(hashlib.blake2b(texts[k], digest_size=8).digest(), "little", signed=True)
-                at = start + np.array([p[1] for p in held], np.int64)[of]
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            raws, doc, row_key, at, start, n, key = (list(x) for x in zip(*held))
+            base = np.cumsum([0, *map(len, raws)])
+            raw = np.concatenate(raws)
+            start = np.concatenate([s + b for s, b in zip(start, base)])
+            doc, row_key, at, n, key = map(np.concatenate, (doc, row_key, at, n, key))
+            shard = key % shards
+            order = np.argsort(shard, kind="stable")
+            bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                mine = order[s:e]
+                text = zstandard.compress(_gather(raw, start[mine], n[mine] + width - 1).tobytes(), 3)
+                d, r = doc[mine], row_key[mine]
+                heads = np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])))
+                times = np.diff(np.append(np.flatnonzero(heads), len(d))).astype(np.int32)
+                owners = _squeeze(d[heads], r[heads], times)
+                runs = _squeeze(np.diff(at[mine], prepend=0), n[mine].astype(np.uint8), key[mine].astype("<i8") // shards)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(texts, pa.binary()), pa.array(ids[row]), pa.array(rows[row]), pa.array(at)],
-                    ["key", "segment", "doc", "row_key", "at"],
+                    [pa.array([shard[mine[0]]], pa.int32()), *(pa.array([x], pa.binary()) for x in (owners, runs, text))],
+                    ["shard", "docs", "runs", "text"],
                 )
 
+        for batch in batches:
+            ids, rows = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
+            for pieces in _pieces((t.as_py() for t in batch.column("raw")), width):
+                raw, of, start, n, key = named_runs(pieces, width)
+                row = np.array([p[0] for p in pieces])[of]
+                begin = np.cumsum([0, *(len(p[2]) for p in pieces[:-1])])
+                at = start - begin[of] + np.array([p[1] for p in pieces])[of]
+                held.append((raw, ids[row], rows[row], at, start, n, key))
+                size += len(raw)
+                if size >= flush_bytes:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
+
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row_key"), F.encode("text", "UTF-8").alias("raw")
     )
-    return texts.join(by_doc, "doc").mapInArrow(run, "key long, segment binary, doc long, row_key long, at long")
-
-
-def shard_groups(shard: Iterator[pa.RecordBatch], width: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For the distinct segments of a shard: row, start, length and smallest document of each run of starts."""
-    file, sizes, docs = tempfile.TemporaryFile(), [], []
-    for batch in shard:
-        column = batch.column("segment")
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint16) + 1
-        size = np.diff(offsets)
-        # A separator, the smallest symbol, after each segment.
-        file.write(np.insert(data, np.cumsum(size), 0).astype(np.uint16).tobytes())
-        sizes.append(size.astype(np.int64) + 1)
-        docs.append(np.column_stack([batch.column(c).to_numpy() for c in ("doc", "last")]))
-    if not sizes:
-        return
-    size, doc = np.concatenate(sizes), np.concatenate(docs)
+    return texts.mapInArrow(run, "shard int, docs binary, runs binary, text binary")
+
+
+class Spool:
+    """Segments by name in buckets; beyond ``memory`` bytes they move to unnamed files."""
+
+    def __init__(self, memory: int, buckets: int = 16):
+        self.memory, self.held = memory, 0
+        self.parts: list[list] = [[] for _ in range(buckets)]
+        self.files: list = [None] * buckets
+
+    def add(self, name: np.ndarray, columns: tuple[np.ndarray, ...], start: np.ndarray, size: np.ndarray, text: np.ndarray) -> None:
+        bucket = name % len(self.parts)
+        for b in np.unique(bucket).tolist():
+            mine = np.flatnonzero(bucket == b)
+            part = (name[mine], *(c[mine] for c in columns), size[mine], _gather(text, start[mine], size[mine]))
+            self.parts[b].append(part)
+            self.held += sum(x.nbytes for x in part)
+        if self.held > self.memory:
+            for b, parts in enumerate(self.parts):
+                self.files[b] = self.files[b] or tempfile.TemporaryFile()
+                for part in parts:
+                    pickle.dump(part, self.files[b], protocol=5)
+                parts.clear()
+            self.held = 0
+
+    def __iter__(self) -> Iterator[list[np.ndarray]]:
+        for b, file in enumerate(self.files):
+            parts = self.parts[b]
+            if file is not None:
+                file.seek(0)
+                earlier = []
+                while True:
+                    try:
+                        earlier.append(pickle.load(file))
+                    except EOFError:
+                        break
+                parts = earlier + parts
+                file.close()
+            if parts:
+                yield [np.concatenate(c) for c in zip(*parts)]
+            self.parts[b] = []
+
+
+def sorted_groups(segments: list[bytes], doc: np.ndarray, last: np.ndarray, width: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, start, length and smallest document of each run of starts in distinct segments.
+
+    ``doc`` and ``last`` are the smallest and largest documents of each; runs that no document can lose are left out.
+    """
+    size = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
     n, begin = int(size.sum()), np.cumsum(size) - size
-    file.flush()
-    if 2 * n > memory:
-        text = np.memmap(file, np.uint16, "r", shape=(n,))
-    else:
-        file.seek(0)
-        text = np.frombuffer(file.read(), np.uint16)
+    text = room(n, np.uint16, memory)
+    for s in range(0, len(segments), 1 << 14):
+        # A separator, the smallest symbol, after each segment.
+        data = np.frombuffer(b"".join(segments[s : s + (1 << 14)]), np.uint8).astype(np.uint16) + 1
+        ends = np.cumsum(size[s : s + (1 << 14)] - 1)
+        text[begin[s] : begin[s] + len(data) + len(ends)] = np.insert(data, ends, 0)
     group, least = room(n, np.int64, memory), room(n + 1, np.int64, memory)
     g, none = 0, np.iinfo(np.int64).max
     least[:1] = none
     for position, prefix in sorted_suffixes(text, memory, width):
         of = np.searchsorted(begin, position, side="right") - 1
         whole = position - begin[of] + width < size[of]
-        values = np.where(whole, doc[of, 0], none)
-        fresh = prefix < width
-        mine = g + np.cumsum(fresh)
+        values = np.where(whole, doc[of], none)
+        mine = g + np.cumsum(prefix < width)
         group[position] = mine
         bounds = np.flatnonzero(np.diff(mine, prepend=-1))
         mins = np.minimum.reduceat(values, bounds)
@@ -245,60 +245,108 @@ def shard_groups(shard: Iterator[pa.RecordBatch], width: int, memory: int) -> It
         row = np.repeat(np.arange(s, e), size[s:e])
         at = np.arange(lo, hi) - begin[row]
         first = least[group[lo:hi]]
-        live = (at + width < size[row]) & (first < doc[row, 1])
+        live = (at + width < size[row]) & (first < last[row])
         row, at, first = row[live], at[live], first[live]
-        if not len(row):
-            continue
-        head = np.ones(len(row), bool)
-        head[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1])
-        begins = np.flatnonzero(head)
-        yield row[begins], at[begins], np.diff(np.append(begins, len(row))), first[begins]
-
-
-def smallest_documents(pieces: DataFrame, width: int, memory: int) -> DataFrame:
-    """``a, b, start, n, first``: for segments (by hash), runs of starts and the smallest document that has them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-
-        def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    ids.append(np.column_stack([batch.column(c).to_numpy() for c in ("a", "b")]))
-                    yield batch
-
-        names: np.ndarray | None = None
-        for row, start, n, first in shard_groups(noted(), width, memory):
-            names = np.concatenate(ids) if names is None else names
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[row, 0]), pa.array(names[row, 1]), pa.array(start), pa.array(n), pa.array(first)],
-                ["a", "b", "start", "n", "first"],
-            )
-
-    once = pieces.groupBy("key", "segment").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
-    return once.repartition("key").select("segment", *_hash(), "doc", "last").mapInArrow(
-        run, "a long, b long, start long, n long, first long"
-    )
-
-
-def _hash():
-    return F.xxhash64("segment").alias("a"), F.xxhash64(F.lit("second"), "segment").alias("b")
-
-
-def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 192 << 20, hot: int = HOT) -> DataFrame:
-    """``doc, row_key, spans``: unmerged byte spans of repeats, for the documents that have any."""
-    if not GRAM + 8 <= width <= 250:
-        raise ValueError(f"width must lie between {GRAM + 8} and 250 bytes")
-    pieces = written(segments(docs, width, hot), "segments")
-    firsts = smallest_documents(pieces, width, memory)
-    placed = pieces.select(*_hash(), "doc", "row_key", "at").join(firsts, ["a", "b"]).where("first < doc")
-    begin = F.col("at") + F.col("start")
-    return placed.groupBy("doc", "row_key").agg(
-        F.collect_list(F.struct(begin.alias("s"), (begin + F.col("n") - 1 + width).alias("e"))).alias("spans")
+        if len(row):
+            head = np.ones(len(row), bool)
+            head[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1])
+            begins = np.flatnonzero(head)
+            yield row[begins], at[begins], np.diff(np.append(begins, len(row))), first[begins]
+
+
+def bucket_spans(bucket: list[np.ndarray], width: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Document, row key, begin and end of the repeats among a bucket's segments."""
+    name, doc, row_key, at, size, text = bucket
+    begin = np.cumsum(size) - size
+    order = np.argsort(name, kind="stable")
+    heads = np.flatnonzero(np.diff(name[order], prepend=name[order[0]] - 1))
+    counts = np.diff(np.append(heads, len(order)))
+    many = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
+    mine = order[np.repeat(many, counts)]
+    if not len(mine):
+        return
+    raw, known = text.tobytes(), {}
+    # In order of names, so the distinct segments of a name are numbered in a row.
+    which = np.fromiter(
+        (known.setdefault(raw[b : b + s], len(known)) for b, s in zip(begin[mine].tolist(), size[mine].tolist())), np.int64, len(mine)
     )
+    distinct = list(known)
+    low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
+    np.minimum.at(low, which, doc[mine])
+    np.maximum.at(high, which, doc[mine])
+    named = np.empty(len(distinct), np.int64)
+    named[which] = name[mine]
+    _, inverse, kinds = np.unique(named, return_inverse=True, return_counts=True)
+    single = kinds[inverse] == 1
+    sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    alone, varied = np.flatnonzero(single & (low < high)), np.flatnonzero(~single)
+    found = [(alone, np.zeros(len(alone), np.int64), sizes[alone] - width + 1, low[alone])]
+    if len(varied):
+        groups = sorted_groups([distinct[i] for i in varied.tolist()], low[varied], high[varied], width, memory)
+        found += [(varied[row], start, n, first) for row, start, n, first in groups]
+    row, start, n, first = (np.concatenate(x) for x in zip(*found))
+    by_row = np.argsort(row, kind="stable")
+    row, start, n, first = row[by_row], start[by_row], n[by_row], first[by_row]
+    lo, hi = np.searchsorted(row, which), np.searchsorted(row, which, side="right")
+    for s in range(0, len(mine), 1 << 18):
+        times = (hi - lo)[s : s + (1 << 18)]
+        where = np.repeat(mine[s : s + (1 << 18)], times)
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[s : s + (1 << 18)], times)
+        lost = first[k] < doc[where]
+        where, k = where[lost], k[lost]
+        yield doc[where], row_key[where], at[where] + start[k], at[where] + start[k] + n[k] - 1 + width
+
+
+def _span_rows(spans: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    doc, row_key, begin, end = (np.concatenate(x) for x in zip(*spans))
+    order = np.lexsort((begin, row_key, doc))
+    doc, row_key, begin, end = doc[order], row_key[order], begin[order], end[order]
+    heads = np.flatnonzero(np.concatenate(([len(doc) > 0], (doc[1:] != doc[:-1]) | (row_key[1:] != row_key[:-1]))))
+    offsets = pa.array(np.append(heads, len(doc)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (begin, end)]
+    return pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(row_key[heads]), *lists], ["doc", "row_key", "s", "e"])
+
+
+def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 64 << 20, shards: int | None = None) -> DataFrame:
+    """``doc, row_key, s, e``: begins and ends, by twos, of unmerged byte spans of repeats, for the documents that have any.
+
+    Begins and ends come in lists of lists, one for each shard.
+    """
+    if not GRAM + 8 <= width <= 200:
+        raise ValueError(f"width must lie between {GRAM + 8} and 200 bytes")
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spool = Spool(memory)
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc, row_key, times = _unsqueeze(row["docs"], np.int64, np.int64, np.int32)
+                step, n, name = _unsqueeze(row["runs"], np.int64, np.uint8, np.int64)
+                text = np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
+                size = n.astype(np.int64) + width - 1
+                name = name * shards + row["shard"]
+                start = np.cumsum(size) - size
+                spool.add(name // shards, (np.repeat(doc, times), np.repeat(row_key, times), np.cumsum(step)), start, size, text)
+        spans: list[tuple[np.ndarray, ...]] = []
+        for bucket in spool:
+            for part in bucket_spans(bucket, width, memory):
+                spans.append(part)
+                if sum(len(p[0]) for p in spans) >= 1 << 21:
+                    yield _span_rows(spans)
+                    spans = []
+        if spans:
+            yield _span_rows(spans)
+
+    packed = packed_segments(docs, width, shards).repartitionById(shards, "shard")
+    rows = packed.mapInArrow(run, "doc long, row_key long, s array<int>, e array<int>")
+    return rows.groupBy("doc", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+
+def _pairs(spans: list) -> Iterator[tuple[int, int]]:
+    return (p for x in spans for p in zip(x["s"], x["e"]))
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:
@@ -329,7 +377,7 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
 
     @F.udf("string")
     def shorten(text: str, spans: list) -> str:
-        return _kept(text.encode(), _merged([(x["s"], x["e"]) for x in spans])).decode(errors="ignore")
+        return _kept(text.encode(), _merged(_pairs(spans))).decode(errors="ignore")
 
     marked = _with_spans(docs, **options)
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(shorten("text", "_spans"))
@@ -344,7 +392,8 @@ def repeat_digests(docs: DataFrame, **options) -> DataFrame:
         for batch in batches:
             out = []
             for text, spans in zip(batch.column("raw"), batch.column("_spans")):
-                raw, cuts = text.as_py() or b"", _merged([(x["s"], x["e"]) for x in spans.as_py() or ()])
+                raw = zstandard.decompress(text.as_py()) if text.is_valid else b""
+                cuts = _merged(_pairs(spans.as_py() or ()))
                 rest = _kept(raw, cuts)
                 out.append((len(raw), len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), ",".join(f"{s}-{e}" for s, e in cuts)))
             columns = list(zip(*out)) or [()] * 5
@@ -354,7 +403,16 @@ def repeat_digests(docs: DataFrame, **options) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
             )
 
-    marked = _with_spans(docs.select("doc_id", "text"), **options)
-    return marked.select("doc_id", F.encode("text", "UTF-8").alias("raw"), "_spans").mapInArrow(
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            raw = pa.array([None if t is None else coder.compress(t) for t in batch.column("raw").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_doc"), batch.column("_row_key"), raw], ["doc_id", "_doc", "_row_key", "raw"])
+
+    # Texts are compressed before they move to their spans.
+    texts = docs.select("doc_id", F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_row_key"), F.encode("text", "UTF-8").alias("raw"))
+    found = repeated_spans(docs, **options).select(F.col("doc").alias("_doc"), F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans"))
+    packed = texts.mapInArrow(squeeze, f"doc_id {kind}, _doc long, _row_key long, raw binary")
+    return packed.join(found, ["_doc", "_row_key"], "left").select("doc_id", "raw", "_spans").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
     )
