@@ -44,19 +44,19 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.suffix_sort import room, sorted_suffixes
 
-GRAM = 16
+GRAM = 12
 PIECE = 1 << 20
-POSITION, POSITION_ABOVE = np.uint64(0xFFFF), np.uint64(0xFFFFFFFFFFFF0000)
+POSITION = np.uint64(0xFFFF)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def _hashes(raw: np.ndarray, n: int) -> np.ndarray:
-    """A 48-bit hash of the ``GRAM`` bytes from each of the first ``n`` positions, above 16 bits of the position."""
+def _hashes(raw: np.ndarray, at: slice | np.ndarray) -> np.ndarray:
+    """A 48-bit hash, above 16 empty bits, of the ``GRAM`` bytes from each position ``at``."""
     words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    h = words[:n] * MIX[0] + words[8 : 8 + n] * MIX[1]
+    h = words[: len(raw) - GRAM + 1][at] * MIX[0] + words[GRAM - 8 :][at] * MIX[1]
     h ^= h >> np.uint64(29)
     h *= MIX[2]
-    return (h & POSITION_ABOVE) | np.arange(n, dtype=np.uint64) & POSITION
+    return h & ~POSITION
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,11 +69,12 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def named_runs(pieces: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one name in ``(row, offset, bytes)`` pieces: the joined bytes, piece, start in them, length and name."""
+    """Runs of starts with one name in ``(row, offset, bytes)`` pieces: the joined bytes, piece, start in them, length, name and where the named gram is."""
     raw = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     lengths = np.array([len(p[2]) for p in pieces])
     ends = np.cumsum(lengths)
-    names = _window_min(_hashes(raw, len(raw) - GRAM + 1), width - GRAM + 1)
+    hashes = _hashes(raw, slice(None)) | np.arange(len(raw) - GRAM + 1, dtype=np.uint64) & POSITION
+    names = _window_min(hashes, width - GRAM + 1)
     piece = np.repeat(np.arange(len(pieces)), lengths)[: len(names)]
     last = ends[piece] - width
     at = np.arange(len(names))
@@ -82,7 +83,8 @@ def named_runs(pieces: list[tuple[int, int, bytes]], width: int) -> tuple[np.nda
     first = np.flatnonzero(fresh & (at <= last))
     following = np.append(np.flatnonzero(fresh), len(names))
     stop = np.minimum(following[np.searchsorted(following, first, side="right")], last[first] + 1)
-    return raw, piece[first], first, stop - first, (names[first] >> np.uint64(16)).view(np.int64)
+    gram = (names[first] - first.astype(np.uint64)) & POSITION
+    return raw, piece[first], first, stop - first, (names[first] >> np.uint64(16)).view(np.int64), gram.astype(np.uint8)
 
 
 def _pieces(texts: Iterator[bytes], width: int, limit: int = 2 * PIECE) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -128,11 +130,11 @@ def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int =
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            raws, doc, row_key, at, start, n, key = (list(x) for x in zip(*held))
+            raws, doc, row_key, at, start, n, key, gram = (list(x) for x in zip(*held))
             base = np.cumsum([0, *map(len, raws)])
             raw = np.concatenate(raws)
             start = np.concatenate([s + b for s, b in zip(start, base)])
-            doc, row_key, at, n, key = map(np.concatenate, (doc, row_key, at, n, key))
+            doc, row_key, at, n, key, gram = map(np.concatenate, (doc, row_key, at, n, key, gram))
             shard = key % shards
             order = np.argsort(shard, kind="stable")
             bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
@@ -143,7 +145,7 @@ def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int =
                 heads = np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])))
                 times = np.diff(np.append(np.flatnonzero(heads), len(d))).astype(np.int32)
                 owners = _squeeze(d[heads], r[heads], times)
-                runs = _squeeze(np.diff(at[mine], prepend=0), n[mine].astype(np.uint8), key[mine].astype("<i8") // shards)
+                runs = _squeeze(np.diff(at[mine], prepend=0), n[mine].astype(np.uint8), gram[mine])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard[mine[0]]], pa.int32()), *(pa.array([x], pa.binary()) for x in (owners, runs, text))],
                     ["shard", "docs", "runs", "text"],
@@ -152,11 +154,11 @@ def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int =
         for batch in batches:
             ids, rows = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
             for pieces in _pieces((t.as_py() for t in batch.column("raw")), width):
-                raw, of, start, n, key = named_runs(pieces, width)
+                raw, of, start, n, key, gram = named_runs(pieces, width)
                 row = np.array([p[0] for p in pieces])[of]
                 begin = np.cumsum([0, *(len(p[2]) for p in pieces[:-1])])
                 at = start - begin[of] + np.array([p[1] for p in pieces])[of]
-                held.append((raw, ids[row], rows[row], at, start, n, key))
+                held.append((raw, ids[row], rows[row], at, start, n, key, gram))
                 size += len(raw)
                 if size >= flush_bytes:
                     yield from flush()
@@ -321,11 +323,11 @@ def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 64 << 20, sha
         for batch in batches:
             for row in batch.to_pylist():
                 doc, row_key, times = _unsqueeze(row["docs"], np.int64, np.int64, np.int32)
-                step, n, name = _unsqueeze(row["runs"], np.int64, np.uint8, np.int64)
+                step, n, gram = _unsqueeze(row["runs"], np.int64, np.uint8, np.uint8)
                 text = np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
                 size = n.astype(np.int64) + width - 1
-                name = name * shards + row["shard"]
                 start = np.cumsum(size) - size
+                name = (_hashes(text, start + gram) >> np.uint64(16)).view(np.int64)
                 spool.add(name // shards, (np.repeat(doc, times), np.repeat(row_key, times), np.cumsum(step)), start, size, text)
         spans: list[tuple[np.ndarray, ...]] = []
         for bucket in spool:
