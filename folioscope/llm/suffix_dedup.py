@@ -140,7 +140,7 @@ def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int =
             bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
             for s, e in zip(bounds[:-1], bounds[1:]):
                 mine = order[s:e]
-                text = zstandard.compress(_gather(raw, start[mine], n[mine] + width - 1).tobytes(), 3)
+                text = zstandard.compress(_gather(raw, start[mine], n[mine] + width - 1).tobytes(), 7)
                 d, r = doc[mine], row_key[mine]
                 heads = np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])))
                 times = np.diff(np.append(np.flatnonzero(heads), len(d))).astype(np.int32)
@@ -406,7 +406,7 @@ def repeat_digests(docs: DataFrame, **options) -> DataFrame:
             )
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdCompressor(level=3)
+        coder = zstandard.ZstdCompressor(level=7)
         for batch in batches:
             raw = pa.array([None if t is None else coder.compress(t) for t in batch.column("raw").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_doc"), batch.column("_row_key"), raw], ["doc_id", "_doc", "_row_key", "raw"])
