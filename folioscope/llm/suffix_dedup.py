@@ -8,7 +8,8 @@ with a smaller ``doc_id``.  The work is cut into shards that need no merging:
 2. runs of starts with one name become segments, which each task packs, compressed,
    into one row for every shard of names: this is the only time that texts move
    before the result is applied;
-3. a shard leaves out the names found in one document only, merges equal segments,
+3. a shard leaves out segments whose gram and the bytes on either side of it are
+   found in one document only, merges equal segments,
    and sorts the suffixes of the others in external memory
    (:mod:`folioscope.llm.suffix_sort`); neighbours whose common prefix reaches
    ``width`` are equal strings, and the smallest document of each group is noted.
@@ -226,11 +227,15 @@ def sorted_groups(segments: list[bytes], doc: np.ndarray, last: np.ndarray, widt
         data = np.frombuffer(b"".join(segments[s : s + (1 << 14)]), np.uint8).astype(np.uint16) + 1
         ends = np.cumsum(size[s : s + (1 << 14)] - 1)
         text[begin[s] : begin[s] + len(data) + len(ends)] = np.insert(data, ends, 0)
+    owner = room(n, np.int32, memory)
+    for s in range(0, len(size), 1 << 14):
+        e = min(len(size), s + (1 << 14))
+        owner[begin[s] : begin[e - 1] + size[e - 1]] = np.repeat(np.arange(s, e, dtype=np.int32), size[s:e])
     group, least = room(n, np.int64, memory), room(n + 1, np.int64, memory)
     g, none = 0, np.iinfo(np.int64).max
     least[:1] = none
     for position, prefix in sorted_suffixes(text, memory, width):
-        of = np.searchsorted(begin, position, side="right") - 1
+        of = owner[position]
         whole = position - begin[of] + width < size[of]
         values = np.where(whole, doc[of], none)
         mine = g + np.cumsum(prefix < width)
@@ -244,7 +249,7 @@ def sorted_groups(segments: list[bytes], doc: np.ndarray, last: np.ndarray, widt
     for s in range(0, len(size), 1 << 14):
         e = min(len(size), s + (1 << 14))
         lo, hi = begin[s], begin[e - 1] + size[e - 1]
-        row = np.repeat(np.arange(s, e), size[s:e])
+        row = owner[lo:hi].astype(np.int64)
         at = np.arange(lo, hi) - begin[row]
         first = least[group[lo:hi]]
         live = (at + width < size[row]) & (first < last[row])
@@ -256,15 +261,38 @@ def sorted_groups(segments: list[bytes], doc: np.ndarray, last: np.ndarray, widt
             yield row[begins], at[begins], np.diff(np.append(begins, len(row))), first[begins]
 
 
+def _wide_names(text: np.ndarray, begin: np.ndarray, size: np.ndarray, gram: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two hashes per segment: of the gram with the bytes before it, and with those after it; zero where they are too few.
+
+    Equal strings that hold the gram agree on half of the other bytes at least on one side.
+    """
+    half = (width - GRAM) // 2
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    out = []
+    for known, start in ((gram >= half, begin + gram - half), (gram + GRAM + half <= size, begin + gram)):
+        start = np.where(known, start, 0)
+        h = np.zeros(len(size), np.uint64)
+        for offset in [*range(0, half + GRAM - 8, 8), half + GRAM - 8]:
+            h = (h ^ words[start + offset]) * MIX[0]
+            h ^= h >> np.uint64(31)
+        out.append(np.where(known, (h * MIX[1]) | np.uint64(1), 0))
+    return out
+
+
 def bucket_spans(bucket: list[np.ndarray], width: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Document, row key, begin and end of the repeats among a bucket's segments."""
-    name, doc, row_key, at, size, text = bucket
+    name, doc, row_key, at, gram, size, text = bucket
     begin = np.cumsum(size) - size
-    order = np.argsort(name, kind="stable")
-    heads = np.flatnonzero(np.diff(name[order], prepend=name[order[0]] - 1))
-    counts = np.diff(np.append(heads, len(order)))
-    many = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
-    mine = order[np.repeat(many, counts)]
+    wide = _wide_names(text, begin, size, gram, width)
+    kept = np.zeros(len(name), bool)
+    for side in wide:
+        order = np.argsort(side, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], side[order][1:] != side[order][:-1])))
+        many = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
+        many &= side[order][heads] != 0
+        kept[order[np.repeat(many, np.diff(np.append(heads, len(order))))]] = True
+    mine = np.flatnonzero(kept)
+    mine = mine[np.argsort(name[mine], kind="stable")]
     if not len(mine):
         return
     raw, known = text.tobytes(), {}
@@ -316,7 +344,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 64 << 20, sha
     """
     if not GRAM + 8 <= width <= 200:
         raise ValueError(f"width must lie between {GRAM + 8} and 200 bytes")
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spool = Spool(memory)
@@ -328,7 +356,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 64 << 20, sha
                 size = n.astype(np.int64) + width - 1
                 start = np.cumsum(size) - size
                 name = (_hashes(text, start + gram) >> np.uint64(16)).view(np.int64)
-                spool.add(name // shards, (np.repeat(doc, times), np.repeat(row_key, times), np.cumsum(step)), start, size, text)
+                spool.add(name // shards, (np.repeat(doc, times), np.repeat(row_key, times), np.cumsum(step), gram.astype(np.int64)), start, size, text)
         spans: list[tuple[np.ndarray, ...]] = []
         for bucket in spool:
             for part in bucket_spans(bucket, width, memory):

@@ -249,7 +249,7 @@ def find_lms(text: np.ndarray, memory: int) -> np.ndarray:
     return out
 
 
-def name_pieces(text: np.ndarray, order: np.ndarray, lms: np.ndarray, memory: int) -> tuple[np.ndarray, int]:
+def name_pieces(text: np.ndarray, order: np.ndarray, lms: np.ndarray, rank: np.ndarray, memory: int) -> tuple[np.ndarray, int]:
     """The names, in text order, of the pieces from each ``lms`` position to the next, and how many there are."""
     names = room(len(lms), np.int64, memory)
     name = -1
@@ -257,7 +257,7 @@ def name_pieces(text: np.ndarray, order: np.ndarray, lms: np.ndarray, memory: in
         stop = min(len(order), start + BLOCK * 4)
         now = np.asarray(order[start:stop])
         last = np.asarray(order[max(0, start - 1) : stop - 1]) if start else np.insert(now[:-1], 0, now[0])
-        i, j = np.searchsorted(lms, now), np.searchsorted(lms, last)
+        i, j = rank[now], rank[last]
 
         def length(k: np.ndarray) -> np.ndarray:
             known = k + 1 < len(lms)
@@ -324,14 +324,15 @@ def sorted_suffixes(text: np.ndarray, memory: int = 64 << 20, cap: int = 0) -> I
     lms = find_lms(text, memory)
     order = room(len(lms), np.int64, memory)
     if len(lms):
-        at = len(lms)
+        at, rank = len(lms), room(len(text), np.int64, memory)
+        rank[:] = -1
+        for s in range(0, len(lms), BLOCK):
+            rank[lms[s : s + BLOCK]] = np.arange(s, min(len(lms), s + BLOCK))
         for position, _ in induce(text, _seeded(text, lms, memory, 0), memory, 0, symbols):
-            inner = position[(position > 0) & (position < len(text) - 1)]
-            k = np.minimum(np.searchsorted(lms, inner), len(lms) - 1)
-            found = inner[lms[k] == inner]
+            found = position[rank[position] >= 0]
             order[at - len(found) : at] = found[::-1]
             at -= len(found)
-        names, kinds = name_pieces(text, order, lms, memory)
+        names, kinds = name_pieces(text, order, lms, rank, memory)
         if kinds < len(lms):
             if len(lms) * 64 <= memory:
                 order[:] = lms[sort_in_memory(names)]
