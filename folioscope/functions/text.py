@@ -1,12 +1,12 @@
 """Text functions as Column expressions; everything stays inside code generation but the NFKC path."""
 
-from __future__ import annotations
-
 import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.config import EXACT_TERMS, SHORT_TERMS, STOPWORDS
 
@@ -39,8 +39,8 @@ def to_ascii(c: Column) -> Column:
     return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), EXPANDED.items(), plain)
 
 
-@F.pandas_udf("string")
-def nfkc(texts):
+@F.pandas_udf(T.StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
     """NFKC, for which Spark has no function; only used where it is asked for."""
     return texts.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None and not t.isascii() else t)
 
@@ -119,8 +119,10 @@ def doi_terms(c: Column) -> Column:
 def exact_terms(c: Column) -> Column:
     """The dictionary phrases in a text, in the dictionary's order, and then its DOIs."""
     padded = F.concat(F.lit(" "), normalize_for_matching(c), F.lit(" "))
-    phrases = F.array_compact(F.array(*(F.when(F.contains(padded, F.lit(f" {t} ")), F.lit(t)) for t in EXACT_TERMS)))
-    return F.array_union(phrases, doi_terms(c))
+    words = F.array(*map(F.lit, EXACT_TERMS))
+    # The text goes through an array of one, so that it is normalised once and not for every phrase.
+    found = F.transform(F.array(padded), lambda p: F.filter(words, lambda w: F.contains(p, F.concat(F.lit(" "), w, F.lit(" ")))))
+    return F.array_union(F.get(found, 0), doi_terms(c))
 
 
 def parse_semicolon_terms(c: Column) -> Column:

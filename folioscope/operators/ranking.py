@@ -104,9 +104,12 @@ def ranked(articles: DataFrame, combined: DataFrame, queries: DataFrame, n: int,
     if n < 1:
         raise FolioscopeError("bad_limit", "n must be at least 1")
     wanted = queries.groupBy("query_id").agg(F.collect_set("dimension").alias("asked"))
-    # Every article meets every query: the query side is checked, and small.
-    wanted = F.broadcast(wanted) if _few(queries) else wanted
-    every = articles.crossJoin(wanted).join(combined, ["query_id", "article_id"], "left")
+    scored = combined.join(articles, "article_id")
+    # Articles without a score all tie at zero, so only the first of them in the order of ties can
+    # show, and at most n that have a score stand before them: 2 n articles are enough.
+    tail = articles.orderBy(F.col("year").desc_nulls_last(), "title", "article_id").limit(2 * n)
+    blank = wanted.select("query_id").crossJoin(F.broadcast(tail)).join(combined.select("query_id", "article_id"), ["query_id", "article_id"], "left_anti")
+    every = scored.unionByName(blank, allowMissingColumns=True).join(wanted, "query_id")
 
     def similarity(d: str) -> Column:
         return F.when(F.array_contains("asked", d), F.round(100 * F.coalesce(F.col(f"s_{d}"), F.lit(0.0)), DIGITS))

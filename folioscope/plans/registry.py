@@ -2,5 +2,455 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.config import DIMENSIONS
+from folioscope.functions import text as X
+from folioscope.operators import ingest, lexical, semantic, validation, versioning
+from folioscope.operators.queries import normalize_weights
+from folioscope.operators.ranking import EXPLAIN_ORDER, Filters, explanation, rank_lexical
+from folioscope.plans import corpus as C
+from folioscope.plans import oracle as O
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+ASKED = ["theme", "purpose", "context"]
+WEIGHTS = normalize_weights(None, ASKED)
+CUSTOM = normalize_weights({"theme": 3.0, "context": 1.0}, ASKED)
+TOP = 20
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = O.sql(sql)
+        return f
+
+    return register
+
+
+# Text functions, over whole documents.
+
+
+@query(f"SELECT doc_id, {O.norm('text')} AS normalized, {O.match('text')} AS matching FROM documents")
+def text_normalize(spark, folder):
+    docs = C.table(spark, folder, "documents")
+    return docs.select("doc_id", X.normalize_text(F.col("text")).alias("normalized"), X.normalize_for_matching(F.col("text")).alias("matching"))
+
+
+@query(f"SELECT doc_id, {O.doi('doi_raw')} AS doi FROM raw")
+def doi_normalize(spark, folder):
+    return C.raw(spark, folder).select("doc_id", X.normalize_doi(F.col("DOI")).alias("doi"))
+
+
+@query(f"SELECT doc_id, {O.authors('authors_raw')} AS authors, replace({O.match('authors_raw')}, ' ', '_') AS authors_id FROM raw")
+def authors_clean(spark, folder):
+    rows = C.raw(spark, folder)
+    return rows.select("doc_id", X.clean_authors(F.col("Authors")).alias("authors"), X.normalize_authors_for_id(F.col("Authors")).alias("authors_id"))
+
+
+@query(f"SELECT doc_id, {O.keywords('author_keywords_raw', 'index_keywords_raw')} AS keywords FROM raw")
+def keywords_clean(spark, folder):
+    return C.raw(spark, folder).select("doc_id", X.clean_keywords(F.col("Keywords A"), F.col("Keywords I")).alias("keywords"))
+
+
+@query("SELECT doc_id, year FROM raw")
+def year_parse(spark, folder):
+    return C.raw(spark, folder).select("doc_id", X.parse_year(F.col("Year")).alias("year"))
+
+
+@query(f"SELECT doc_id, len({O.sentences('abstract_raw')})::INTEGER AS n, array_to_string({O.sentences('abstract_raw')}, ' | ') AS sentences FROM raw")
+def sentence_split(spark, folder):
+    found = X.split_sentences(F.col("Abstract"))
+    return C.raw(spark, folder).select("doc_id", F.size(found).alias("n"), F.array_join(found, " | ").alias("sentences"))
+
+
+@query(f"SELECT doc_id, array_to_string({O.tokens(O.match('text'))}, ' ') AS tokens FROM documents")
+def tokenize(spark, folder):
+    return C.table(spark, folder, "documents").select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id, array_to_string({O.exact_terms('abstract_raw', O.match('abstract_raw'))}, '; ') AS terms FROM raw")
+def exact_terms(spark, folder):
+    return C.raw(spark, folder).select("doc_id", F.array_join(X.exact_terms(F.col("Abstract")), "; ").alias("terms"))
+
+
+@query(f"SELECT doc_id, array_to_string({O.doi_terms('abstract_raw')}, '; ') AS dois FROM raw")
+def doi_terms(spark, folder):
+    return C.raw(spark, folder).select("doc_id", F.array_join(X.doi_terms(F.col("Abstract")), "; ").alias("dois"))
+
+
+# Ingest.
+
+RECORD = "title, authors, abstract, keywords, doi, year, source_title, doi_normalized, title_normalized, authors_normalized"
+
+
+@query(f"SELECT doc_id, {RECORD} FROM rec")
+def canonical_records(spark, folder):
+    return C.records(spark, folder).select(F.col("pos").cast("long").alias("doc_id"), *RECORD.split(", "))
+
+
+@query(f"SELECT doc_id, {O.ARTICLE_ID} AS article_id FROM rec")
+def article_ids(spark, folder):
+    return C.records(spark, folder).select(F.col("pos").cast("long").alias("doc_id"), ingest.article_id().alias("article_id"))
+
+
+@query(f"SELECT doc_id, {O.hashed(*O.CONTENT, *[O.quoted('')] * 5)} AS content_hash FROM rec")
+def content_hash(spark, folder):
+    return C.records(spark, folder).select(F.col("pos").cast("long").alias("doc_id"), ingest.content_hash().alias("content_hash"))
+
+
+MERGED = "pos, title, authors, keywords, doi_normalized, source_title, year, original_rows"
+
+
+def _stages(spark, folder, n):
+    records, out = C.records(spark, folder), []
+    for rule, key in [*ingest.RULES.items(), ("article_id", ingest.article_id)][:n]:
+        records = ingest.collapse(records, key())
+        out.append((rule, records))
+    return out
+
+
+@query(f"SELECT {MERGED} FROM s1")
+def dedup_doi(spark, folder):
+    return _stages(spark, folder, 1)[-1][1].select(*MERGED.split(", "))
+
+
+@query(f"SELECT {MERGED} FROM s2")
+def dedup_title_year(spark, folder):
+    return _stages(spark, folder, 2)[-1][1].select(*MERGED.split(", "))
+
+
+@query(f"SELECT {MERGED} FROM s3")
+def dedup_title_authors(spark, folder):
+    return _stages(spark, folder, 3)[-1][1].select(*MERGED.split(", "))
+
+
+FULL = "title, title_normalized, authors, abstract, keywords, doi, doi_normalized, year, source_title"
+
+
+@query(f"SELECT {O.ARTICLE_ID} AS article_id, {FULL}, {O.hashed(*O.CONTENT, *[O.quoted('')] * 5)} AS content_hash FROM s4")
+def dedup_full(spark, folder):
+    done = ingest.process_records(C.raw(spark, folder), C.COLUMN_MAP, position=F.col("doc_id"))
+    return done.articles.select("article_id", *FULL.split(", "), "content_hash")
+
+
+@query(" UNION ALL ".join(f"SELECT rule, pos AS key, original_rows, original_rows - 1 AS removed_rows FROM {s} WHERE original_rows > 1" for s in ("s1", "s2", "s3", "s4")))
+def duplicate_report(spark, folder):
+    return ingest.duplicate_report(_stages(spark, folder, 4))
+
+
+@query(
+    """SELECT least(a.article_id, b.article_id) AS article_a, greatest(a.article_id, b.article_id) AS article_b, a.year AS year,
+    CASE WHEN a.article_id < b.article_id THEN a.title ELSE b.title END AS title_a, CASE WHEN a.article_id < b.article_id THEN b.title ELSE a.title END AS title_b,
+    round(levenshtein(a.title_normalized, b.title_normalized)::DOUBLE / greatest(length(a.title_normalized), length(b.title_normalized)), 6) AS normalized_distance
+    FROM art a JOIN art b ON a.year IS NOT DISTINCT FROM b.year AND a.article_id < b.article_id AND a.title_normalized <> b.title_normalized
+    AND abs(length(a.title_normalized) - length(b.title_normalized)) <= 0.08 * greatest(length(a.title_normalized), length(b.title_normalized))
+    WHERE levenshtein(a.title_normalized, b.title_normalized) <= 0.08 * greatest(length(a.title_normalized), length(b.title_normalized)) + 1e-9"""
+)
+def near_duplicates(spark, folder):
+    return ingest.near_duplicates(C.articles(spark, folder))
+
+
+# Dimensions and lexical documents.
+
+DIMS = ", ".join(f"{d}_{p}" for d in DIMENSIONS for p in ("text", "source", "confidence"))
+
+
+@query(f"SELECT article_id, {DIMS}, content_hash FROM hashes")
+def dimension_texts(spark, folder):
+    return C.dimension_articles(spark, folder).select("article_id", *DIMS.split(", "), "content_hash")
+
+
+@query(
+    """SELECT article_id, dimension, normalized_text, CASE WHEN len(tokens) = 0 THEN '[]' ELSE '["' || array_to_string(tokens, '","') || '"]' END AS tokens_json,
+    document_length, array_to_string(exact_terms, '; ') AS exact_terms, content_hash FROM docs"""
+)
+def lexical_documents(spark, folder):
+    return lexical.export_lexical_documents(lexical.build_lexical_documents(C.dimension_articles(spark, folder)))
+
+
+def _documents(spark, folder):
+    return lexical.build_lexical_documents(C.dimension_articles(spark, folder))
+
+
+@query("SELECT dimension, article_id, term, tf FROM tf")
+def tf_counts(spark, folder):
+    return lexical.term_counts(_documents(spark, folder))
+
+
+@query("SELECT dimension, term, df FROM dfs")
+def doc_frequency(spark, folder):
+    return lexical.term_counts(_documents(spark, folder)).groupBy("dimension", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query("SELECT dimension, term, df, round(idf, 6) AS idf, round(bm25_idf, 6) AS bm25_idf FROM terms")
+def idf_tables(spark, folder):
+    docs = _documents(spark, folder)
+    terms = lexical.term_table(lexical.term_counts(docs), lexical.corpus_stats(docs))
+    return terms.select("dimension", "term", "df", F.round("idf", 6).alias("idf"), F.round("bm25_idf", 6).alias("bm25_idf"))
+
+
+@query("SELECT dimension, article_id, round(norm, 6) AS norm FROM norms")
+def doc_norms(spark, folder):
+    docs = _documents(spark, folder)
+    counts = lexical.term_counts(docs)
+    return lexical.document_norms(counts, lexical.term_table(counts, lexical.corpus_stats(docs))).withColumn("norm", F.round("norm", 6))
+
+
+@query("SELECT dimension, n, round(avgdl, 6) AS avgdl FROM stats")
+def avg_doc_length(spark, folder):
+    return lexical.corpus_stats(_documents(spark, folder)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+# Scores and ranking.  The index is kept while a query runs, as a user would keep it.
+
+
+def _index(spark, folder):
+    return lexical.build_index(_documents(spark, folder).persist()).persist()
+
+
+def _asked(spark, folder, weights=WEIGHTS):
+    return C.benchmark_queries(spark, folder, weights)
+
+
+@query("SELECT query_id, dimension, article_id, round(tfidf, 6) AS tfidf FROM tscore")
+def tfidf_scores(spark, folder):
+    found = lexical.term_scores(_asked(spark, folder), _index(spark, folder))
+    return found.select("query_id", "dimension", "article_id", F.round("tfidf", 6).alias("tfidf"))
+
+
+@query("SELECT query_id, dimension, article_id, round(bm25_raw, 5) AS bm25_raw FROM tscore")
+def bm25_scores(spark, folder):
+    found = lexical.term_scores(_asked(spark, folder), _index(spark, folder))
+    return found.select("query_id", "dimension", "article_id", F.round("bm25_raw", 5).alias("bm25_raw"))
+
+
+@query("SELECT query_id, dimension, article_id, round(phrase_coverage, 6) AS phrase_coverage FROM pscore")
+def exact_scores(spark, folder):
+    found = lexical.phrase_scores(_asked(spark, folder), _index(spark, folder))
+    return found.withColumn("phrase_coverage", F.round("phrase_coverage", 6))
+
+
+@query("SELECT query_id, dimension, article_id, round(tfidf, 5) AS tfidf, round(bm25, 5) AS bm25, round(exact, 5) AS exact, round(score, 5) AS score FROM dscore")
+def dimension_scores(spark, folder):
+    found = lexical.dimension_scores(_asked(spark, folder), _index(spark, folder))
+    return found.select("query_id", "dimension", "article_id", *(F.round(c, 5).alias(c) for c in ("tfidf", "bm25", "exact", "score")))
+
+
+def _ranking(weights: dict[str, float], where: str = "TRUE", n: int = TOP, source: str = "dscore", ids: str = "qry") -> str:
+    combined = (
+        f"SELECT query_id, article_id, sum(score * CASE dimension {' '.join(f'WHEN {O.quoted(d)} THEN {w!r}::DOUBLE' for d, w in weights.items())} END) AS idx, "
+        + ", ".join(f"max(CASE WHEN dimension = '{d}' THEN score END) AS s_{d}" for d in DIMENSIONS)
+        + f" FROM {source} GROUP BY ALL"
+    )
+    shown = ", ".join(
+        f"round(100 * coalesce(s_{d}, 0), 6) AS similarity_{d}" if weights[d] or d in ASKED else f"NULL::DOUBLE AS similarity_{d}" for d in EXPLAIN_ORDER
+    )
+    scored = (
+        f"SELECT q.query_id, a.*, round(100 * least(1, greatest(0, coalesce(idx, 0))), 6) AS index, {shown} "
+        f"FROM (SELECT DISTINCT query_id FROM {ids}) q CROSS JOIN (SELECT * FROM art WHERE {where}) a "
+        f"LEFT JOIN ({combined}) c ON c.query_id = q.query_id AND c.article_id = a.article_id"
+    )
+    order = "index DESC, similarity_theme DESC NULLS LAST, year DESC NULLS LAST, title, article_id"
+    return (
+        f"SELECT query_id, rank, index, {', '.join(f'similarity_{d}' for d in EXPLAIN_ORDER)}, title, authors, year, "
+        f"CASE WHEN length(doi_normalized) > 0 THEN doi_normalized ELSE doi END AS doi, keywords, source_title, abstract, article_id, "
+        f"{O.explained({d: f'similarity_{d}' for d in EXPLAIN_ORDER})} AS explanation, 'lexical' AS engine "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order})::INTEGER AS rank FROM ({scored})) WHERE rank <= {n}"
+    )
+
+
+def _ranked(spark, folder, weights=WEIGHTS, filters=Filters(), n=TOP):
+    articles = C.dimension_articles(spark, folder)
+    index = lexical.build_index(lexical.build_lexical_documents(articles).persist()).persist()
+    return rank_lexical(articles, index, _asked(spark, folder, weights), filters, n)
+
+
+@query(_ranking(WEIGHTS))
+def rank_lexical_batch(spark, folder):
+    return _ranked(spark, folder)
+
+
+@query(_ranking(CUSTOM))
+def weights_custom(spark, folder):
+    return _ranked(spark, folder, CUSTOM)
+
+
+@query("SELECT * EXCLUDE (query_id) FROM (" + _ranking(WEIGHTS, n=1) + ")")
+def rank_lexical_best(spark, folder):
+    return _ranked(spark, folder, n=1).drop("query_id")
+
+
+QUERIES["rank_lexical"] = rank_lexical_batch
+ORACLE_SQL["rank_lexical"] = ORACLE_SQL["rank_lexical_batch"]
+
+
+@query(_ranking(WEIGHTS, f"year >= 2005 AND year <= 2015 AND contains({O.match('source_title')}, 'src1')"))
+def rank_lexical_filtered(spark, folder):
+    return _ranked(spark, folder, filters=Filters(year_min=2005, year_max=2015, source_title="SRC1"))
+
+
+@query(
+    f"SELECT article_id, {O.explained({'theme': 's1', 'method': 's2', 'data': 's3', 'context': 's4', 'purpose': 's5'})} AS explanation FROM "
+    "(SELECT article_id, CASE WHEN year % 2 = 0 THEN (year % 7)::DOUBLE END AS s1, CASE WHEN year % 3 = 0 THEN (year % 5)::DOUBLE END AS s2, "
+    "CASE WHEN year % 4 = 0 THEN 1.0::DOUBLE END AS s3, CASE WHEN year % 5 = 0 THEN 2.0::DOUBLE END AS s4, CASE WHEN year % 6 = 0 THEN 0.0::DOUBLE END AS s5 FROM art)"
+)
+def explain(spark, folder):
+    year = F.col("year")
+    scores = {
+        "theme": F.when(year % 2 == 0, (year % 7).cast("double")),
+        "method": F.when(year % 3 == 0, (year % 5).cast("double")),
+        "data": F.when(year % 4 == 0, F.lit(1.0)),
+        "context": F.when(year % 5 == 0, F.lit(2.0)),
+        "purpose": F.when(year % 6 == 0, F.lit(0.0)),
+    }
+    return C.articles(spark, folder).select("article_id", explanation(scores).alias("explanation"))
+
+
+def _filter(name: str, filters: Filters, where: str) -> None:
+    def run(spark, folder):
+        return filters.apply(C.articles(spark, folder)).select("article_id", "year", "source_title", "authors", "doi_normalized")
+
+    run.__name__ = name
+    query(f"SELECT article_id, year, source_title, authors, doi_normalized FROM art WHERE {where}")(run)
+
+
+_filter("filter_year", Filters(year_min=2003, year_max=2012), "year BETWEEN 2003 AND 2012")
+_filter("filter_years", Filters(years=(2001, 2007, 2024)), "year IN (2001, 2007, 2024)")
+_filter("filter_source", Filters(source_title="Src1"), f"contains({O.match('source_title')}, 'src1')")
+_filter("filter_authors", Filters(authors="MULLER 3"), f"contains({O.match('authors')}, 'muller 3')")
+_filter("filter_doi", Filters(doi="https://doi.org/10.1000/DOC.7"), "doi_normalized = '10.1000/doc.7'")
+_filter("filter_doi_invalid", Filters(doi="nothing"), "doi_normalized = ''")
+
+
+@query("SELECT article_id FROM art WHERE article_id IN (SELECT article_id FROM art WHERE title_normalized < 'm')")
+def filter_ids(spark, folder):
+    articles = C.articles(spark, folder)
+    return Filters(article_ids=articles.where("title_normalized < 'm'").select("article_id")).apply(articles).select("article_id")
+
+
+# Versions.
+
+
+@query("SELECT * FROM cmp")
+def compare_versions(spark, folder):
+    return versioning.compare_versions(*C.versions(spark, folder))
+
+
+@query("SELECT s.status, count(c.status) AS n_articles FROM (VALUES ('new'), ('modified'), ('unchanged'), ('removed')) s(status) LEFT JOIN cmp c USING (status) GROUP BY 1")
+def compare_summary(spark, folder):
+    return versioning.comparison_summary(versioning.compare_versions(*C.versions(spark, folder))).drop("position")
+
+
+@query(
+    f"""SELECT article_id, content_hash, CASE WHEN status = 'new' THEN '{O.NOW}' ELSE '2025-01-01T00:00:00Z' END AS created_at,
+    CASE WHEN status = 'unchanged' THEN '2025-01-01T00:00:00Z' ELSE '{O.NOW}' END AS updated_at FROM cur JOIN cmp USING (article_id)"""
+)
+def timestamps_merge(spark, folder):
+    current, previous = C.versions(spark, folder)
+    return versioning.merge_timestamps(current, previous, versioning.compare_versions(current, previous), C.NOW)
+
+
+# Embeddings.
+
+
+@query("SELECT count(*) AS actual, min(len(embedding))::INTEGER AS dimensions, count(*) = 5 * count(DISTINCT article_id) AS complete FROM emb")
+def embedding_status(spark, folder):
+    return C.embeddings(spark, folder).agg(
+        F.count(F.lit(1)).alias("actual"),
+        F.min("embedding_dimensions").alias("dimensions"),
+        (F.count(F.lit(1)) == 5 * F.count_distinct("article_id")).alias("complete"),
+    )
+
+
+@query(
+    """SELECT article_id, dimension, 'supplied' AS origin FROM emb WHERE vec_id % 3 = 0 AND article_id IN (SELECT article_id FROM eart)
+    UNION ALL SELECT article_id, dimension, 'previous' FROM emb WHERE vec_id % 3 <> 0 AND article_id IN (SELECT e.article_id FROM eart e WHERE e.content_hash <> 'other')"""
+)
+def embedding_reuse(spark, folder):
+    every, articles = C.embeddings(spark, folder), C.embedded_articles(spark, folder)
+    supplied = every.where("vec_id % 3 = 0").withColumn("model_name", F.lit("supplied")).drop("vec_id")
+    previous = every.withColumn("model_name", F.lit("previous")).drop("vec_id")
+    unchanged = articles.where("content_hash <> 'other'")
+    return semantic.merge_embeddings(supplied, previous, unchanged, articles).select("article_id", "dimension", F.col("model_name").alias("origin"))
+
+
+@query("SELECT article_id, dimension, round(cosine, 6) AS cosine, round((greatest(-1, least(1, cosine)) + 1) / 2, 6) AS score FROM cos")
+def cosine_scores(spark, folder):
+    found = semantic.semantic_scores(C.embeddings(spark, folder), C.query_vectors(spark, folder))
+    return found.select("article_id", "dimension", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+
+
+ALL_WEIGHTS = normalize_weights(None, list(DIMENSIONS))
+
+
+@query(
+    f"""SELECT rank, article_id, index, {', '.join(f'similarity_{d}' for d in EXPLAIN_ORDER)}, title, year, doi FROM (
+    SELECT *, row_number() OVER (ORDER BY index DESC, similarity_theme DESC NULLS LAST, year DESC NULLS LAST, title, article_id)::INTEGER AS rank FROM (
+    SELECT article_id, title, year, doi, round(100 * sum(score * w), 6) AS index,
+    {', '.join(f"round(100 * max(CASE WHEN dimension = '{d}' THEN score END), 6) AS similarity_{d}" for d in EXPLAIN_ORDER)}
+    FROM (SELECT *, (greatest(-1, least(1, cosine)) + 1) / 2 AS score,
+    CASE dimension {' '.join(f"WHEN '{d}' THEN {w!r}::DOUBLE" for d, w in ALL_WEIGHTS.items())} END AS w FROM cos) JOIN eart USING (article_id)
+    WHERE year >= 2004 GROUP BY ALL)) WHERE rank <= 20"""
+)
+def rank_semantic(spark, folder):
+    asked = spark.createDataFrame([("q", d, "-", w) for d, w in ALL_WEIGHTS.items()], "query_id string, dimension string, text string, weight double")
+    found = semantic.rank_semantic(C.embedded_articles(spark, folder), C.embeddings(spark, folder), asked, C.query_vectors(spark, folder), Filters(year_min=2004))
+    return found.select("rank", "article_id", "index", *(f"similarity_{d}" for d in EXPLAIN_ORDER), "title", "year", "doi")
+
+
+# Integrity checks.
+
+
+@query(
+    """SELECT 'V4_article_ids_unique' AS check_id, 0::BIGINT AS violations UNION ALL SELECT 'V5_lexical_unique', count(*) FROM (SELECT 1 FROM docs GROUP BY article_id, dimension HAVING count(*) > 1)
+    UNION ALL SELECT 'V6_lexical_complete', abs((SELECT count(*) FROM docs WHERE dimension <> 'data') - 5 * (SELECT count(*) FROM art))
+    UNION ALL SELECT 'V6b_lexical_orphans', 0 UNION ALL SELECT 'V7_lexical_dimensions', count(*) FILTER (WHERE dimension = 'theme') FROM docs"""
+)
+def checks_lexical(spark, folder):
+    """Documents of one dimension are left out and those of another renamed, so that checks fail."""
+    articles = C.dimension_articles(spark, folder)
+    documents = lexical.build_lexical_documents(articles).where("dimension <> 'data'")
+    broken = documents.withColumn("dimension", F.when(F.col("dimension") == "theme", "topic").otherwise(F.col("dimension")))
+    return validation.lexical_checks(articles, broken)
+
+
+@query(
+    """SELECT 'V8_embedding_orphans' AS check_id, count(*) AS violations FROM emb WHERE article_id NOT IN (SELECT article_id FROM eart)
+    UNION ALL SELECT 'V9_embedding_unique', 0 UNION ALL SELECT 'V10_embedding_dimensions', 0
+    UNION ALL SELECT 'V11_embedding_hashes', count(*) FROM emb e JOIN eart a USING (article_id) WHERE e.content_hash <> a.content_hash
+    UNION ALL SELECT 'V12_one_model', 0 UNION ALL SELECT 'V13_one_length', count(DISTINCT len(embedding)) - 1 FROM emb
+    UNION ALL SELECT 'V14_normalized_flag', 0 UNION ALL SELECT 'V14b_unit_norm', count(*) FILTER (WHERE abs(sqrt(list_dot_product(embedding, embedding)) - 1) > 1e-6) FROM emb
+    UNION ALL SELECT 'V15_finite', 0 UNION ALL SELECT 'V16_articles_even', count(*) FROM (SELECT article_id FROM emb GROUP BY 1 HAVING count(*) > 5 OR count(*) <> count(DISTINCT dimension))"""
+)
+def checks_embeddings(spark, folder):
+    return validation.embedding_checks(C.embedded_articles(spark, folder), C.embeddings(spark, folder))
+
+
+@query("SELECT article_id, dimension FROM emb WHERE article_id NOT IN (SELECT article_id FROM eart)")
+def checks_orphans(spark, folder):
+    return C.embeddings(spark, folder).join(C.embedded_articles(spark, folder), "article_id", "left_anti").select("article_id", "dimension")
+
+
+@query("SELECT article_id, dimension FROM emb e JOIN eart a USING (article_id) WHERE e.content_hash <> a.content_hash")
+def checks_hash(spark, folder):
+    articles = C.embedded_articles(spark, folder).select("article_id", F.col("content_hash").alias("h"))
+    return C.embeddings(spark, folder).join(articles, "article_id").where("content_hash <> h").select("article_id", "dimension")
+
+
+@query(
+    "SELECT * FROM (SELECT unnest(['number_of_articles', 'articles_new', 'articles_modified', 'articles_unchanged', 'articles_removed']) AS key, unnest([(SELECT count(*) FROM cur), "
+    + ", ".join(f"(SELECT count(*) FROM cmp WHERE status = '{s}')" for s in versioning.STATUSES)
+    + "])::VARCHAR AS value)"
+)
+def metadata_kv(spark, folder):
+    current, previous = C.versions(spark, folder)
+    rows = versioning.comparison_summary(versioning.compare_versions(current, previous)).collect()
+    status = {"status": "absent", "dimensions": 0, "normalized": False}
+    values = versioning.release_metadata("2026.01", C.NOW[:10], current.count(), "m", status, {r.status: r.n_articles for r in rows})
+    return spark.createDataFrame([(k, v) for k, v in values.items() if "articles" in k], "key string, value string")
