@@ -142,6 +142,8 @@ def _phrase(lists: list[np.ndarray], order: list[int], slop: int) -> np.ndarray:
         if not len(starts):
             break
         here, want = lists[k], starts + k
+        if not len(here):
+            return starts[:0]
         left = np.searchsorted(here, want - slop)
         starts = starts[(left < len(here)) & (here[np.minimum(left, len(here) - 1)] <= want + slop)]
     return starts
