@@ -49,7 +49,7 @@ def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination_digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"), width=10)
+    return contamination_digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"), width=10).drop("n_near")
 
 
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_digests(table(spark, folder, "documents"), min_docs=10)
+    return line_digests(table(spark, folder, "documents"), min_docs=10).drop("keep_bitmap")
 
 
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,4 +92,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_DIGIT = "((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31)"
+
+#: The operators that SQL can express; the others are held against brute force in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+        last AS (SELECT body, max(page_id) AS top FROM p GROUP BY body)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_DIGIT}, 1)), '') AS payload_digest,
+        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM p JOIN last USING (body)""",
+    "op6_decontaminate": f"""WITH w AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+        win AS (SELECT DISTINCT item_id, array_to_string(words[pos:pos + 9], ' ') AS win, least(len(words), 10) AS n
+            FROM (SELECT item_id, words, unnest(range(1, greatest(2, len(words) - 8))) AS pos FROM w WHERE len(words) > 0)),
+        d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        g AS (SELECT doc_id, pos, n, array_to_string(words[pos:pos + n - 1], ' ') AS win
+            FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS pos FROM d CROSS JOIN (SELECT DISTINCT n FROM win))),
+        m AS (SELECT doc_id, pos, g.n, item_id FROM g JOIN win ON win.win = g.win AND win.n = g.n),
+        h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS x FROM m) GROUP BY doc_id),
+        i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op8_line_dedup": f"""WITH l AS (SELECT doc_id, line, pos, {_LOWER.format(f"trim(line, {_BLANKS})")} AS k
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+        f AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.k IS NOT NULL) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256 FROM l LEFT JOIN f ON l.k = f.k GROUP BY doc_id""",
+}

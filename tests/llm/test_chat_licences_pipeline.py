@@ -1,0 +1,113 @@
+import corpus_pipeline
+from folioscope.llm.chat import chats, link_messages
+from folioscope.llm.licenses import LICENCE_TEXTS, scan_licences, scan_text
+from folioscope.llm.queries import QUERIES, op4_chat, op5_licences
+
+THREAD = [
+    (1, 0, "user", "Where is it?\nI need it."),
+    (1, 1, "assistant", "On the shelf."),
+    (1, 2, "user", "> Where is it?\nAnswering the first."),
+    (1, 3, "user", "On 3 May, Ann wrote:\n> on  the SHELF.\nWhich shelf?"),
+    (1, 4, "assistant", ">> On the shelf.\n> Which shelf?\nThe top one."),
+    (2, 0, None, None),
+    (None, 5, "user", "> alone"),
+    (3, None, "user", "no turn"),
+    (4, 1, "user", "same turn"),
+    (4, 1, "user", "same turn"),
+]
+
+
+def table(spark, rows=THREAD):
+    return spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, path string")
+
+
+def test_quotations_link_to_their_originals(spark):
+    got = {(r.conv_id, r.turn): r for r in link_messages(table(spark)).collect()}
+    assert [got["1", k].reply_to for k in range(5)] == [None, 0, 0, 1, 3]
+    assert [got["1", k].text for k in range(5)] == ["Where is it?\nI need it.", "On the shelf.", "Answering the first.", "Which shelf?", "The top one."]
+    assert got["1", 4].n_quoted == 2 and got["1", 4].n_linked == 2
+    assert got["2", 0].role == "unknown" and got[None, 5].reply_to is None
+
+
+def test_conversations_stand_in_reply_order(spark):
+    got = [r for r in chats(table(spark)).collect()]
+    first = next(r for r in got if r.conv_id == "1")
+    assert first.replies == "0,1>0,3>1,4>3,2>0" and "> " not in first.chat
+    assert sum(r.n_messages for r in got) == len(THREAD)
+    assert chats(table(spark).limit(0)).count() == 0
+
+
+def test_every_message_is_in_some_conversation(spark, folder):
+    n = spark.read.parquet(f"{folder}/conversations.parquet").count()
+    assert sum(r.n_messages for r in op4_chat(spark, folder).collect()) == n
+
+
+def test_known_licences_are_found():
+    for licence, form, text in LICENCE_TEXTS:
+        found = scan_text("Some words before it here.\n" + text.upper() + "\nAnd after.")[0]
+        assert (licence, form) in {m[:2] for m in found}
+    assert scan_text("This has nothing to do with it.")[0] == []
+    assert scan_text("You need a fishing licence from the council.")[2] == 1
+
+
+def test_licences_of_edge_rows(spark, docs, no_docs, rows, folder):
+    found = scan_licences(docs).collect()
+    assert len(found) == len(rows) and [r.licences for r in found if r.licences] == [["MIT"]]
+    assert scan_licences(no_docs).count() == 0
+    real = {r.doc_id: r.licences for r in op5_licences(spark, folder).collect()}
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert all("MIT" in real[r.doc_id] for r in texts if "\nReleased under the MIT License." in r.text)
+
+
+def test_queries_cover_every_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def brute_stages(spark, folder):
+    """What each stage keeps, from the operators' own brute-force versions."""
+    from collections import Counter
+
+    from tests.llm.test_lines_secrets import LOWER
+    from tests.llm.test_quality_mix import base, counts
+    from tests.llm.test_warc_items import brute_items
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    kept = {d: t for d, t in docs.items() if not base(counts(t))}
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    seen = Counter(k for t in kept.values() for k in {key(x) for x in t.split("\n")} if k)
+    lines = {d: "\n".join(x for x in t.split("\n") if seen[key(x)] < 10) for d, t in kept.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, t.encode().lower().split()) for d, t in lines.items())}
+    parent = {d: d for d in lines}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in lines:
+        for b in lines:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    single = {d for d in lines if root(d) == d}
+    items = [(r[0], r[1]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    clean = {x[0] for x in brute_items([(d, lines[d]) for d in single], items) if not x[5]}
+    return set(kept), lines, single, clean
+
+
+def test_pipeline_matches_its_stages(spark, folder):
+    kept, lines, single, clean = brute_stages(spark, folder)
+    docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, folder), name)
+        seen.append(docs)
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules" and all(d.columns == columns for d in seen[:-1])
+    ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
+    # With 87 labels no cutoff can be certified, so the base rule decides.
+    assert ids[0] == kept
+    assert {r.doc_id: r.text for r in seen[1].collect()} == lines
+    assert ids[2] == single
+    assert ids[3] == clean
+    assert ids[4] <= clean and len(ids[4]) > 0
+    assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == ids[4]
