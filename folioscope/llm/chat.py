@@ -86,7 +86,7 @@ def quote_links(messages: DataFrame) -> DataFrame:
     asked = hashed.where("level > 0").withColumn("level", F.col("level") - 1)
     # Only lines that someone quotes can answer.
     known = hashed.join(asked.select(*keys).distinct(), keys, "left_semi").withColumn("original", F.lit(True))
-    events = known.union(asked.withColumn("original", F.lit(False)))
+    events = known.unionByName(asked.withColumn("original", F.lit(False)))
     sourced = _running(events, keys, F.when(F.col("original"), F.col("turn")), "parent", current=False)
     votes = (
         sourced.where("NOT original AND parent IS NOT NULL")
