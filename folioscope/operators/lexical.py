@@ -7,6 +7,7 @@ index; filters come after scoring.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -175,14 +176,17 @@ def phrase_scores(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     )
 
 
-def dimension_scores(queries: DataFrame, index: LexicalIndex, components: dict[str, float] | None = None) -> DataFrame:
+def dimension_scores(
+    queries: DataFrame, index: LexicalIndex, components: dict[str, float] | None = None, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist
+) -> DataFrame:
     """``query_id, dimension, article_id, tfidf, bm25, exact, score`` of the articles with any match.
 
-    Articles without a row score zero.
+    Articles without a row score zero.  ``hold`` keeps what is used twice; pass
+    ``DataFrame.checkpoint`` where executors come and go.
     """
     weights = {**COMPONENTS, **(components or {})}
     total = sum(weights.values())
-    scores = term_scores(queries, index)
+    scores = hold(term_scores(queries, index))
     top = scores.groupBy("query_id", "dimension").agg(F.max("bm25_raw").alias("top"))
     phrased = queries.where(F.size(X.exact_terms(F.col("text"))) > 0).select("query_id", "dimension", F.lit(True).alias("phrased"))
     keys = ["query_id", "dimension", "article_id"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -136,8 +137,14 @@ def ranked(articles: DataFrame, combined: DataFrame, queries: DataFrame, n: int,
 
 
 def rank_lexical(
-    articles: DataFrame, index: LexicalIndex, queries: DataFrame, filters: Filters = Filters(), n: int = 20, components: dict[str, float] | None = None
+    articles: DataFrame,
+    index: LexicalIndex,
+    queries: DataFrame,
+    filters: Filters = Filters(),
+    n: int = 20,
+    components: dict[str, float] | None = None,
+    hold: Callable[[DataFrame], DataFrame] = DataFrame.persist,
 ) -> DataFrame:
-    """Scores against the whole index, then filters, then the first ``n``."""
-    combined = combine(dimension_scores(queries, index, components), queries)
+    """Scores against the whole index, then filters, then the first ``n``; ``hold`` keeps what is used twice."""
+    combined = hold(combine(dimension_scores(queries, index, components, hold), queries))
     return ranked(filters.apply(articles), combined, queries, n, "lexical")

@@ -266,7 +266,7 @@ def _ranking(weights: dict[str, float], where: str = "TRUE", n: int = TOP, sourc
 
 
 def _ranked(spark, folder, weights=WEIGHTS, filters=Filters(), n=TOP):
-    articles = C.dimension_articles(spark, folder)
+    articles = C.dimension_articles(spark, folder).persist()
     index = lexical.build_index(lexical.build_lexical_documents(articles).persist()).persist()
     return rank_lexical(articles, index, _asked(spark, folder, weights), filters, n)
 
