@@ -116,9 +116,10 @@ def document_norms(counts: DataFrame, terms: DataFrame) -> DataFrame:
     return joined.groupBy("dimension", "article_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def build_index(documents: DataFrame) -> LexicalIndex:
-    counts, stats = term_counts(documents), corpus_stats(documents)
-    terms = term_table(counts, stats)
+def build_index(documents: DataFrame, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> LexicalIndex:
+    """The index of lexical documents; ``hold`` keeps the term counts and terms, which several tables use."""
+    counts, stats = hold(term_counts(documents)), corpus_stats(documents)
+    terms = hold(term_table(counts, stats))
     norms = document_norms(counts, terms)
     docs = documents.join(norms, ["dimension", "article_id"], "left").select(
         "dimension", "article_id", "document_length", "exact_terms", F.coalesce("norm", F.lit(0.0)).alias("norm")

@@ -105,10 +105,12 @@ def ranked(articles: DataFrame, combined: DataFrame, queries: DataFrame, n: int,
     if n < 1:
         raise FolioscopeError("bad_limit", "n must be at least 1")
     wanted = queries.groupBy("query_id").agg(F.collect_set("dimension").alias("asked"))
-    scored = combined.join(articles, "article_id")
+    # Only what decides the order is sorted; the wide columns join the first n afterwards.
+    narrow = articles.select("article_id", "title", "year")
+    scored = combined.join(narrow, "article_id")
     # Articles without a score all tie at zero, so only the first of them in the order of ties can
     # show, and at most n that have a score stand before them: 2 n articles are enough.
-    tail = articles.orderBy(F.col("year").desc_nulls_last(), "title", "article_id").limit(2 * n)
+    tail = narrow.orderBy(F.col("year").desc_nulls_last(), "title", "article_id").limit(2 * n)
     blank = wanted.select("query_id").crossJoin(F.broadcast(tail)).join(combined.select("query_id", "article_id"), ["query_id", "article_id"], "left_anti")
     every = scored.unionByName(blank, allowMissingColumns=True).join(wanted, "query_id")
 
@@ -119,16 +121,20 @@ def ranked(articles: DataFrame, combined: DataFrame, queries: DataFrame, n: int,
         "query_id",
         F.round(100 * clamp(F.coalesce("index", F.lit(0.0))), DIGITS).alias("index"),
         *(similarity(d).alias(f"similarity_{d}") for d in EXPLAIN_ORDER),
-        "title", "authors", "year",
-        F.when(F.length("doi_normalized") > 0, F.col("doi_normalized")).otherwise(F.col("doi")).alias("doi"),
-        "keywords", "source_title", "abstract", "article_id",
-    )
+        "title",
+        "year",
+        "article_id",
+    )
     order = Window.partitionBy("query_id").orderBy(
         F.col("index").desc(), F.col("similarity_theme").desc_nulls_last(), F.col("year").desc_nulls_last(), "title", "article_id"
     )
     # Spark keeps n rows per query and task before it shuffles for a row number under a limit.
     top = shown.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return top.select(
+    wide = articles.select(
+        "article_id", "authors", "keywords", "source_title", "abstract",
+        F.when(F.length("doi_normalized") > 0, F.col("doi_normalized")).otherwise(F.col("doi")).alias("doi"),
+    )
+    return top.join(wide, "article_id").select(
         "query_id",
         *RESULT[:-2],
         explanation({d: F.col(f"similarity_{d}") for d in EXPLAIN_ORDER}).alias("explanation"),
