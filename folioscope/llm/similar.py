@@ -1,15 +1,16 @@
-"""Near-duplicate documents by word shingles, with SimHash as the candidate search.
+"""Near-duplicate documents by word shingles, with SimHash and MinHash as the candidate search.
 
 A SimHash of five-word shingles puts documents with a similarity of 0.8 seven to
-fourteen bits apart, which no covering of 64 bits can search.  Fingerprints of the
-words alone stay much closer, so candidates are the documents within two bits in one
-of ``seeds`` word fingerprints (:func:`folioscope.llm.simhash.links`, which is
-exact).  Every candidate link is then checked by the true Jaccard similarity of
-the shingle sets, and groups are the components of the links that hold.
+fourteen bits apart, which no covering of 64 bits can search.  Candidates are the
+documents within two bits in one of ``seeds`` word fingerprints
+(:func:`folioscope.llm.simhash.links`), and those that agree on all rows of one of the
+MinHash bands of their shingle sets.  The bands bear the guarantee, whatever the edit:
+the rows of a band are chosen so that a pair at the threshold misses all bands with a
+probability of :data:`MISS` at most.  Every candidate link is then checked by the true
+Jaccard similarity of the shingle sets, and groups are the components of the links that hold.
 
-Candidates within one bucket of equal fingerprints, and around one meeting point, are
-linked to its smallest member and not to each other; a link between two others is
-found where another fingerprint puts them together.
+Members of a band, of a bucket of equal fingerprints and around one meeting point are
+linked to the smallest one and not to each other.
 
 Defined results
 ---------------
@@ -36,6 +37,8 @@ from folioscope.llm.simhash import components, links
 
 #: Minimal hashes kept for the first test of a candidate.
 SKETCH = 128
+#: A pair at the threshold meets in no band with this probability at most.
+MISS = 1e-6
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -65,8 +68,14 @@ def shingle_set(text: str | None, shingle: int) -> list[int]:
     return np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)).view(np.int64).tolist()
 
 
-def signature(grams: list[int], size: int = SKETCH) -> list[int]:
-    """The last bytes of ``size`` minimal hashes of a shingle set, as signed bytes."""
+def band_rows(similarity: float, size: int = SKETCH) -> int:
+    """The most rows in a band with which pairs at ``similarity`` still meet."""
+    fit = [r for r in range(1, 17) if (1 - similarity**r) ** (size // r) <= MISS]
+    return max(fit, default=1)
+
+
+def signature(grams: list[int], rows: int, size: int = SKETCH) -> tuple[list[int], list[int]]:
+    """The last bytes of ``size`` minimal hashes of a shingle set, as signed bytes, and the keys of its bands."""
     values = np.array(grams, np.int64).view(np.uint64)
     factor = np.arange(1, 2 * size, 2, dtype=np.uint64) * np.uint64(SPREAD[0])
     least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
@@ -75,8 +84,14 @@ def signature(grams: list[int], size: int = SKETCH) -> list[int]:
         part ^= part >> np.uint64(29)
         part *= np.uint64(SPREAD[0])
         np.minimum(least, part.min(0), out=least)
+    bands = size // rows
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for row in range(rows):
+        keys = (keys ^ least[row * bands : (row + 1) * bands]) * np.uint64(SPREAD[1])
+        keys ^= keys >> np.uint64(29)
+        keys *= np.uint64(SPREAD[0])
     least ^= least >> np.uint64(32)
-    return (least & np.uint64(0xFF)).astype(np.uint8).view(np.int8).tolist()
+    return (least & np.uint64(0xFF)).astype(np.uint8).view(np.int8).tolist(), keys.view(np.int64).tolist()
 
 
 def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
@@ -97,19 +112,33 @@ def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
     return cut(found.distinct())
 
 
+def _banded(entries: DataFrame) -> DataFrame:
+    """``key, node, first, n`` of the bands with two members or more; ``entries`` has ``key`` and ``node``."""
+    bands = cut(entries.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return cut(entries.join(bands, "key"))
+
+
+def _star(members: DataFrame) -> DataFrame:
+    return members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 4) -> DataFrame:
     """``doc_id, component_id`` (both long) of the documents in a group of two or more."""
+    depth = band_rows(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, sketches = [], [], []
+            fps, sizes, sketches, bands = [], [], [], []
             for text in batch.column("text"):
                 grams = shingle_set(text.as_py(), shingle)
                 fps.append(word_fingerprints(text.as_py(), seeds))
                 sizes.append(len(grams))
-                sketches.append(signature(grams))
-            made = [pa.array(fps, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "a", "b")), *made], ["doc", "a", "b", "fps", "n", "sketch"])
+                sketch, keys = signature(grams, depth)
+                sketches.append(sketch)
+                bands.append(keys)
+            longs = pa.list_(pa.int64())
+            made = [pa.array(fps, longs), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int8())), pa.array(bands, longs)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "a", "b")), *made], ["doc", "a", "b", "fps", "n", "sketch", "bands"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,31 +151,35 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         F.xxhash64(F.lit("second"), F.coalesce("text", F.lit(""))).alias("b"),
         "text",
     )
-    prints = cut(rows.mapInArrow(run, "doc long, a long, b long, fps array<long>, n long, sketch array<tinyint>"))
+    prints = cut(rows.mapInArrow(run, "doc long, a long, b long, fps array<long>, n long, sketch array<tinyint>, bands array<long>"))
     # One document stands for each text.
-    texts = cut(prints.groupBy("a", "b").agg(F.min("doc").alias("node"), F.first(F.struct("fps", "n", "sketch")).alias("p")))
+    texts = cut(prints.groupBy("a", "b").agg(F.min("doc").alias("node"), F.first(F.struct("fps", "n", "sketch", "bands")).alias("p")))
     nodes = texts.dropDuplicates(["node"]).select("node", "p.*")
-    pairs = _candidates(nodes.select("node", "fps"), seeds)
+    facts = nodes.select("node", "n", "sketch")
 
     def with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
         for end in ("u", "v"):
             pairs = pairs.join(facts.toDF(*(end if c == "node" else f"{c}_{end}" for c in facts.columns)), end)
         return pairs
 
-    # Sizes settle most candidates, and sketches most others: of pairs at the threshold one in
-    # ten million has so few equal bytes.  Only then do the sets themselves move.
-    sized = with_both(pairs, nodes.select("node", "n", "sketch")).where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
-    equal = F.size(F.filter(F.zip_with("sketch_u", "sketch_v", lambda x, y: x == y), lambda x: x))
-    likely = cut(sized.where(equal >= (similarity - 0.2) * SKETCH).select("u", "v"))
-    wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-    first = texts.select("a", "b", "node").join(wanted, "node").withColumnRenamed("node", "doc")
-    held = rows.join(first, ["doc", "a", "b"]).dropDuplicates(["doc"])
-    grams = written(held.select(F.col("doc").alias("node"), "text").mapInArrow(sets, "node long, grams array<long>"), "shingles")
-    both = with_both(likely, grams)
-    shared = F.size(F.array_intersect("grams_u", "grams_v"))
-    near = both.where(shared >= similarity * (F.size("grams_u") + F.size("grams_v") - shared)).select("u", "v")
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs that hold.  Sizes settle most candidates, and sketches most others: of pairs at the
+        threshold one in ten million has so few equal bytes.  Only then do the sets themselves move."""
+        sized = with_both(pairs, facts).where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
+        equal = F.size(F.filter(F.zip_with("sketch_u", "sketch_v", lambda x, y: x == y), lambda x: x))
+        likely = cut(sized.where(equal >= (similarity - 0.2) * SKETCH).select("u", "v"))
+        wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
+        first = texts.select("a", "b", "node").join(wanted, "node").withColumnRenamed("node", "doc")
+        held = rows.join(first, ["doc", "a", "b"]).dropDuplicates(["doc"])
+        grams = written(held.select(F.col("doc").alias("node"), "text").mapInArrow(sets, "node long, grams array<long>"), "shingles")
+        both = with_both(likely, grams)
+        shared = F.size(F.array_intersect("grams_u", "grams_v"))
+        return cut(both.where(shared >= similarity * (F.size("grams_u") + F.size("grams_v") - shared)).select("u", "v"))
+
+    members = _banded(nodes.select("node", F.explode("bands").alias("key")))
+    edges = near(_candidates(nodes.select("node", "fps"), seeds).union(_star(members)).distinct())
     copies = prints.join(texts.select("a", "b", "node"), ["a", "b"]).where("doc <> node").select(F.col("node").alias("u"), F.col("doc").alias("v"))
-    roots = components(near.union(copies).distinct())
+    roots = components(edges.union(copies).distinct())
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
