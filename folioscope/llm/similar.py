@@ -9,8 +9,12 @@ the rows of a band are chosen so that a pair at the threshold misses all bands w
 probability of :data:`MISS` at most.  Every candidate link is then checked by the true
 Jaccard similarity of the shingle sets, and groups are the components of the links that hold.
 
-Members of a band, of a bucket of equal fingerprints and around one meeting point are
-linked to the smallest one and not to each other.
+Members of a band are first linked to its smallest one.  A band whose members are then
+in one component is done; in the others every pair of members from different components
+is a candidate too.  Where more than :data:`CROWD` members are left, they are dealt anew
+by their other bands first, and what meets in two bands goes the same way (a pair at 0.8
+meets in fewer than two of 32 bands once in 900,000 times); no member or pair is dropped
+for the size of its group.
 
 Defined results
 ---------------
@@ -39,6 +43,8 @@ from folioscope.llm.simhash import components, links
 SKETCH = 128
 #: A pair at the threshold meets in no band with this probability at most.
 MISS = 1e-6
+#: Members of a band that are paired as they are; larger ones are dealt by a second band first.
+CROWD = 32
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -118,6 +124,20 @@ def _banded(entries: DataFrame) -> DataFrame:
     return cut(entries.join(bands, "key"))
 
 
+def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """``members`` with their component ``root``, of the bands that hold more than one component."""
+    roots = components(edges)
+    named = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return cut(named.join(mixed.select("key"), "key"))
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """``u, v``: the pairs of a band from different components that its first member is not in."""
+    u, v = (members.where("node <> first").select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+    return u.join(v, "key").where("u < v AND root_u <> root_v").select("u", "v")
+
+
 def _star(members: DataFrame) -> DataFrame:
     return members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
 
@@ -178,6 +198,18 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     members = _banded(nodes.select("node", F.explode("bands").alias("key")))
     edges = near(_candidates(nodes.select("node", "fps"), seeds).union(_star(members)).distinct())
+    left = _unsettled(members, edges)
+    pairs = _across(left.where(F.col("n") <= CROWD))
+    crowded = left.where(F.col("n") > CROWD)
+    if not crowded.isEmpty():
+        second = crowded.join(nodes.select("node", F.explode("bands").alias("other")), "node").where("key <> other")
+        both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
+        members = _banded(second.select(both.alias("key"), "node").distinct())
+        edges = edges.union(near(_star(members).distinct()))
+        pairs = pairs.union(_across(_unsettled(members, edges)))
+    pairs = cut(pairs.distinct())
+    if not pairs.isEmpty():
+        edges = edges.union(near(pairs))
     copies = prints.join(texts.select("a", "b", "node"), ["a", "b"]).where("doc <> node").select(F.col("node").alias("u"), F.col("doc").alias("v"))
     roots = components(edges.union(copies).distinct())
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from folioscope.llm.similar import band_rows, shingle_set, similar_documents
 
 WORDS = [f"w{i}" for i in range(3000)]
@@ -35,6 +36,17 @@ def groups(spark, texts):
     return {r.doc_id: r.component_id for r in similar_documents(df).collect()}
 
 
+def brute(texts):
+    sets = [set(shingle_set(" ".join(t), 5)) for t in texts]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return {k: r for k, r in enumerate(root) if root.count(r) > 1}
+
+
 def test_recall_by_kind_of_edit_and_length(spark):
     rng, texts, kinds = random.Random(7), [], []
     for kind in ("appended", "inserted", "cut", "scattered"):
@@ -49,6 +61,28 @@ def test_recall_by_kind_of_edit_and_length(spark):
             assert found.get(2 * k + 1) == 2 * k, kind
 
 
+def test_pairs_around_an_unrelated_smallest_member(spark):
+    """The same words in other orders: all fingerprints are equal, and only the pairs are alike."""
+    rng, texts = random.Random(3), []
+    words = prose(rng, 100)
+    for _ in range(40):
+        rng.shuffle(words)
+        texts += [list(words), words[:-2] + words[:-3:-1]]
+    assert groups(spark, texts) == brute(texts) != {}
+
+
+@pytest.mark.parametrize("own", [45, 60])
+def test_crowded_bands(spark, own):
+    """All share a long passage and stay under the threshold; each has one near copy."""
+    rng, texts = random.Random(own), []
+    shared = prose(rng, 200)
+    for _ in range(75):
+        words = shared + prose(rng, own)
+        texts += [words, words[:-1] + ["other"]]
+    rng.shuffle(texts)
+    assert groups(spark, texts) == brute(texts) != {}
+
+
 def test_bands_hold_at_the_threshold():
     for similarity in (0.5, 0.8, 0.9):
         rows = band_rows(similarity)
