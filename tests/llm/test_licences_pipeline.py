@@ -1,46 +1,6 @@
 import corpus_pipeline
-from folioscope.llm.chat import chats, link_messages
 from folioscope.llm.licenses import LICENCE_TEXTS, scan_licences, scan_text
-from folioscope.llm.queries import QUERIES, op4_chat, op5_licences
-
-THREAD = [
-    (1, 0, "user", "Where is it?\nI need it."),
-    (1, 1, "assistant", "On the shelf."),
-    (1, 2, "user", "> Where is it?\nAnswering the first."),
-    (1, 3, "user", "On 3 May, Ann wrote:\n> on  the SHELF.\nWhich shelf?"),
-    (1, 4, "assistant", ">> On the shelf.\n> Which shelf?\nThe top one."),
-    (2, 0, None, None),
-    (None, 5, "user", "> alone"),
-    (3, None, "user", "no turn"),
-    (4, 1, "user", "same turn"),
-    (4, 1, "user", "same turn"),
-]
-
-
-def table(spark, rows=THREAD):
-    return spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, path string")
-
-
-def test_quotations_link_to_their_originals(spark):
-    got = {(r.conv_id, r.turn): r for r in link_messages(table(spark)).collect()}
-    assert [got["1", k].reply_to for k in range(5)] == [None, 0, 0, 1, 3]
-    assert [got["1", k].text for k in range(5)] == ["Where is it?\nI need it.", "On the shelf.", "Answering the first.", "Which shelf?", "The top one."]
-    assert got["1", 4].n_quoted == 2 and got["1", 4].n_linked == 2
-    assert got["2", 0].role == "unknown" and got[None, 5].reply_to is None
-
-
-def test_conversations_stand_in_reply_order(spark):
-    got = [r for r in chats(table(spark)).collect()]
-    first = next(r for r in got if r.conv_id == "1")
-    assert first.replies == "0,1>0,3>1,4>3,2>0" and "> " not in first.chat
-    assert sum(r.n_messages for r in got) == len(THREAD)
-    assert chats(table(spark).limit(0)).count() == 0
-
-
-def test_every_message_is_in_some_conversation(spark, folder):
-    n = spark.read.parquet(f"{folder}/conversations.parquet").count()
-    assert sum(r.n_messages for r in op4_chat(spark, folder).collect()) == n
-
+from folioscope.llm.queries import QUERIES, op5_licences
 
 def test_known_licences_are_found():
     for licence, form, text in LICENCE_TEXTS:
