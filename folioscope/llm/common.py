@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +34,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders made by this process and not removed yet.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for one written table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder, in whatever file system it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch folders made inside it; what is wanted of them must have been written elsewhere by then."""
+    before = list(_MADE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            remove_folder(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +70,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh_names(columns: list[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that none of ``columns`` has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        fresh, k = name, 0
+        while fresh.lower() in taken:
+            fresh, k = f"{name}_{k}", k + 1
+        taken.add(fresh.lower())
+        out.append(fresh)
+    return out
+
+
+def heavy_keys(big: DataFrame, keys: list[str], n: int, least: int = 64) -> DataFrame | None:
+    """The ``keys`` with more than ``least`` rows, and more than a ten-thousandth of the ``n`` rows of ``big``.
+
+    ``_parts`` tells how many tasks to deal each to.  There are at most ten thousand of
+    them, so they may be broadcast; None if there are none.
+    """
+    limit = max(least, n // 10_000)
+    rows = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    found = rows.collect()
+    return F.broadcast(big.sparkSession.createDataFrame(found, rows.schema)) if found else None
+
+
+def dealt(big: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """``big`` with ``_salt``: rows of heavy keys are told apart by the hash of their columns."""
+    salt = F.coalesce(F.pmod(F.xxhash64(*big.columns), F.col("_parts")).cast("int"), F.lit(0))
+    return big.join(heavy, keys, "left").withColumn("_salt", salt).drop("_parts")
+
+
+def sent(small: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """``small`` with ``_salt``: its rows of heavy keys once for every salt."""
+    return small.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], n: int | None = None, least: int = 64) -> DataFrame:
+    """``big.join(small, keys)``, where a key may hold most of ``big``, which must be cheap to read twice."""
+    heavy = heavy_keys(big, keys, big.count() if n is None else n, least)
+    if heavy is None:
+        return big.join(small, keys)
+    return dealt(big, keys, heavy).join(sent(small, keys, heavy), [*keys, "_salt"]).drop("_salt")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, UPPER, LOWER)
