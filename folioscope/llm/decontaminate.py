@@ -2,15 +2,16 @@
 
 The training documents are indexed once, in shards that no shuffle has to move:
 a shard holds some documents end to end, with a gap between them that no phrase
-can bridge, and for every test term the sorted positions at which it occurs.  The
-shards are written to the shared folder.  Corpus-wide term counts tell how rare
-each test term is; a window is then looked up in each shard by intersecting the
-offset-adjusted position lists of its terms, from the rarest one on.  Exact
-phrases agree at every offset; proximity matches allow each term to stand up to
-``slop`` words from its place.
+can bridge, and for every term of theirs the sorted positions at which it occurs.  The
+index is written to the shared folder, or where the caller wants to keep it, and serves
+any test items.  Corpus-wide counts tell how rare each test term is; a window is then
+looked up in each shard by intersecting the offset-adjusted position lists of its terms,
+from the rarest one on.  Exact phrases agree at every offset; near matches have the
+first word in place and each other up to ``slop`` words from its own.
 
-Test items are taken in blocks of bounded size, so a broadcast never outgrows
-``block_bytes``; each block is held against all shards.
+Test items are cut into windows in tasks and held against all shards in blocks of about
+``block_windows``, the only thing that is broadcast; ``width`` and ``slop`` must stay under
+the gap of 64 words together.
 
 Defined results
 ---------------
@@ -23,13 +24,14 @@ Defined results
 
 from __future__ import annotations
 
-import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, scratch_path
@@ -40,57 +42,44 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 SHARD_WORDS = 1 << 20
-INDEX = "shard long, doc_ids array<{doc}>, n_words array<int>, terms array<int>, offsets array<int>, steps binary"
+#: Windows that begin in one piece of an item.
+PIECE = 1 << 14
+INDEX = "shard long, doc_ids array<{doc}>, n_words array<int>, terms array<binary>, times array<int>, steps binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
 
 
-class TestItems:
-    """The windows of some test items: ``windows`` as term ids, and the items that have each."""
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The positional postings of every term of every document, one row per shard, written to ``path``.
 
-    __test__ = False
-
-    def __init__(self, rows: list[tuple], width: int):
-        self.terms: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set] = {}
-        for item, text in rows:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
-            for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners.setdefault(tuple(ids[at : at + width]), set()).add(item)
-        self.windows = list(owners)
-        self.items = [sorted(map(str, o - {None})) for o in owners.values()]
-
-
-def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """The ``item_id, text`` rows in lists of bounded size; each list is fetched on its own."""
-    rows = items.select("item_id", "text").where("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = 1 + 2 * total // block_bytes if total > block_bytes else 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
-
-
-def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """The positional postings of ``terms`` in every document, one row per shard, from the shared folder."""
+    By default the path is a new one in the shared folder.  The index can be read again
+    and used for any test items.
+    """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = terms.get
+        kind = pa.int64()
         ids: list = []
         counts: list[int] = []
         found: list[np.ndarray] = []
-        places: list[np.ndarray] = []
+        terms: defaultdict[bytes, int] = defaultdict()
+        terms.default_factory = terms.__len__
         base = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, counts, found, places, base
-            term = np.concatenate(found) if found else np.empty(0, np.int32)
-            place = np.concatenate(places) if places else np.empty(0, np.int64)
+            nonlocal ids, counts, found, base
+            term = np.concatenate(found)
+            begins = np.repeat(np.arange(len(counts)) * GAP, counts)
+            place = np.arange(len(term)) + begins
+            # Terms are numbered in their own order, so that shards are alike whatever came first.
+            names = sorted(terms)
+            number = np.empty(len(names), np.int32)
+            number[[terms[t] for t in names]] = np.arange(len(names))
+            term = number[term]
             order = np.argsort(term, kind="stable")
-            term, place = term[order], place[order]
-            kinds, starts = np.unique(term, return_index=True)
+            place, times = place[order], np.bincount(term, minlength=len(names))
+            starts = np.cumsum(times) - times
             steps = np.diff(place, prepend=0)
             steps[starts] = place[starts]
             out = pa.RecordBatch.from_arrays(
@@ -98,24 +87,21 @@ def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
                     pa.array([0], pa.int64()),
                     pa.array([ids], pa.list_(kind)),
                     pa.array([counts], pa.list_(pa.int32())),
-                    pa.array([kinds.astype(np.int32)], pa.list_(pa.int32())),
-                    pa.array([np.append(starts, len(term)).astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([names], pa.list_(pa.binary())),
+                    pa.array([times.astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([steps.astype(np.int32).tobytes()], pa.binary()),
                 ],
-                ["shard", "doc_ids", "n_words", "terms", "offsets", "steps"],
+                ["shard", "doc_ids", "n_words", "terms", "times", "steps"],
             )
-            ids, counts, found, places, base = [], [], [], [], 0
+            ids, counts, found, base = [], [], [], 0
+            terms.clear()
             return out
 
-        kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words = words_of(text.as_py())
-                term = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                at = np.flatnonzero(term >= 0)
-                found.append(term[at])
-                places.append(at + base)
+                found.append(np.fromiter(map(terms.__getitem__, words), np.int32, len(words)))
                 ids.append(doc)
                 counts.append(len(words))
                 base += len(words) + GAP
@@ -124,64 +110,132 @@ def build_index(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
         if ids:
             yield flush()
 
-    path = scratch_path(docs.sparkSession, "positional-index")
+    path = path or scratch_path(docs.sparkSession, "positional-index")
     doc = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(shards, INDEX.format(doc=doc))
     rows.withColumn("shard", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def item_pieces(items: DataFrame, width: int) -> DataFrame:
+    """``item, words``: the words of the items in pieces of bounded length that share ``width - 1`` words."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for item, text in zip(batch.column("item"), batch.column("text")):
+                words = words_of(text.as_py())
+                out += [(item.as_py(), b" ".join(words[at : at + PIECE + width - 1])) for at in range(0, max(1, len(words) - width + 1) if words else 0, PIECE)]
+            names, words = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.binary())], ["item", "words"])
+
+    rows = items.select(F.col("item_id").cast("string").alias("item"), "text")
+    return rows.mapInArrow(cut_up, "item string, words binary").distinct()
+
+
+class Windows:
+    """Distinct windows as rows of term numbers, and the items that have each."""
+
+    def __init__(self, pieces: list[tuple], width: int):
+        self.terms: dict[bytes, int] = {}
+        number: dict[tuple[int, ...], int] = {}
+        owners: list[set[str]] = []
+        for item, words in pieces:
+            ids = [self.terms.setdefault(w, len(self.terms)) for w in words.split()]
+            for at in range(max(1, len(ids) - width + 1)):
+                k = number.setdefault(tuple(ids[at : at + width]), len(owners))
+                if k == len(owners):
+                    owners.append(set())
+                if item is not None:
+                    owners[k].add(item)
+        self.rows = [np.array(w, np.int32) for w in number]
+        self.items = [sorted(o) for o in owners]
+
+
+def window_blocks(items: DataFrame, width: int, block_windows: int) -> Iterator[Windows]:
+    """The windows of the items in blocks of about ``block_windows``; only one block is on the driver at a time."""
+    pieces = cut(item_pieces(items, width))
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("words") / F.lit(4)), F.lit(0))).first()[0]
+    n = int(total // block_windows) + 1
+    for k in range(n):
+        part = pieces if n == 1 else pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == k)
+        yield Windows([(r.item, bytes(r.words)) for r in part.collect()], width)
+
+
 #: Words left free between two documents of a shard; more than any window and slop reach over.
 GAP = 64
 
 
-def _phrase(lists: list[np.ndarray], order: list[int], slop: int) -> np.ndarray:
-    """The start positions of a window whose k-th term has the positions ``lists[k]``."""
-    starts = lists[order[0]] - order[0]
+def _within(here: np.ndarray, want: np.ndarray, slop: int) -> np.ndarray:
+    """Whether each position of ``want`` has one of ``here`` within ``slop``."""
+    left = np.searchsorted(here, want - slop)
+    return (left < len(here)) & (here[np.minimum(left, len(here) - 1)] <= want + slop)
+
+
+def find_window(lists: list[np.ndarray], order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts at which a window stands in place, and those at which it stands near.
+
+    ``lists[k]`` are the positions of its k-th term and ``order`` is from the rarest term on.
+    Near means that the first word is in place and each other within ``slop`` of its own.
+    """
+    none = lists[0][:0]
+    if any(not len(x) for x in lists):
+        return none, none
+    k = order[0]
+    starts = lists[k] - k
+    if k:
+        starts = np.unique(np.concatenate([starts + d for d in range(-slop, slop + 1)]))
+        starts = starts[_within(lists[0], starts, 0)]
     for k in order[1:]:
         if not len(starts):
-            break
-        here, want = lists[k], starts + k
-        if not len(here):
-            return starts[:0]
-        left = np.searchsorted(here, want - slop)
-        starts = starts[(left < len(here)) & (here[np.minimum(left, len(here) - 1)] <= want + slop)]
-    return starts
-
-
-def match_shards(index: DataFrame, items: TestItems, rarity: dict[int, int], slop: int) -> DataFrame:
-    """Per document row of the index: the hit runs, the items and the proximity matches of one block of items."""
-    orders = [sorted(range(len(w)), key=lambda k, w=w: (rarity.get(w[k], 0), k)) for w in items.windows]
+            return none, none
+        if k:
+            starts = starts[_within(lists[k], starts + k, slop)]
+    exact = starts
+    for k in order if slop else ():
+        exact = exact[_within(lists[k], exact + k, 0)]
+    return exact, np.setdiff1d(starts, exact, assume_unique=True)
+
+
+def match_shards(index: DataFrame, windows: Windows, rarity: dict[int, int], slop: int) -> DataFrame:
+    """Per document row of the index: the hit runs, the items and the near matches of one block of windows."""
+    seen = np.zeros(max(1, len(windows.terms)), np.int64)
+    seen[list(rarity)] = list(rarity.values())
+    orders = [np.lexsort((np.arange(len(w)), seen[w])) for w in windows.rows]
+    # A window with a term that no document has cannot be found.
     by_first: dict[int, list[int]] = {}
-    for i, (w, order) in enumerate(zip(items.windows, orders)):
-        by_first.setdefault(w[order[0]], []).append(i)
-    windows, owners = items.windows, items.items
+    for i, (w, order) in enumerate(zip(windows.rows, orders)):
+        if seen[w].all():
+            by_first.setdefault(int(w[order[0]]), []).append(i)
+    vocabulary = list(windows.terms)
+    shared = index.sparkSession.sparkContext.broadcast((vocabulary, windows.rows, windows.items, orders, by_first))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, rows, owners, orders, by_first = shared.value
         for frame in frames:
             for row in frame.itertuples(index=False):
-                terms, offsets = np.asarray(row.terms), np.asarray(row.offsets)
-                steps = np.frombuffer(row.steps, np.int32)
+                times = np.asarray(row.times, np.int64)
+                stops, steps = np.cumsum(times), np.frombuffer(row.steps, np.int32)
+                place = {bytes(t): k for k, t in enumerate(row.terms)}
+                here = {t: place[w] for t, w in enumerate(vocabulary) if w in place}
                 counts = np.asarray(row.n_words, np.int64)
                 ends = np.cumsum(counts + GAP)
                 lists: dict[int, np.ndarray] = {}
 
                 def positions(term: int) -> np.ndarray:
                     if term not in lists:
-                        k = int(np.searchsorted(terms, term))
-                        known = k < len(terms) and terms[k] == term
-                        lists[term] = np.cumsum(steps[offsets[k] : offsets[k + 1]], dtype=np.int64) if known else steps[:0].astype(np.int64)
+                        k = here.get(term)
+                        lists[term] = np.empty(0, np.int64) if k is None else np.cumsum(steps[stops[k] - times[k] : stops[k]], dtype=np.int64)
                     return lists[term]
 
                 hits, names, near = [], [[] for _ in counts], np.zeros(len(counts), np.int64)
-                for first in terms.tolist():
+                for first in here:
                     for i in by_first.get(first, ()):
-                        window, order = windows[i], orders[i]
-                        posts = [positions(t) for t in window]
-                        starts = _phrase(posts, order, 0)
-                        if slop:
-                            close = np.setdiff1d(_phrase(posts, order, slop), starts)
-                            np.add.at(near, np.searchsorted(ends, close, side="right"), 1)
+                        window = rows[i].tolist()
+                        if not all(t in here for t in window):
+                            continue
+                        starts, close = find_window([positions(t) for t in window], orders[i], slop)
+                        np.add.at(near, np.searchsorted(ends, close, side="right"), 1)
                         if len(starts):
                             hits.append((starts, len(window)))
                             for d in np.unique(np.searchsorted(ends, starts, side="right")).tolist():
@@ -215,58 +269,54 @@ def match_shards(index: DataFrame, items: TestItems, rarity: dict[int, int], slo
     )
 
 
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """How often each test term occurs in all documents; as many entries as the block of items has terms."""
-    sizes = F.zip_with(
-        F.slice("offsets", 1, F.size("terms")), F.slice("offsets", 2, F.size("terms")), lambda a, b: b - a
-    )
-    pairs = index.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), sizes.alias("n"))).alias("x"))
-    return {r[0]: r[1] for r in pairs.groupBy("x.term").agg(F.sum("x.n")).collect()}
-
-
-def _union_runs(runs: list) -> tuple[list[int], int]:
-    spans = sorted((int(r[i]), int(r[i + 1])) for r in runs for i in range(0, len(r), 2))
-    out: list[int] = []
-    for a, b in spans:
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out, sum(out[1::2]) - sum(out[::2])
+def term_counts(index: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:
+    """How often each of ``terms`` occurs in all documents, by its number; as many entries as the block has terms."""
+    if not terms:
+        return {}
+    wanted = index.sparkSession.createDataFrame([(bytearray(t), k) for t, k in terms.items()], "term binary, number int")
+    pairs = index.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("times").alias("n"))).alias("x")).select("x.term", "x.n")
+    return {r[0]: r[1] for r in pairs.join(wanted, "term").groupBy("number").agg(F.sum("n")).collect()}
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2, block_bytes: int = 32 << 20) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 2, block_windows: int = 200_000, index: DataFrame | None = None
+) -> DataFrame:
     """``doc_id, n_words, runs, items, n_near`` of every document row.
 
-    ``runs`` lists the hit word runs as start and end in turn (end exclusive),
-    ``items`` the ids of the items with an occurring window, sorted as strings, and
-    ``n_near`` counts the windows found near but not in place.
+    ``runs`` lists the hit word runs as start and end in turn (end exclusive), ``items``
+    the ids of the items with an occurring window, sorted as strings, and ``n_near``
+    counts the places at which some window stands near and not in place.  An ``index`` of
+    the documents that was built before can be given.
     """
     if not 0 <= width + slop < GAP:
         raise ValueError(f"width and slop must stay under {GAP} words together")
-    parts = []
-    for rows in item_blocks(items, block_bytes):
-        block = TestItems(rows, width)
-        index = build_index(docs, block.terms)
-        parts.append(match_shards(index, block, term_counts(index), slop))
+    index = build_index(docs) if index is None else index
+    parts = [match_shards(index, w, term_counts(index, w.terms), slop) for w in window_blocks(items, width, block_windows)]
     if len(parts) == 1:
         return parts[0].drop("shard", "at")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    # One row per block of items and document row meets here.
-    merge = F.udf(lambda runs: _union_runs(runs)[0], "array<long>")
-    return (
-        whole.groupBy("shard", "at")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("n_words").alias("n_words"),
-            F.collect_list("runs").alias("runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.sum("n_near").alias("n_near"),
-        )
-        .select("doc_id", "n_words", merge("runs").alias("runs"), "items", "n_near")
+    # The index is written, so a row of it has one place; one row per block meets here.
+    flags = F.array_sort(F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.struct(F.get(r, i).alias("x"), (i % 2).alias("end"))))))
+    whole = reduce(DataFrame.union, parts).groupBy("shard", "at").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n_words").alias("n_words"),
+        F.filter(F.collect_list("runs"), lambda r: F.size(r) > 0).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.sum("n_near").alias("n_near"),
     )
+    return whole.select("doc_id", "n_words", "items", "n_near", flags.alias("edges")).select("doc_id", "n_words", union_runs("edges").alias("runs"), "items", "n_near")
+
+
+def union_runs(edges: str) -> Column:
+    """Begin and end in turn of the runs that the sorted ``edges`` (place, and 1 at an end) of several lists make together."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("open"), none.alias("out"))
+
+    def step(state: Column, edge: Column) -> Column:
+        now = state["open"] + F.when(edge["end"] == 0, 1).otherwise(-1)
+        turn = (state["open"] == 0) | (now == 0)
+        return F.struct(now.cast("int").alias("open"), F.when(turn, F.concat(state["out"], F.array(edge["x"]))).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(F.col(edges), start, step, lambda state: state["out"])
 
 
 def contamination_digests(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -289,9 +339,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
 
     Rows with a null ``doc_id`` stay; rows that share one go where any of them is hit.
     """
-    gone = contamination(docs, items, **options).where(F.size("runs") > 0).select("doc_id").distinct()
+    gone = contamination(docs, items, slop=0, **options).where(F.size("runs") > 0).select("doc_id").distinct()
     return docs.join(cut(gone.where("doc_id is not null")), "doc_id", "left_anti").select(*docs.columns)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
