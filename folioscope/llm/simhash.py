@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, dealt, heavy_keys, sent, spread_join
 
 BITS = 64
 BLOCK = 1 << 15
@@ -119,14 +119,17 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
         .where(F.size("members") > 1)
     )
     if radius == 2:
-        star = met.select(F.array_min("members").alias("u"), F.explode("members").alias("v")).where("u <> v")
+        # Any two of them are a link; a chain of them keeps the links of a fingerprint few.
+        rows = met.select(F.array_sort("members").alias("m"))
+        chain = rows.select(F.explode(F.arrays_zip(F.slice("m", 1, F.size("m") - 1).alias("u"), F.slice("m", 2, F.size("m") - 1).alias("v"))).alias("x"))
+        near = chain.select("x.u", "x.v")
     else:
-        star = (
+        near = (
             met.select("members", F.explode("members").alias("u"))
             .select("u", F.explode("members").alias("v"))
             .where((F.col("u") < F.col("v")) & (_far(F.col("u"), F.col("v")) <= radius))
         )
-    return direct.union(star).distinct()
+    return direct.union(near).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -136,24 +139,24 @@ def components(edges: DataFrame) -> DataFrame:
     the neighbours, then halves the paths; rounds grow with the logarithm of the
     size, and each one is cut by a checkpoint.
     """
-    edges = cut(edges)
-    both = edges.union(edges.select("v", "u")).toDF("node", "near")
+    both = cut(edges.union(edges.select("v", "u")).toDF("node", "near"))
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")))
+    n = labels.count()
+    # A node with most of the links is dealt to several tasks; which ones they are does not change.
+    heavy = heavy_keys(both, ["near"], both.count())
+    keys = ["near"] if heavy is None else ["near", "_salt"]
+    asked = both if heavy is None else cut(dealt(both, ["near"], heavy))
     while True:
-        offers = (
-            both.join(labels.select(F.col("node").alias("near"), F.col("root").alias("offer")), "near")
-            .groupBy("node")
-            .agg(F.min("offer").alias("offer"))
-        )
+        told = labels.select(F.col("node").alias("near"), F.col("root").alias("offer"))
+        offers = asked.join(told if heavy is None else sent(told, ["near"], heavy), keys).groupBy("node").agg(F.min("offer").alias("offer"))
         offered = labels.join(offers, "node").select("node", "root", "offer")
         hung = offered.select("node", "offer").union(offered.select("root", "offer"))
         best = hung.groupBy("node").agg(F.min("offer").alias("offer"))
-        moved = cut(labels.join(best, "node", "left").select("node", F.least("root", "offer").alias("root")))
+        moved = cut(labels.join(best, "node", "left").select("node", F.least("root", "offer").alias("root"), F.col("root").alias("old")))
         up = moved.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        after = cut(moved.join(up, "root").select("node", F.col("higher").alias("root")))
-        changed = after.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        labels = after
-        if not changed:
+        after = cut(spread_join(moved, up, ["root"], n).select("node", F.col("higher").alias("root"), "old"))
+        labels = after.select("node", "root")
+        if after.where("root <> old").isEmpty():
             return labels
 
 
@@ -164,11 +167,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     roots = components(links(nodes.select("fp"), radius))
     rooted = cut(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first_id", "root"))
     smallest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    linked = rooted.join(smallest, "root").select("fp", "component_id")
+    linked = spread_join(rooted, smallest, ["root"]).select("fp", "component_id")
     named = cut(
         nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(prints, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, written
+from folioscope.llm.common import cut, fresh_names, spread_join, written
 from folioscope.llm.simhash import components, links
 
 #: Minimal hashes kept for the first test of a candidate.
@@ -106,8 +106,8 @@ def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
     for seed in range(seeds):
         one = prints.select("node", F.get("fps", seed).alias("fp"))
         nodes = cut(one.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
-        equal = one.join(nodes.where("n > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-        met = cut(links(nodes.select("fp"), 2))
+        equal = spread_join(one, nodes.where("n > 1"), ["fp"]).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+        met = links(nodes.select("fp"), 2)
         firsts = nodes.select("fp", "first")
         far = (
             met.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u")
@@ -121,7 +121,7 @@ def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
 def _banded(entries: DataFrame) -> DataFrame:
     """``key, node, first, n`` of the bands with two members or more; ``entries`` has ``key`` and ``node``."""
     bands = cut(entries.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return cut(entries.join(bands, "key"))
+    return cut(spread_join(entries, bands, ["key"]))
 
 
 def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges)
     named = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return cut(named.join(mixed.select("key"), "key"))
+    return cut(spread_join(named, mixed.select("key"), ["key"]))
 
 
 def _across(members: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _star(members: DataFrame) -> DataFrame:
     return members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 4) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 1) -> DataFrame:
     """``doc_id, component_id`` (both long) of the documents in a group of two or more."""
     depth = band_rows(similarity)
 
@@ -172,26 +172,26 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         "text",
     )
     prints = cut(rows.mapInArrow(run, "doc long, a long, b long, fps array<long>, n long, sketch array<tinyint>, bands array<long>"))
-    # One document stands for each text.
-    texts = cut(prints.groupBy("a", "b").agg(F.min("doc").alias("node"), F.first(F.struct("fps", "n", "sketch", "bands")).alias("p")))
-    nodes = texts.dropDuplicates(["node"]).select("node", "p.*")
+    # A text is a node, whichever documents have it.
+    texts = prints.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first(F.struct("fps", "n", "sketch", "bands")).alias("p"))
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    nodes = texts.select("node", "p.*")
     facts = nodes.select("node", "n", "sketch")
 
     def with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-        for end in ("u", "v"):
-            pairs = pairs.join(facts.toDF(*(end if c == "node" else f"{c}_{end}" for c in facts.columns)), end)
-        return pairs
+        u, v = (facts.toDF(*(end if c == "node" else f"{c}_{end}" for c in facts.columns)) for end in "uv")
+        return spread_join(pairs, u, ["u"]).join(v, "v")
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs that hold.  Sizes settle most candidates, and sketches most others: of pairs at the
         threshold one in ten million has so few equal bytes.  Only then do the sets themselves move."""
-        sized = with_both(pairs, facts).where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
+        sized = with_both(cut(pairs), facts).where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
         equal = F.size(F.filter(F.zip_with("sketch_u", "sketch_v", lambda x, y: x == y), lambda x: x))
         likely = cut(sized.where(equal >= (similarity - 0.2) * SKETCH).select("u", "v"))
         wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-        first = texts.select("a", "b", "node").join(wanted, "node").withColumnRenamed("node", "doc")
-        held = rows.join(first, ["doc", "a", "b"]).dropDuplicates(["doc"])
-        grams = written(held.select(F.col("doc").alias("node"), "text").mapInArrow(sets, "node long, grams array<long>"), "shingles")
+        first = texts.select("a", "b", "node", F.col("low").alias("doc")).join(wanted, "node")
+        held = rows.join(first, ["doc", "a", "b"]).dropDuplicates(["node"])
+        grams = written(held.select("node", "text").mapInArrow(sets, "node long, grams array<long>"), "shingles")
         both = with_both(likely, grams)
         shared = F.size(F.array_intersect("grams_u", "grams_v"))
         return cut(both.where(shared >= similarity * (F.size("grams_u") + F.size("grams_v") - shared)).select("u", "v"))
@@ -210,12 +210,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     pairs = cut(pairs.distinct())
     if not pairs.isEmpty():
         edges = edges.union(near(pairs))
-    copies = prints.join(texts.select("a", "b", "node"), ["a", "b"]).where("doc <> node").select(F.col("node").alias("u"), F.col("doc").alias("v"))
-    roots = components(edges.union(copies).distinct())
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    # Documents come back to their texts, and the texts of one document hang together.
+    held = cut(spread_join(prints.select("doc", "a", "b"), texts.select("a", "b", "node"), ["a", "b"]).select("doc", "node").distinct())
+    several = held.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
+    same = held.join(several, "doc").where("node <> u").select("u", F.col("node").alias("v"))
+    roots = components(edges.union(same).distinct())
+    named = cut(texts.join(roots, "node", "left").select("node", "low", "high", F.coalesce("root", "node").alias("root")))
+    groups = cut(named.groupBy("root").agg(F.min("low").alias("component_id"), F.max("high").alias("last")).where("component_id <> last"))
+    member = cut(spread_join(named.select("node", "root"), groups, ["root"]).select("node", "component_id"))
+    return spread_join(held, member, ["node"]).select(F.col("doc").alias("doc_id"), "component_id").distinct()
 
 
 def keep_one_similar(docs: DataFrame, **options) -> DataFrame:
     """``docs``, same columns, with the smallest ``doc_id`` of every group."""
-    gone = cut(similar_documents(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*docs.columns)
+    (gone_id,) = fresh_names(docs.columns, "gone")
+    gone = cut(similar_documents(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone_id], "left_anti").select(*docs.columns)

@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from folioscope.llm.similar import band_rows, shingle_set, similar_documents
+from folioscope.llm.common import spread_join
+from folioscope.llm.similar import band_rows, keep_one_similar, shingle_set, similar_documents
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -83,6 +84,25 @@ def test_crowded_bands(spark, own):
     assert groups(spark, texts) == brute(texts) != {}
 
 
+def test_a_document_with_several_texts(spark):
+    """Each of its texts counts, whichever comes first, and it ties their groups together."""
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 120) for _ in range(3))
+    rows = [(7, a), (7, b), (7, c), (3, a[:-1] + ["x"]), (9, b[:-1] + ["y"]), (12, c[:-2] + ["z"]), (20, prose(rng, 90)), (20, prose(rng, 90)), (21, a)]
+    df = spark.createDataFrame([(d, " ".join(t), "k") for d, t in rows], "doc_id long, text string, gone string")
+    assert {r.doc_id: r.component_id for r in similar_documents(df.repartition(3)).collect()} == {d: 3 for d in (3, 7, 9, 12, 21)}
+    kept = keep_one_similar(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 20, 20]
+
+
+@pytest.mark.parametrize("least", [1, 64])
+def test_spread_joins_keep_every_row(spark, least):
+    rows = [(k % 3 if k % 2 else 7, k) for k in range(900)]
+    big, small = spark.createDataFrame(rows, "key long, x long"), spark.createDataFrame([(k, -k) for k in range(6)] + [(7, 1), (7, 2)], "key long, y long")
+    got = sorted(map(tuple, spread_join(big, small, ["key"], least=least).collect()))
+    assert got == sorted((k, x, y) for k, x in rows for j, y in [(k, -k) for k in range(6)] + [(7, 1), (7, 2)] if j == k)
+
+
 def test_bands_hold_at_the_threshold():
     for similarity in (0.5, 0.8, 0.9):
         rows = band_rows(similarity)
