@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BLANKS, ascii_lower, cut, sha256_hex
+from folioscope.llm.common import BLANKS, ascii_lower, cut, dealt, fresh_names, sent, sha256_hex
 
 
 def split_lines(text: Column) -> Column:
@@ -122,7 +122,7 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     lines = hashes.select(
         "doc_id", "row_key", "n_lines", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x")
     ).select("doc_id", "row_key", "n_lines", "pos", "x.a", "x.b")
-    hit = lines.where(F.col("a").isNotNull()).join(frequent, ["a", "b"])
+    hit = _hits(lines.where(F.col("a").isNotNull()), frequent)
     if keep_first:
         first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("row_key") == F.col("first_key"))
         hit = hit.where(~(first & (F.col("pos") == F.col("first_pos"))))
@@ -136,25 +136,35 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     )
 
 
+def _hits(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The lines with a frequent key; the keys of most lines are dealt to several tasks.
+
+    Those have over a ten-thousandth of all such lines, so there are at most ten thousand of them.
+    """
+    limit = max(64, (frequent.agg(F.sum("n_docs")).first()[0] or 0) // 10_000)
+    rows = frequent.where(F.col("n_docs") > limit).select("a", "b", F.ceil(F.col("n_docs") / limit).cast("int").alias("_parts"))
+    found = rows.collect()
+    if not found:
+        return lines.join(frequent, ["a", "b"])
+    heavy = F.broadcast(lines.sparkSession.createDataFrame(found, rows.schema))
+    return dealt(lines, ["a", "b"], heavy).join(sent(frequent, ["a", "b"], heavy), ["a", "b", "_salt"]).drop("_salt")
+
+
 def with_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """``docs`` with ``dedup_bitmap`` and ``dedup_dropped``, null for documents that keep all lines."""
+    """``docs`` with ``dedup_bitmap`` and ``dedup_dropped`` (numbered if ``docs`` has those), null for documents that keep all lines."""
+    doc, key, n, bitmap = fresh_names(docs.columns, "doc", "key", "dedup_dropped", "dedup_bitmap")
     found = line_bitmaps(docs, min_docs, keep_first).select(
-        F.col("doc_id").alias("_doc"),
-        F.col("row_key").alias("_key"),
-        F.col("n_dropped").alias("dedup_dropped"),
-        F.col("bitmap").alias("dedup_bitmap"),
+        F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("n_dropped").alias(n), F.col("bitmap").alias(bitmap)
     )
-    keyed = docs.withColumn("_row_key", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(found["_doc"]) & (keyed["_row_key"] == found["_key"])
-    return keyed.join(found, on, "left").drop("_doc", "_key", "_row_key")
+    on = docs["doc_id"].eqNullSafe(found[doc]) & (F.xxhash64(docs["text"]) == found[key])
+    return docs.join(found, on, "left").drop(doc, key)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """``docs``, same columns, without the dropped lines; a text that loses every line becomes empty."""
     marked = with_bitmaps(docs, min_docs, keep_first)
-    text = F.when(F.col("dedup_bitmap").isNull(), F.col("text")).otherwise(
-        apply_bitmap(F.col("text"), F.col("dedup_bitmap"))
-    )
+    bitmap = F.col(marked.columns[-1])
+    text = F.when(bitmap.isNull(), F.col("text")).otherwise(apply_bitmap(F.col("text"), bitmap))
     return marked.withColumn("text", text).select(*docs.columns)
 
 
