@@ -18,7 +18,8 @@ Defined results
 ---------------
 * null or empty text has no tokens and is not selected.
 * nulls in a level's column are a node of their own, named by the empty string.
-* rows with equal ``doc_id`` and text are decided together and count each.
+* rows with equal ``doc_id`` and text are decided together and count each; the prefix in
+  which a budget ends is that of one of them.
 * a weight that is null or not positive gives no budget.
 * columns other than ``doc_id``, ``text`` and those that the levels name are ignored.
 * an empty table gives an empty selection.
@@ -31,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, fresh_names
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ class Mix:
     share: float = 0.75
     max_epochs: int = 2
     seed: str = "mix-1"
-    bucket_docs: int = 4096
+    bucket_docs: int = 1024
 
 
 def token_counts(docs: DataFrame, mix: Mix) -> DataFrame:
@@ -153,12 +154,24 @@ def select_tokens(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The selected rows of ``docs`` with their columns, ``full_epochs`` and ``last_epoch_tokens``."""
+    """The selected rows of ``docs`` with their columns, ``full_epochs``, ``last_epoch_tokens`` and ``last_epoch_text``.
+
+    ``last_epoch_text`` is the prefix that the last epoch takes of a document in which a leaf's
+    budget ends, and null elsewhere; where no whole epoch is taken, ``text`` is that prefix as well.
+    Input columns of these three names are replaced.
+    """
+    made = ["full_epochs", "last_epoch_tokens", "last_epoch_text"]
+    docs = docs.drop(*made)
+    doc, key, n = fresh_names([*docs.columns, *made], "doc", "key", "n")
     taken = cut(
         select_tokens(docs, mix).select(
-            F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "full_epochs", "last_epoch_tokens"
+            F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("n_tokens").alias(n), *made[:2]
         )
     )
-    keyed = docs.drop("full_epochs", "last_epoch_tokens").withColumn("_row_key", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(taken["_doc"]) & (keyed["_row_key"] == taken["_key"])
-    return keyed.join(taken, on).drop("_doc", "_key", "_row_key")
+    on = docs["doc_id"].eqNullSafe(taken[doc]) & (F.xxhash64(docs["text"]) == taken[key])
+    part = (F.col("last_epoch_tokens") % F.col(n)).cast("int")
+    tokens = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    prefix = F.when(part > 0, F.array_join(F.slice(tokens, 1, part), ""))
+    joined = docs.join(taken, on).withColumn(made[2], prefix)
+    text = F.when((F.col("full_epochs") == 0) & F.col(made[2]).isNotNull(), F.col(made[2])).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*docs.columns, *made)
