@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut
+from folioscope.llm.common import cut, fresh_names
 
 SYMBOLS = b"#*$%&|<>"
 #: Rules by name: the feature as SQL, and the grid of cutoffs from lenient to strict.
@@ -104,7 +104,7 @@ def quality_features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
             )
 
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "text")
+    rows = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")
     return rows.mapInArrow(count, f"doc_id {doc_type}, stratum string, {FEATURES}")
 
 
@@ -173,14 +173,15 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     # Only strata with some hundred labelled good documents reach a cutoff: their number is
     # at most the labelled rows over that, and Spark sees the size of this checkpoint.
     wide = cut(wide)
-    if wide.count() <= 10_000:
-        wide = F.broadcast(wide)
     broken = F.array_compact(
         F.array(*(F.when(F.expr(f"try_divide({expr.replace(' / ', ', ')})") > F.col(rule), F.lit(rule)) for rule, (expr, _) in RULES.items()))
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    (of,) = fresh_names(wide.columns, "of")
+    wide = wide.withColumnRenamed("stratum", of)
     return (
-        features.join(wide, "stratum", "left")
+        features.join(wide, features["stratum"].eqNullSafe(wide[of]), "left")
+        .drop(of)
         .withColumn("base_failed", failed)
         .withColumn("rejected_by", broken)
         .withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

@@ -19,10 +19,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, sha256_hex
+from folioscope.llm.common import cut, fresh_names, sha256_hex
 
 
 @dataclass(frozen=True)
@@ -116,18 +117,19 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
         seen = ledger.select("blob_id", "kind", "version").distinct()
         pairs = pairs.join(seen, ["blob_id", "kind", "version"], "left_anti")
     pairs = cut(pairs)
+    (blob,) = fresh_names(["doc_id", "text", "blob_id", "path"], "blob")
     found = spark.createDataFrame([], LEDGER)
     for group in [rules] if ledger is None else [(r,) for r in rules]:
         todo = pairs.where(
             reduce(lambda a, b: a | b, ((F.col("kind") == r.kind) & (F.col("version") == r.version) for r in group))
         )
-        todo = todo.select(F.col("blob_id").alias("_blob"), "path").distinct()
+        todo = todo.select(F.col("blob_id").alias(blob), "path").distinct()
         texts = docs.select(
             "doc_id",
             F.coalesce(F.col("text"), F.lit("")).alias("text"),
             sha256_hex(F.coalesce(F.col("text"), F.lit(""))).alias("blob_id"),
         )
-        on = texts["doc_id"].eqNullSafe(todo["path"]) & (texts["blob_id"] == todo["_blob"])
+        on = texts["doc_id"].eqNullSafe(todo["path"]) & (texts["blob_id"] == todo[blob])
         once = texts.join(todo, on, "left_semi").select("blob_id", "text")
         # Equal rows under one doc_id come twice; their matches are the same.
         pieces = scan(once, group).dropDuplicates(["blob_id", "kind", "version", "at"])
@@ -156,10 +158,29 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...
     return paths.join(cut(each), "blob_id", "left")
 
 
-def secret_digests(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The contract's digest columns for every path."""
+def open_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger stored at ``path``, or None before the first scan."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def secret_digests(docs: DataFrame, ledger: DataFrame | None = None, store: str | None = None) -> DataFrame:
+    """The contract's digest columns for every path.
+
+    With ``store`` the ledger is read from that folder and what is newly scanned is appended to it.
+    """
+    if store is not None:
+        ledger = open_ledger(docs.sparkSession, store)
     paths, gained = update_ledger(docs, ledger)
     whole = gained if ledger is None else ledger.select(*gained.columns).union(gained)
+    if store is not None:
+        # What is read of the store is settled before it grows.
+        whole = whole if ledger is None else cut(whole)
+        gained.write.mode("append").parquet(store)
     found = findings_by_path(paths, whole).withColumn(
         "found", F.coalesce("found", F.array().cast("array<struct<start:int,k:int,kind:string,end:int>>"))
     )

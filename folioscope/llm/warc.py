@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.common import cut, scratch_path
+from folioscope.llm.common import cut, scratch_path, spread_join
 
 DICTIONARY_FRAME = 0x184D2A5D
 #: An empty skippable frame; plain ASCII, so that the text sink can write it after a row.
@@ -197,17 +197,18 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, refers_to``: the largest page id with an equal payload, null for responses."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
-    # Page ids and digests alone are grouped; payloads stay where they are unless the join must move them.
+    # Page ids and digests alone are grouped and joined; a payload that many pages have is dealt to several tasks.
+    names = cut(rows.where(F.col("size") >= min_bytes).select("page_id", "digest", "size"))
     repeated = cut(
-        rows.where(F.col("size") >= min_bytes)
-        .groupBy("digest", "size")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last"))
+        names.groupBy("digest", "size")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers_to"))
         .where("n > 1")
-        .select("digest", "size", "last")
+        .select("digest", "size", "refers_to")
     )
-    other = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    joined = rows.join(repeated, ["digest", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(other, F.col("last")).alias("refers_to"))
+    found = spread_join(names, repeated, ["digest", "size"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    found = found.where("refers_to IS NOT NULL").select(F.col("page_id").alias("page"), F.col("digest").alias("same"), "refers_to").distinct()
+    on = rows["page_id"].eqNullSafe(found["page"]) & (rows["digest"] == found["same"])
+    return rows.join(found, on, "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = 16 << 20, date: str = "2026-01-01T00:00:00Z") -> None:
