@@ -57,6 +57,30 @@ def test_first_line_can_stay(spark):
     assert sorted(r.text for r in dedup_lines(df, 2, keep_first=True).collect()) == ["a\nx", "y"]
 
 
+def test_clashing_columns(spark):
+    rows = [(k, f"shared\nown {k}", "1", "2", "3", "4") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc string, KEY string, dedup_bitmap string, dedup_dropped string")
+    out = dedup_lines(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == sorted((k, f"own {k}", *r) for k, _, *r in rows)
+
+
+def test_a_line_that_most_documents_have(spark):
+    rows = [(k, f"common\nown {k}\n" + ("rare" if k % 20 == 0 else "")) for k in range(300)]
+    got = found(line_digests(spark.createDataFrame(rows, "doc_id long, text string"), 10), 4)
+    assert got == brute_lines(rows)
+
+
+def test_a_stored_ledger_grows(spark, tmp_path):
+    store = f"file://{tmp_path}/ledger"
+    first = [(1, "token=abcdefg"), (2, "plain")]
+    second = [(3, "token=abcdefg"), (4, "deadbeef" * 4), (2, "plain")]
+    for rows in (first, second):
+        got = secret_digests(spark.createDataFrame(rows, "doc_id long, text string"), store=store)
+        assert found(got, 6) == brute_secrets(rows)
+    assert spark.read.parquet(store).groupBy("blob_id", "kind").count().where("count > 1").count() == 0
+
+
 def test_secrets_of_real_documents(spark, folder, real):
     assert found(op7_secrets(spark, folder), 6) == brute_secrets(real)
 

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -111,6 +113,49 @@ def test_budgets_follow_the_tree(spark):
     assert dict(taken) == {k: v for k, v in want.items() if v}
 
 
+def brute_selection(rows, budget, seed, epochs=2):
+    """Per leaf (source): whole epochs, and of the last one the documents in seeded order until the budget ends."""
+    out, leaves = {}, defaultdict(list)
+    for doc, text, source in rows:
+        leaves[source].append((doc, len(text.split())))
+    for source, docs in leaves.items():
+        supply = sum(n for _, n in docs)
+        full, rest = divmod(budget[source], supply)
+        place = lambda d: int(hashlib.md5(f"{seed}:{full}:{d}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        for doc, n in sorted(docs, key=lambda x: place(x[0])):
+            part = max(0, min(n, rest))
+            rest -= part
+            if full or part:
+                out[doc] = full, part
+    return out
+
+
+def test_selection_is_the_seeded_prefix(spark):
+    rng = random.Random(2)
+    rows = [(i, " \n".join(f"w{i}x{k}" for k in range(rng.randint(1, 30))), rng.choice(["a", "b", "c"])) for i in range(200)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, source string, doc string, key string")
+    mix = Mix(levels=(Level("source", "source", "CASE source WHEN 'a' THEN 6 WHEN 'b' THEN 1 ELSE 2 END"),), bucket_docs=7)
+    supply = Counter()
+    for _, text, source in rows:
+        supply[source] += len(text.split())
+    given = fill(0.75 * sum(supply.values()), {s: ({"a": 6, "b": 1, "c": 2}[s], 2 * n) for s, n in supply.items()})
+    want = brute_selection(rows, {s: math.floor(g + 1e-6) for s, g in given.items()}, mix.seed)
+    assert {r.doc_id: (r.full_epochs, r.last_epoch_tokens) for r in select_tokens(df, mix).collect()} == want
+    out = mix_sources(df, mix)
+    assert out.columns == [*df.columns, "full_epochs", "last_epoch_tokens", "last_epoch_text"]
+    texts, partial = {r[0]: r[1] for r in rows}, 0
+    for r in out.collect():
+        whole = texts[r.doc_id]
+        assert (r.full_epochs, r.last_epoch_tokens) == want[r.doc_id] and (r.doc, r.key) == ("x", "y")
+        cut_off = 0 < r.last_epoch_tokens < len(whole.split())
+        partial += cut_off
+        assert (r.last_epoch_text is not None) == cut_off
+        if cut_off:
+            assert whole.startswith(r.last_epoch_text) and len(r.last_epoch_text.split()) == r.last_epoch_tokens
+        assert r.text == (r.last_epoch_text if cut_off and not r.full_epochs else whole)
+    assert 0 < partial <= 3
+
+
 def test_mix_is_seeded_and_keeps_rows(spark, folder, docs, no_docs):
     once = sorted(map(tuple, op3_mixing(spark, folder).collect()), key=str)
     assert once == sorted(map(tuple, op3_mixing(spark, folder).collect()), key=str)
