@@ -5,19 +5,20 @@ with a smaller ``doc_id``.  The work is cut into shards that need no merging:
 
 1. every start of a ``width``-byte string is named by the smallest hash among the
    ``GRAM``-byte strings inside it, so equal strings share a name wherever they are;
-2. runs of starts with one name become segments, which each task packs, compressed,
-   into one row for every shard of names: this is the only time that texts move
-   before the result is applied;
-3. a shard leaves out segments whose gram and the bytes on either side of it are
-   found in one document only, merges equal segments,
-   and sorts the suffixes of the others in external memory
-   (:mod:`folioscope.llm.suffix_sort`); neighbours whose common prefix reaches
-   ``width`` are equal strings, and the smallest document of each group is noted.
-   Where a name has one distinct segment there is nothing to sort;
+2. runs of starts with one name become segments.  Of equal segments that a task holds
+   together, the larger documents lose theirs there and then, and only the one of the
+   smallest document goes on; tasks pack what is left, compressed, into one row for
+   every shard of names: this is the only time that texts move before the result is applied;
+3. a shard merges equal segments in the same way, leaves out those whose gram and the
+   bytes about it are found in one document only, and sorts the suffixes of the others
+   in external memory (:mod:`folioscope.llm.suffix_sort`); neighbours whose common
+   prefix reaches ``width`` are equal strings, and the smallest document of each group
+   is noted;
 4. the starts with a smaller document go back to their documents as spans.
 
-A shard is spooled by name into buckets, on disk if it is large; a segment that
-a third of all documents share is one text in its shard.  Temporary files belong
+A shard is spooled by name into buckets, on disk if it is large, and a bucket that
+does not fit is dealt anew.  A passage that a third of all documents share comes to its
+shard once for every 16 MB of text, not once for every document.  Temporary files belong
 to their task and vanish with it, like a spill; what outlives a task is in Spark's
 shuffle.
 
@@ -36,17 +37,24 @@ import hashlib
 import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import fresh_names
 from folioscope.llm.suffix_sort import room, sorted_suffixes
 
 GRAM = 12
 PIECE = 1 << 20
+#: Spans that a task holds before it hands them on.
+SPANS = 1 << 21
+#: Documents, row keys, begins and ends.
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 POSITION = np.uint64(0xFFFF)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -118,48 +126,138 @@ def _unsqueeze(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions ``start`` to ``start + size`` of each row, one row after the other."""
     ends = np.cumsum(size)
-    return raw[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)] if len(size) else raw[:0]
+    return np.arange(ends[-1]) + np.repeat(start - (ends - size), size) if len(size) else np.empty(0, np.int64)
+
+
+def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return raw[_ranges(start, size)]
+
+
+def first_equals(raw: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each segment the one with equal bytes in the smallest document.
+
+    Segments are brought together by a hash and compared with the first of theirs byte by
+    byte; one that differs from it (another string with the same hash) stands for itself.
+    """
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    steps = range(0, int(size.max(initial=0)), 8)
+    h = size.astype(np.uint64)
+    for step in steps:
+        h = (h ^ words[start + np.minimum(step, size - 8)]) * MIX[0]
+        h ^= h >> np.uint64(31)
+    order = np.lexsort((doc, h))
+    heads = np.flatnonzero(np.concatenate(([len(h) > 0], h[order][1:] != h[order][:-1])))
+    rep = np.empty(len(h), np.int64)
+    rep[order] = np.repeat(order[heads], np.diff(np.append(heads, len(h))))
+    other = np.flatnonzero(rep != np.arange(len(h)))
+    a, b, n = start[other], start[rep[other]], size[other]
+    same = n == size[rep[other]]
+    for step in steps:
+        at = np.minimum(step, n - 8)
+        same[same] = words[a[same] + at[same]] == words[b[same] + at[same]]
+    rep[other[~same]] = other[~same]
+    return rep
+
+
+class Segments(NamedTuple):
+    """Distinct segments, their texts end to end, and the owners of each: ``times`` places in its document."""
+
+    name: np.ndarray
+    doc: np.ndarray
+    gram: np.ndarray
+    size: np.ndarray
+    times: np.ndarray
+    row_key: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[Segments]) -> Segments:
+        return parts[0] if len(parts) == 1 else Segments(*(np.concatenate(c) for c in zip(*parts)))
+
+    @property
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.size) - self.size
+
+    @property
+    def nbytes(self) -> int:
+        return sum(c.nbytes for c in self)
+
+    def take(self, mine: np.ndarray) -> Segments:
+        own = _ranges((np.cumsum(self.times) - self.times)[mine], self.times[mine])
+        text = _gather(self.text, self.start[mine], self.size[mine])
+        return Segments(*(c[mine] for c in self[:5]), self.row_key[own], self.at[own], text)
+
+    def merged(self) -> tuple[Segments, Spans | None]:
+        """One segment for each text, in its smallest document, and the spans that larger documents lose by it."""
+        rep = first_equals(self.text, self.start, self.size, self.doc)
+        if (rep == np.arange(len(rep))).all():
+            return self, None
+        of = np.repeat(np.arange(len(rep)), self.times)
+        lost = self.doc[rep[of]] < self.doc[of]
+        gone = of[lost]
+        spans = self.doc[gone], self.row_key[lost], self.at[lost], self.at[lost] + self.size[gone]
+        kept = np.flatnonzero(rep == np.arange(len(rep)))
+        now = np.full(len(rep), -1)
+        now[kept] = np.arange(len(kept))
+        own = np.flatnonzero(~lost)
+        own = own[np.argsort(now[rep[of[own]]], kind="stable")]
+        out = Segments(*(c[kept] for c in self[:4]), np.bincount(now[rep[of[own]]], minlength=len(kept)), self.row_key[own], self.at[own], _gather(self.text, self.start[kept], self.size[kept]))
+        return out, spans
 
 
 def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int = 16 << 20) -> DataFrame:
-    """``shard, docs, runs, text``: the segments that a task has for a shard, compressed."""
+    """``shard, docs, places, runs, text``: the segments that a task has for a shard, compressed; or in ``done`` spans that are settled.
+
+    Of equal segments that a task holds at once only those in their smallest document
+    leave it.  The larger documents lose all of it, so their spans are known.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
+        def row(shard: int, *blobs: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "docs", "places", "runs", "text", "done"])
+
         def flush() -> Iterator[pa.RecordBatch]:
             raws, doc, row_key, at, start, n, key, gram = (list(x) for x in zip(*held))
             base = np.cumsum([0, *map(len, raws)])
             raw = np.concatenate(raws)
             start = np.concatenate([s + b for s, b in zip(start, base)])
             doc, row_key, at, n, key, gram = map(np.concatenate, (doc, row_key, at, n, key, gram))
-            shard = key % shards
-            order = np.argsort(shard, kind="stable")
-            bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+            size = n + width - 1
+            rep = first_equals(raw, start, size, doc)
+            lost = np.flatnonzero(doc[rep] < doc)
+            if len(lost):
+                yield row(int(row_key[lost[0]] % shards), None, None, None, None, _squeeze(*_joined_spans((doc[lost], row_key[lost], at[lost], at[lost] + size[lost]))))
+            left = np.flatnonzero(doc[rep] == doc)
+            order = left[np.lexsort((rep[left], key[left] % shards))]
+            shard = key[order] % shards
+            bounds = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
             for s, e in zip(bounds[:-1], bounds[1:]):
                 mine = order[s:e]
-                text = zstandard.compress(_gather(raw, start[mine], n[mine] + width - 1).tobytes(), 7)
+                lead = np.flatnonzero(np.concatenate(([True], rep[mine][1:] != rep[mine][:-1])))
+                segment, times = rep[mine[lead]], np.diff(np.append(lead, len(mine))).astype(np.int32)
+                text = zstandard.compress(_gather(raw, start[segment], size[segment]).tobytes(), 7)
                 d, r = doc[mine], row_key[mine]
                 heads = np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])))
-                times = np.diff(np.append(np.flatnonzero(heads), len(d))).astype(np.int32)
-                owners = _squeeze(d[heads], r[heads], times)
-                runs = _squeeze(np.diff(at[mine], prepend=0), n[mine].astype(np.uint8), gram[mine])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard[mine[0]]], pa.int32()), *(pa.array([x], pa.binary()) for x in (owners, runs, text))],
-                    ["shard", "docs", "runs", "text"],
-                )
+                turns = np.diff(np.append(np.flatnonzero(heads), len(d))).astype(np.int32)
+                owners = _squeeze(d[heads], r[heads], turns)
+                runs = _squeeze(n[segment].astype(np.uint8), gram[segment], times)
+                yield row(int(shard[s]), owners, _squeeze(np.diff(at[mine], prepend=0)), runs, text, None)
 
         for batch in batches:
             ids, rows = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
             for pieces in _pieces((t.as_py() for t in batch.column("raw")), width):
                 raw, of, start, n, key, gram = named_runs(pieces, width)
-                row = np.array([p[0] for p in pieces])[of]
+                line = np.array([p[0] for p in pieces])[of]
                 begin = np.cumsum([0, *(len(p[2]) for p in pieces[:-1])])
                 at = start - begin[of] + np.array([p[1] for p in pieces])[of]
-                held.append((raw, ids[row], rows[row], at, start, n, key, gram))
+                held.append((raw, ids[line], rows[line], at, start, n, key, gram))
                 size += len(raw)
                 if size >= flush_bytes:
                     yield from flush()
@@ -170,62 +268,110 @@ def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int =
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row_key"), F.encode("text", "UTF-8").alias("raw")
     )
-    return texts.mapInArrow(run, "shard int, docs binary, runs binary, text binary")
+    return texts.mapInArrow(run, "shard int, docs binary, places binary, runs binary, text binary, done binary")
+
+
+def unpacked(row: dict, width: int, shards: int) -> Segments:
+    """The segments of one packed row."""
+    doc, row_key, turns = _unsqueeze(row["docs"], np.int64, np.int64, np.int32)
+    n, gram, times = _unsqueeze(row["runs"], np.uint8, np.uint8, np.int32)
+    text = np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
+    size, times = n.astype(np.int64) + width - 1, times.astype(np.int64)
+    start, owner = np.cumsum(size) - size, np.cumsum(times) - times
+    name = (_hashes(text, start + gram) >> np.uint64(16)).view(np.int64) // shards
+    at = np.cumsum(_unsqueeze(row["places"], np.int64)[0])
+    return Segments(name, np.repeat(doc, turns)[owner], gram.astype(np.int64), size, times, np.repeat(row_key, turns), at, text)
 
 
 class Spool:
-    """Segments by name in buckets; beyond ``memory`` bytes they move to unnamed files."""
+    """Segments by name in buckets that fit in ``memory`` bytes; beyond it they move to unnamed files.
 
-    def __init__(self, memory: int, buckets: int = 16):
-        self.memory, self.held = memory, 0
-        self.parts: list[list] = [[] for _ in range(buckets)]
-        self.files: list = [None] * buckets
+    Equal segments of a bucket are merged before they move.  A bucket that is too large
+    is dealt anew by the next digit of its names; one name alone is merged part by part.
+    Spans that merging settles are gathered in ``spans`` for the caller to take.
+    """
 
-    def add(self, name: np.ndarray, columns: tuple[np.ndarray, ...], start: np.ndarray, size: np.ndarray, text: np.ndarray) -> None:
-        bucket = name % len(self.parts)
+    BUCKETS = 16
+
+    def __init__(self, memory: int, level: int = 0):
+        self.memory, self.level, self.held = memory, level, 0
+        self.parts: list[list[Segments]] = [[] for _ in range(self.BUCKETS)]
+        self.files: list = [None] * self.BUCKETS
+        self.sizes = [0] * self.BUCKETS
+        self.names: list[set] = [set() for _ in range(self.BUCKETS)]
+        self.spans: list[Spans] = []
+
+    def _merged(self, parts: list[Segments]) -> Segments:
+        out, spans = Segments.joined(parts).merged()
+        if spans is not None:
+            self.spans.append(spans)
+        return out
+
+    def add(self, segments: Segments) -> None:
+        bucket = segments.name // self.BUCKETS**self.level % self.BUCKETS
         for b in np.unique(bucket).tolist():
-            mine = np.flatnonzero(bucket == b)
-            part = (name[mine], *(c[mine] for c in columns), size[mine], _gather(text, start[mine], size[mine]))
+            part = segments.take(np.flatnonzero(bucket == b))
             self.parts[b].append(part)
-            self.held += sum(x.nbytes for x in part)
+            self.names[b].update((int(part.name.min()), int(part.name.max())))
+            self.names[b] = {min(self.names[b]), max(self.names[b])}
+            self.held += part.nbytes
         if self.held > self.memory:
             for b, parts in enumerate(self.parts):
-                self.files[b] = self.files[b] or tempfile.TemporaryFile()
-                for part in parts:
-                    pickle.dump(part, self.files[b], protocol=5)
-                parts.clear()
+                if parts:
+                    whole = self._merged(parts)
+                    self.files[b] = self.files[b] or tempfile.TemporaryFile()
+                    pickle.dump(whole, self.files[b], protocol=5)
+                    self.sizes[b] += whole.nbytes
+                    parts.clear()
             self.held = 0
 
-    def __iter__(self) -> Iterator[list[np.ndarray]]:
-        for b, file in enumerate(self.files):
-            parts = self.parts[b]
-            if file is not None:
-                file.seek(0)
-                earlier = []
-                while True:
-                    try:
-                        earlier.append(pickle.load(file))
-                    except EOFError:
-                        break
-                parts = earlier + parts
-                file.close()
-            if parts:
-                yield [np.concatenate(c) for c in zip(*parts)]
-            self.parts[b] = []
-
-
-def sorted_groups(segments: list[bytes], doc: np.ndarray, last: np.ndarray, width: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Row, start, length and smallest document of each run of starts in distinct segments.
-
-    ``doc`` and ``last`` are the smallest and largest documents of each; runs that no document can lose are left out.
+    def _read(self, b: int) -> Iterator[Segments]:
+        if self.files[b] is not None:
+            self.files[b].seek(0)
+            while True:
+                try:
+                    yield pickle.load(self.files[b])
+                except EOFError:
+                    break
+            self.files[b].close()
+        yield from self.parts[b]
+        self.parts[b] = []
+
+    def buckets(self) -> Iterator[Segments]:
+        """Every bucket, with all segments of its names."""
+        for b in range(self.BUCKETS):
+            size = self.sizes[b] + sum(p.nbytes for p in self.parts[b])
+            if not size:
+                continue
+            if size <= self.memory:
+                yield Segments.joined(list(self._read(b)))
+            elif len(self.names[b]) == 1:
+                whole, waiting = None, []
+                for part in self._read(b):
+                    waiting.append(part)
+                    if sum(p.nbytes for p in waiting) > self.memory // 4:
+                        whole, waiting = self._merged(waiting if whole is None else [whole, *waiting]), []
+                yield self._merged(waiting if whole is None else [whole, *waiting])
+            else:
+                deeper = Spool(self.memory, self.level + 1)
+                deeper.spans = self.spans
+                for part in self._read(b):
+                    deeper.add(part)
+                yield from deeper.buckets()
+
+
+def sorted_groups(raw: np.ndarray, length: np.ndarray, doc: np.ndarray, width: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, start and length of each run of starts in distinct segments that a smaller document has.
+
+    ``raw`` holds the segments end to end, ``doc`` the smallest document of each.
     """
-    size = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
-    n, begin = int(size.sum()), np.cumsum(size) - size
+    size = length + 1
+    n, begin, start = int(size.sum()), np.cumsum(size) - size, np.cumsum(length) - length
     text = room(n, np.uint16, memory)
-    for s in range(0, len(segments), 1 << 14):
+    for s in range(0, len(size), 1 << 14):
         # A separator, the smallest symbol, after each segment.
-        data = np.frombuffer(b"".join(segments[s : s + (1 << 14)]), np.uint8).astype(np.uint16) + 1
-        ends = np.cumsum(size[s : s + (1 << 14)] - 1)
+        ends = np.cumsum(length[s : s + (1 << 14)])
+        data = raw[start[s] : start[s] + ends[-1]].astype(np.uint16) + 1
         text[begin[s] : begin[s] + len(data) + len(ends)] = np.insert(data, ends, 0)
     owner = room(n, np.int32, memory)
     for s in range(0, len(size), 1 << 14):
@@ -251,80 +397,77 @@ def sorted_groups(segments: list[bytes], doc: np.ndarray, last: np.ndarray, widt
         lo, hi = begin[s], begin[e - 1] + size[e - 1]
         row = owner[lo:hi].astype(np.int64)
         at = np.arange(lo, hi) - begin[row]
-        first = least[group[lo:hi]]
-        live = (at + width < size[row]) & (first < last[row])
-        row, at, first = row[live], at[live], first[live]
+        live = (at + width < size[row]) & (least[group[lo:hi]] < doc[row])
+        row, at = row[live], at[live]
         if len(row):
-            head = np.ones(len(row), bool)
-            head[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1])
-            begins = np.flatnonzero(head)
-            yield row[begins], at[begins], np.diff(np.append(begins, len(row))), first[begins]
+            begins = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1))))
+            yield row[begins], at[begins], np.diff(np.append(begins, len(row)))
 
 
-def _wide_names(text: np.ndarray, begin: np.ndarray, size: np.ndarray, gram: np.ndarray, width: int) -> list[np.ndarray]:
-    """Two hashes per segment: of the gram with the bytes before it, and with those after it; zero where they are too few.
+def shared_sides(segments: Segments, width: int) -> np.ndarray:
+    """The segments whose gram and enough bytes about it are found in more than one document.
 
-    Equal strings that hold the gram agree on half of the other bytes at least on one side.
+    A string that holds the gram has some number of its other bytes after it.  For each
+    range of that number there is a window that every such string covers; two equal
+    strings agree on one of them.
     """
-    half = (width - GRAM) // 2
+    text, begin, size, gram = segments.text, segments.start, segments.size, segments.gram
+    other = width - GRAM
     words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-    out = []
-    for known, start in ((gram >= half, begin + gram - half), (gram + GRAM + half <= size, begin + gram)):
-        start = np.where(known, start, 0)
-        h = np.zeros(len(size), np.uint64)
-        for offset in [*range(0, half + GRAM - 8, 8), half + GRAM - 8]:
+    cuts = [0, other // 4, other // 2, 3 * other // 4, other + 1]
+    kept = np.zeros(len(size), bool)
+    for after, beyond in zip(cuts, cuts[1:]):
+        before = other + 1 - beyond
+        known = np.flatnonzero((gram >= before) & (gram + GRAM + after <= size))
+        start, span = (begin + gram - before)[known], before + GRAM + after
+        h = np.zeros(len(known), np.uint64)
+        for offset in [*range(0, span - 8, 8), span - 8]:
             h = (h ^ words[start + offset]) * MIX[0]
             h ^= h >> np.uint64(31)
-        out.append(np.where(known, (h * MIX[1]) | np.uint64(1), 0))
-    return out
-
-
-def bucket_spans(bucket: list[np.ndarray], width: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Document, row key, begin and end of the repeats among a bucket's segments."""
-    name, doc, row_key, at, gram, size, text = bucket
-    begin = np.cumsum(size) - size
-    wide = _wide_names(text, begin, size, gram, width)
-    kept = np.zeros(len(name), bool)
-    for side in wide:
-        order = np.argsort(side, kind="stable")
-        heads = np.flatnonzero(np.concatenate(([True], side[order][1:] != side[order][:-1])))
-        many = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
-        many &= side[order][heads] != 0
-        kept[order[np.repeat(many, np.diff(np.append(heads, len(order))))]] = True
-    mine = np.flatnonzero(kept)
-    mine = mine[np.argsort(name[mine], kind="stable")]
-    if not len(mine):
+        order = np.argsort(h, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([len(h) > 0], h[order][1:] != h[order][:-1])))
+        if len(heads):
+            of = segments.doc[known[order]]
+            many = np.minimum.reduceat(of, heads) < np.maximum.reduceat(of, heads)
+            kept[known[order[np.repeat(many, np.diff(np.append(heads, len(order))))]]] = True
+    return np.flatnonzero(kept)
+
+
+def varied_segments(bucket: Segments, width: int) -> tuple[Segments | None, Spans | None]:
+    """What of a bucket has to be sorted, and the spans that need no sorting."""
+    kept = shared_sides(bucket, width)
+    if not len(kept):
+        return None, None
+    distinct, spans = bucket.take(kept).merged()
+    distinct = distinct.take(shared_sides(distinct, width))
+    return (distinct if len(distinct.name) else None), spans
+
+
+def sorted_spans(segments: Segments, width: int, memory: int) -> Iterator[Spans]:
+    """The spans that the owners of distinct segments lose to smaller documents, from the sorted suffixes."""
+    found = list(sorted_groups(segments.text, segments.size, segments.doc, width, memory))
+    if not found:
         return
-    raw, known = text.tobytes(), {}
-    # In order of names, so the distinct segments of a name are numbered in a row.
-    which = np.fromiter(
-        (known.setdefault(raw[b : b + s], len(known)) for b, s in zip(begin[mine].tolist(), size[mine].tolist())), np.int64, len(mine)
-    )
-    distinct = list(known)
-    low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
-    np.minimum.at(low, which, doc[mine])
-    np.maximum.at(high, which, doc[mine])
-    named = np.empty(len(distinct), np.int64)
-    named[which] = name[mine]
-    _, inverse, kinds = np.unique(named, return_inverse=True, return_counts=True)
-    single = kinds[inverse] == 1
-    sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    alone, varied = np.flatnonzero(single & (low < high)), np.flatnonzero(~single)
-    found = [(alone, np.zeros(len(alone), np.int64), sizes[alone] - width + 1, low[alone])]
-    if len(varied):
-        groups = sorted_groups([distinct[i] for i in varied.tolist()], low[varied], high[varied], width, memory)
-        found += [(varied[row], start, n, first) for row, start, n, first in groups]
-    row, start, n, first = (np.concatenate(x) for x in zip(*found))
-    by_row = np.argsort(row, kind="stable")
-    row, start, n, first = row[by_row], start[by_row], n[by_row], first[by_row]
-    lo, hi = np.searchsorted(row, which), np.searchsorted(row, which, side="right")
-    for s in range(0, len(mine), 1 << 18):
-        times = (hi - lo)[s : s + (1 << 18)]
-        where = np.repeat(mine[s : s + (1 << 18)], times)
-        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[s : s + (1 << 18)], times)
-        lost = first[k] < doc[where]
-        where, k = where[lost], k[lost]
-        yield doc[where], row_key[where], at[where] + start[k], at[where] + start[k] + n[k] - 1 + width
+    row, start, n = (np.concatenate(x) for x in zip(*found))
+    owner = np.cumsum(segments.times) - segments.times
+    for s in range(0, len(row), 1 << 18):
+        r, b, m = row[s : s + (1 << 18)], start[s : s + (1 << 18)], n[s : s + (1 << 18)]
+        times = segments.times[r]
+        own = _ranges(owner[r], times)
+        r, b, m = np.repeat(r, times), np.repeat(b, times), np.repeat(m, times)
+        at = segments.at[own] + b
+        yield segments.doc[r], segments.row_key[own], at, at + m - 1 + width
+
+
+def _joined_spans(spans: Spans) -> Spans:
+    """Spans in order, with those that touch made one; of two spans of a row the later must not end first."""
+    doc, row_key, begin, end = spans
+    order = np.lexsort((begin, row_key, doc))
+    doc, row_key, begin, end = doc[order], row_key[order], begin[order], end[order]
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (row_key[1:] != row_key[:-1]) | (begin[1:] > end[:-1])
+    heads = np.flatnonzero(head)
+    return doc[heads], row_key[heads], begin[heads], np.maximum.reduceat(end, heads) if len(heads) else end
 
 
 def _span_rows(spans: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -347,25 +490,34 @@ def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 64 << 20, sha
     shards = shards or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spool = Spool(memory)
+        spool, waiting = Spool(memory), []
+
+        def settled(spans: list[Spans], least: int) -> Iterator[pa.RecordBatch]:
+            if spans and sum(len(p[0]) for p in spans) >= least:
+                yield _span_rows(spans)
+                spans.clear()
+
         for batch in batches:
             for row in batch.to_pylist():
-                doc, row_key, times = _unsqueeze(row["docs"], np.int64, np.int64, np.int32)
-                step, n, gram = _unsqueeze(row["runs"], np.int64, np.uint8, np.uint8)
-                text = np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
-                size = n.astype(np.int64) + width - 1
-                start = np.cumsum(size) - size
-                name = (_hashes(text, start + gram) >> np.uint64(16)).view(np.int64)
-                spool.add(name // shards, (np.repeat(doc, times), np.repeat(row_key, times), np.cumsum(step), gram.astype(np.int64)), start, size, text)
-        spans: list[tuple[np.ndarray, ...]] = []
-        for bucket in spool:
-            for part in bucket_spans(bucket, width, memory):
-                spans.append(part)
-                if sum(len(p[0]) for p in spans) >= 1 << 21:
-                    yield _span_rows(spans)
-                    spans = []
-        if spans:
-            yield _span_rows(spans)
+                if row["done"] is not None:
+                    yield _span_rows([tuple(_unsqueeze(row["done"], np.int64, np.int64, np.int64, np.int64))])
+                else:
+                    spool.add(unpacked(row, width, shards))
+                    yield from settled(spool.spans, SPANS)
+        for bucket in spool.buckets():
+            varied, spans = varied_segments(bucket, width)
+            if spans is not None:
+                spool.spans.append(spans)
+            if varied is not None:
+                waiting.append(varied)
+            # Small buckets are sorted together.
+            if sum(len(w.text) for w in waiting) > memory // 16:
+                spool.spans.extend(sorted_spans(Segments.joined(waiting), width, memory))
+                waiting = []
+            yield from settled(spool.spans, SPANS)
+        if waiting:
+            spool.spans.extend(sorted_spans(Segments.joined(waiting), width, memory))
+        yield from settled(spool.spans, 0)
 
     packed = packed_segments(docs, width, shards).repartitionById(shards, "shard")
     rows = packed.mapInArrow(run, "doc long, row_key long, s array<int>, e array<int>")
@@ -386,13 +538,6 @@ def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, **options) -> DataFrame:
-    found = repeated_spans(docs, **options).select(F.col("doc").alias("_doc"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
-    keyed = docs.drop("_row_key", "_spans").withColumn("_row_key", F.xxhash64("text"))
-    on = (keyed["doc_id"].cast("long") == found["_doc"]) & (keyed["_row_key"] == found["_key"])
-    return keyed.join(found, on, "left").drop("_doc", "_key", "_row_key")
-
-
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     parts, at = [], 0
     for s, e in spans:
@@ -405,13 +550,16 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs``, same columns, without the repeated bytes; a character that loses a byte goes whole."""
 
-    @F.udf("string")
-    def shorten(text: str, spans: list) -> str:
-        return _kept(text.encode(), _merged(_pairs(spans))).decode(errors="ignore")
+    @F.pandas_udf("string")
+    def shorten(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        made = (None if t is None else t if s is None else _kept(t.encode(), _merged(_pairs(s))).decode(errors="ignore") for t, s in zip(texts, spans))
+        return pd.Series(list(made), index=texts.index, dtype=object)
 
-    marked = _with_spans(docs, **options)
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(shorten("text", "_spans"))
-    return marked.withColumn("text", text).select(*docs.columns)
+    doc, key, held = fresh_names(docs.columns, "doc", "key", "spans")
+    found = repeated_spans(docs, **options).toDF(doc, key, held)
+    on = (docs["doc_id"].cast("long") == found[doc]) & (F.xxhash64(docs["text"]) == found[key])
+    marked = docs.join(found, on, "left")
+    return marked.withColumn("text", shorten("text", held)).select(*docs.columns)
 
 
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:

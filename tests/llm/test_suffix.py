@@ -3,9 +3,9 @@ import random
 
 import numpy as np
 import pytest
-from folioscope.llm import suffix_sort
+from folioscope.llm import suffix_dedup, suffix_sort
 from folioscope.llm.queries import op9_suffix_dedup
-from folioscope.llm.suffix_dedup import remove_repeats, repeat_digests
+from folioscope.llm.suffix_dedup import Segments, Spool, remove_repeats, repeat_digests, sorted_spans, varied_segments
 
 
 def brute(rows, width=50):
@@ -58,7 +58,99 @@ def test_edge_rows_and_small_memory(docs, rows):
     assert found(repeat_digests(docs, memory=20_000, shards=3)) == brute([r[:2] for r in rows])
 
 
-def test_operator_keeps_columns(docs, no_docs):
+def brute_texts(rows, width=50):
+    """The rows' texts without repeats, a character going whole where it loses a byte."""
+    first, out = {}, []
+    for doc, text in rows:
+        raw = (text or "").encode()
+        for i in range(len(raw) - width + 1 if doc is not None else 0):
+            first[raw[i : i + width]] = min(doc, first.get(raw[i : i + width], doc))
+    for doc, text in rows:
+        raw = (text or "").encode()
+        gone = set()
+        for i in range(len(raw) - width + 1 if doc is not None else 0):
+            if first[raw[i : i + width]] < doc:
+                gone.update(range(i, i + width))
+        out.append((doc, None if text is None else bytes(b for i, b in enumerate(raw) if i not in gone).decode(errors="ignore")))
+    return sorted(out, key=str)
+
+
+def test_operator_gives_the_texts_that_are_left(spark, docs, no_docs, rows):
     out = remove_repeats(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
-    assert remove_repeats(no_docs).count() == 0
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == brute_texts([r[:2] for r in rows])
+    assert remove_repeats(no_docs).collect() == []
+
+
+def test_clashing_columns(spark):
+    passage = "é" + " ".join(f"word{i}" for i in range(20))
+    rows = [(i, f"own {i} " + passage + f" tail {i}", "a", "b", "c", "d") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc string, KEY string, spans string, s string")
+    out = remove_repeats(df)
+    assert out.columns == df.columns
+    got = sorted(out.collect())
+    assert [r.text for r in got] == [t for _, t in brute_texts([r[:2] for r in rows])]
+    assert {tuple(r)[2:] for r in got} == {("a", "b", "c", "d")}
+
+
+def made_segments(rng, names, n, width=50):
+    """Segments in packs as tasks send them: few names, and texts that share beginnings and ends."""
+    heads = ["".join(rng.choice("ab") for _ in range(20)) for _ in range(3)]
+    tails = ["".join(rng.choice("ab") for _ in range(60)) for _ in range(6)]
+    packs, rows = [], []
+    for pack in range(n):
+        texts = []
+        for _ in range(40):
+            name, doc, at, gram = rng.randrange(names), rng.randrange(300), rng.randrange(1000), rng.randint(0, 20)
+            text = rng.choice(heads)[20 - gram :] + f"{name:012d}" + rng.choice(tails)
+            texts.append((name, doc, at, gram, text[: 50 + rng.randint(0, gram)].encode()))
+        rows += [(pack, *t) for t in texts]
+        columns = [np.array(c) for c in zip(*(t[:4] for t in texts))]
+        raw = np.frombuffer(b"".join(t[4] for t in texts), np.uint8)
+        size = np.array([len(t[4]) for t in texts])
+        name, doc, at, gram = columns
+        packs.append(Segments(name, doc, gram, size, np.ones(len(size), np.int64), doc * 10 + pack, at, raw))
+    return packs, rows
+
+
+@pytest.mark.parametrize("names", [1, 5, 1000])
+def test_a_shard_far_larger_than_memory(names):
+    """What is sorted and settled in small memory is what all pairs of segments say."""
+    rng = random.Random(names)
+    packs, rows = made_segments(rng, names, 30)
+    total = sum(p.nbytes for p in packs)
+    spool = Spool(total // 12)
+    for pack in packs:
+        spool.add(pack)
+    got = set()
+    for bucket in spool.buckets():
+        assert bucket.nbytes <= total // 12 or len(set(bucket.name.tolist())) == 1
+        varied, spans = varied_segments(bucket, 50)
+        for s in [spans] if spans else []:
+            got |= covered(s)
+        if varied is not None:
+            for s in sorted_spans(varied, 50, 1000):
+                got |= covered(s)
+    for s in spool.spans:
+        got |= covered(s)
+    first, want = {}, set()
+    for _, _, doc, _, _, text in rows:
+        for i in range(len(text) - 49):
+            first[text[i : i + 50]] = min(doc, first.get(text[i : i + 50], doc))
+    for pack, _, doc, at, _, text in rows:
+        for i in range(len(text) - 49):
+            if first[text[i : i + 50]] < doc:
+                want |= {(doc, doc * 10 + pack, at + i + k) for k in range(50)}
+    assert got == want
+
+
+def covered(spans):
+    return {(d, r, x) for d, r, b, e in zip(*(c.tolist() for c in spans)) for x in range(b, e)}
+
+
+def test_equal_hashes_do_not_merge_different_segments(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MIX", np.zeros(3, np.uint64))
+    raw = np.frombuffer(b"".join(bytes([65 + k % 3]) * 60 for k in range(9)), np.uint8)
+    size = np.full(9, 60)
+    rep = suffix_dedup.first_equals(raw, np.cumsum(size) - size, size, np.arange(9)[::-1])
+    assert all(rep[k] == k or raw[60 * rep[k]] == raw[60 * k] for k in range(9))
