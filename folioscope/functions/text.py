@@ -82,9 +82,10 @@ def distinct_terms(terms: Column) -> Column:
     pairs = F.filter(
         F.transform(terms, lambda x: F.struct(F.trim(x).alias("t"), normalize_for_matching(x).alias("n"))), lambda p: p["t"] != ""
     )
-    norms = F.transform(pairs, lambda p: p["n"])
-    kept = F.filter(pairs, lambda p, i: F.array_position(norms, p["n"]) == i + 1)
-    return F.transform(kept, lambda p: p["t"])
+    # The pairs go through arrays of one, so that they are made once and not for every term.
+    both = F.transform(F.array(pairs), lambda ps: F.struct(ps.alias("ps"), F.transform(ps, lambda p: p["n"]).alias("ns")))
+    kept = F.transform(both, lambda b: F.filter(b["ps"], lambda p, i: F.array_position(b["ns"], p["n"]) == i + 1))
+    return F.transform(F.get(kept, 0), lambda p: p["t"])
 
 
 def clean_keywords(author: Column, index: Column) -> Column:

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from folioscope.config import ALIASES, CONTENT_FIELDS, DIMENSIONS, FolioscopeError
 from folioscope.functions import text as X
+from folioscope.operators.keep import keep
 
 LONGEST = ("title", "abstract", *DIMENSIONS)
 FIRST = ("doi", "doi_normalized", "source_title")
+#: Characters in a gram of a title; with titles of at most a twelfth of edits there are always enough of them.
+GRAM = 6
+#: The most frequent grams, which stand last.
+COMMON = 200
 RECORD = ("title", "authors", "abstract", "keywords", "doi", "year", "source_title", *DIMENSIONS)
 
 
@@ -51,6 +56,9 @@ def canonical_records(raw: DataFrame, column_map: dict[str, str] | None = None,
     """
     found = resolve_columns(raw.columns, column_map)
 
+    # Texts are brought to NFKC once, here, so that all that follows works on them as they are.
+    raw = raw.withColumns({c: X.nfkc(X.text_or_empty(F.col(f"`{c}`"))) for c in set(found.values()) - {found.get("year")}})
+
     def pull(field: str) -> Column:
         return F.col(f"`{found[field]}`") if field in found else F.lit("")
 
@@ -151,51 +159,44 @@ def duplicate_report(stages: list[tuple[str, DataFrame]]) -> DataFrame:
 def near_duplicates(articles: DataFrame, threshold: float = 0.08, max_records: int | None = None) -> DataFrame:
     """Pairs of one year (nulls together) whose titles differ in at most ``threshold`` of the longer one's length.
 
-    A title of length n with at most d = threshold * n edits keeps one of d + 1
-    pieces in place, give or take as many characters as there are pieces before it.
-    So the pieces of the longer title are joined to the shorter one's substrings: an
-    equi-join instead of all pairs of a year.  ``max_records`` gives an empty result
-    for larger inputs, as a caller may ask for; by default there is no such limit.
+    Equal titles of a year are compared once.  An edit touches at most ``GRAM`` of a
+    title's grams of that length, so of two titles with at most d edits the first
+    ``GRAM * d + 1`` grams of each, in any one order of all grams, have one in common,
+    within d places.  The order begins with rare grams, so common ones are hardly ever met.
+    ``max_records`` gives an empty result for larger inputs, as a caller may ask for; by
+    default there is no such limit.
     """
     if max_records is not None and articles.limit(max_records + 1).count() > max_records:
         articles = articles.limit(0)
-    base = articles.where("title_normalized <> ''").select(
-        "article_id", "year", "title", F.col("title_normalized").alias("t"), F.length("title_normalized").alias("n")
-    )
-    budget = lambda n: F.floor(F.lit(threshold) * n + 1e-9).cast("int")
-
-    def start(i: Column, n: Column, pieces: Column) -> Column:
-        return F.floor(i * n / pieces).cast("int")
-
-    long = base.withColumn("d", budget(F.col("n"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
-    here, there = start(F.col("i"), F.col("n"), F.col("d") + 1), start(F.col("i") + 1, F.col("n"), F.col("d") + 1)
-    long = long.select("article_id", "year", "title", "t", "n", "i", F.substr("t", here + 1, there - here).alias("piece"))
-    short = base.withColumn("m", F.explode(F.sequence(F.col("n"), F.floor(F.col("n") / (1 - threshold) + 1e-9).cast("int"))))
-    short = short.withColumn("d", budget(F.col("m"))).where("m - n <= d").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
-    short = short.withColumn("shift", F.explode(F.sequence(-F.col("i"), F.col("i"))))
-    here, there = start(F.col("i"), F.col("m"), F.col("d") + 1), start(F.col("i") + 1, F.col("m"), F.col("d") + 1)
-    short = short.where((here + F.col("shift") >= 0) & (there + F.col("shift") <= F.col("n"))).select(
-        "article_id", "year", "title", "t", "m", "i", F.substr("t", here + F.col("shift") + 1, there - here).alias("piece")
-    )
-    a, b = long.alias("a"), short.alias("b")
-    met = a.join(
-        b,
-        F.expr("a.year <=> b.year AND a.n = b.m AND a.i = b.i AND a.piece = b.piece AND a.t <> b.t")
-        & F.expr("length(b.t) < a.n OR (length(b.t) = a.n AND b.article_id < a.article_id)"),
-    ).select(
-        F.least("a.article_id", "b.article_id").alias("article_a"),
-        F.greatest("a.article_id", "b.article_id").alias("article_b"),
-        F.col("a.year").alias("year"),
-        F.when(F.col("a.article_id") < F.col("b.article_id"), F.col("a.title")).otherwise(F.col("b.title")).alias("title_a"),
-        F.when(F.col("a.article_id") < F.col("b.article_id"), F.col("b.title")).otherwise(F.col("a.title")).alias("title_b"),
-        F.col("a.n").alias("n"),
-        F.levenshtein(F.col("a.t"), F.col("b.t")).alias("distance"),
-    )
-    return (
-        met.distinct()
-        .withColumn("normalized_distance", F.round(F.col("distance") / F.col("n"), 6))
-        .where(F.col("distance") <= threshold * F.col("n") + 1e-9)
-        .select("article_a", "article_b", "year", "title_a", "title_b", "normalized_distance")
+    base = articles.where("title_normalized <> ''").select("article_id", "year", "title", F.col("title_normalized").alias("t"))
+    titles = keep(base.select("year", "t").distinct().withColumn("n", F.length("t")))
+    # Titles are compared with longer ones too, so the edits are those that the longest partner allows.
+    most = F.floor(F.lit(threshold) * F.floor(F.col("n") / (1 - threshold) + 1e-9) + 1e-9).cast("int")
+    titles = titles.withColumn("d", most).where("d > 0")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - GRAM + 1)), lambda i: F.xxhash64(F.substr("t", i, F.lit(GRAM))))
+    hashed = titles.withColumn("grams", grams)
+    counts = hashed.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    common = [r.g for r in counts.where("df > 1").orderBy(F.col("df").desc(), "g").limit(COMMON).collect()][::-1]
+    listed = F.lit(common).cast("array<bigint>")
+    placed = F.array_sort(F.transform("grams", lambda g, i: F.struct(F.array_position(listed, g).alias("common"), g.alias("g"), i.cast("int").alias("at"))))
+    entries = hashed.select("year", "t", "n", F.explode(F.slice(placed, 1, GRAM * F.col("d") + 1)).alias("x")).select("year", "t", "n", "x.g", "x.at")
+    a, b = entries.alias("a"), entries.alias("b")
+    allowed = F.floor(F.lit(threshold) * F.greatest("a.n", "b.n") + 1e-9)
+    met = a.join(b, F.expr("a.year <=> b.year AND a.g = b.g AND a.t < b.t") & (F.abs(F.col("a.n") - F.col("b.n")) <= allowed) & (F.abs(F.col("a.at") - F.col("b.at")) <= allowed))
+    pairs = met.select(F.col("a.year").alias("year"), F.col("a.t").alias("t"), F.col("b.t").alias("s")).distinct()
+    near = pairs.select("year", "t", "s", F.levenshtein("t", "s").alias("distance"), F.greatest(F.length("t"), F.length("s")).alias("n"))
+    near = near.where(F.col("distance") <= threshold * F.col("n") + 1e-9)
+    one = base.select(F.col("article_id").alias("a"), F.col("year").alias("year_a"), F.col("title").alias("title_one"), F.col("t").alias("t_a"))
+    other = base.select(F.col("article_id").alias("b"), F.col("year").alias("year_b"), F.col("title").alias("title_other"), F.col("t").alias("t_b"))
+    both = near.join(one, F.expr("year <=> year_a AND t = t_a")).join(other, F.expr("year <=> year_b AND s = t_b"))
+    first = F.col("a") < F.col("b")
+    return both.select(
+        F.least("a", "b").alias("article_a"),
+        F.greatest("a", "b").alias("article_b"),
+        "year",
+        F.when(first, F.col("title_one")).otherwise(F.col("title_other")).alias("title_a"),
+        F.when(first, F.col("title_other")).otherwise(F.col("title_one")).alias("title_b"),
+        F.round(F.col("distance") / F.col("n"), 6).alias("normalized_distance"),
     )
 
 

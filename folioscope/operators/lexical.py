@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import BM25_B, BM25_K1, BM25_K3, COMPONENTS, DIMENSIONS, FolioscopeError
 from folioscope.functions import text as X
+from folioscope.operators.keep import keep
 
 
 def build_lexical_documents(articles: DataFrame) -> DataFrame:
@@ -66,13 +67,6 @@ class LexicalIndex:
     terms: DataFrame
     postings: DataFrame
 
-    def persist(self) -> LexicalIndex:
-        return LexicalIndex(*(df.persist() for df in (self.documents, self.stats, self.terms, self.postings)))
-
-    def unpersist(self) -> None:
-        for df in (self.documents, self.stats, self.terms, self.postings):
-            df.unpersist()
-
     def write(self, path: str) -> None:
         """Postings are sorted by term, so a query's terms skip row groups."""
         for name in ("documents", "stats", "terms"):
@@ -116,13 +110,15 @@ def document_norms(counts: DataFrame, terms: DataFrame) -> DataFrame:
     return joined.groupBy("dimension", "article_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def build_index(documents: DataFrame, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> LexicalIndex:
-    """The index of lexical documents; ``hold`` keeps the term counts and terms, which several tables use."""
-    counts, stats = hold(term_counts(documents)), corpus_stats(documents)
+def build_index(documents: DataFrame, hold: Callable[[DataFrame], DataFrame] = keep) -> LexicalIndex:
+    """The index of lexical documents, its tables kept by ``hold``; ``write`` stores it for later sessions."""
+    counts, stats = hold(term_counts(documents)), hold(corpus_stats(documents))
     terms = hold(term_table(counts, stats))
     norms = document_norms(counts, terms)
-    docs = documents.join(norms, ["dimension", "article_id"], "left").select(
-        "dimension", "article_id", "document_length", "exact_terms", F.coalesce("norm", F.lit(0.0)).alias("norm")
+    docs = hold(
+        documents.join(norms, ["dimension", "article_id"], "left").select(
+            "dimension", "article_id", "document_length", "exact_terms", F.coalesce("norm", F.lit(0.0)).alias("norm")
+        )
     )
     weight = F.log1p(F.col("tf").cast("double")) * F.col("idf")
     postings = (
@@ -133,12 +129,19 @@ def build_index(documents: DataFrame, hold: Callable[[DataFrame], DataFrame] = D
             F.when(F.col("norm") > 0, weight / F.col("norm")).otherwise(0.0).alias("tfidf_w"),
         )
     )
-    return LexicalIndex(docs, stats, terms, postings)
+    return LexicalIndex(docs, stats, terms, hold(postings))
+
+
+def analysed(queries: DataFrame, hold: Callable[[DataFrame], DataFrame] = keep) -> DataFrame:
+    """``queries`` with their tokens and exact terms, worked out once."""
+    if "exact_terms" in queries.columns:
+        return queries
+    return hold(queries.withColumns({"tokens": X.tokenize(F.col("text")), "exact_terms": X.exact_terms(F.col("text"))}))
 
 
 def query_terms(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     """``query_id, dimension, term, qtf, tfidf_q, bm25_idf, n_known`` of the terms that the index knows."""
-    tokens = queries.select("query_id", "dimension", F.explode(X.tokenize(F.col("text"))).alias("term"))
+    tokens = analysed(queries).select("query_id", "dimension", F.explode("tokens").alias("term"))
     counts = tokens.groupBy("query_id", "dimension", "term").agg(F.count(F.lit(1)).alias("qtf"))
     known = counts.join(index.terms, ["dimension", "term"]).withColumn("w", F.log1p(F.col("qtf").cast("double")) * F.col("idf"))
     norms = known.groupBy("query_id", "dimension").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"), F.count(F.lit(1)).alias("n_known"))
@@ -169,7 +172,7 @@ def term_scores(queries: DataFrame, index: LexicalIndex) -> DataFrame:
 
 def phrase_scores(queries: DataFrame, index: LexicalIndex) -> DataFrame:
     """Share of a query's exact terms that a document has, for documents with any."""
-    wanted = queries.select("query_id", "dimension", X.exact_terms(F.col("text")).alias("e")).where(F.size("e") > 0)
+    wanted = analysed(queries).select("query_id", "dimension", F.col("exact_terms").alias("e")).where(F.size("e") > 0)
     probe = wanted.select("query_id", "dimension", F.size("e").alias("n"), F.explode("e").alias("phrase"))
     held = index.documents.where(F.size("exact_terms") > 0).select("dimension", "article_id", F.explode("exact_terms").alias("phrase"))
     return held.join(probe, ["dimension", "phrase"]).groupBy("query_id", "dimension", "article_id").agg(
@@ -178,18 +181,18 @@ def phrase_scores(queries: DataFrame, index: LexicalIndex) -> DataFrame:
 
 
 def dimension_scores(
-    queries: DataFrame, index: LexicalIndex, components: dict[str, float] | None = None, hold: Callable[[DataFrame], DataFrame] = DataFrame.persist
+    queries: DataFrame, index: LexicalIndex, components: dict[str, float] | None = None, hold: Callable[[DataFrame], DataFrame] = keep
 ) -> DataFrame:
     """``query_id, dimension, article_id, tfidf, bm25, exact, score`` of the articles with any match.
 
-    Articles without a row score zero.  ``hold`` keeps what is used twice; pass
-    ``DataFrame.checkpoint`` where executors come and go.
+    Articles without a row score zero.  ``hold`` keeps what is used twice.
     """
+    queries = analysed(queries, hold)
     weights = {**COMPONENTS, **(components or {})}
     total = sum(weights.values())
     scores = hold(term_scores(queries, index))
     top = scores.groupBy("query_id", "dimension").agg(F.max("bm25_raw").alias("top"))
-    phrased = queries.where(F.size(X.exact_terms(F.col("text"))) > 0).select("query_id", "dimension", F.lit(True).alias("phrased"))
+    phrased = queries.where(F.size("exact_terms") > 0).select("query_id", "dimension", F.lit(True).alias("phrased"))
     keys = ["query_id", "dimension", "article_id"]
     both = scores.join(phrase_scores(queries, index), keys, "full")
     joined = both.join(top, keys[:2], "left").join(phrased, keys[:2], "left")

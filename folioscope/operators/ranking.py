@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from folioscope.config import DIMENSIONS, EXPLAIN_MANY, EXPLAIN_NONE, EXPLAIN_ONE, LABELS, FolioscopeError
 from folioscope.functions import text as X
-from folioscope.operators.lexical import LexicalIndex, clamp, dimension_scores
+from folioscope.operators.keep import keep
+from folioscope.operators.lexical import LexicalIndex, analysed, clamp, dimension_scores
 
 #: The order in which equal dimensions are named.
 EXPLAIN_ORDER = ("theme", "method", "data", "context", "purpose")
@@ -85,14 +86,14 @@ def explanation(scores: dict[str, Column]) -> Column:
 
 def combine(scores: DataFrame, queries: DataFrame) -> DataFrame:
     """One row per query and article with any score: ``index`` (0 to 1) and ``s_<dimension>``."""
-    weighted = scores.join(F.broadcast(queries.select("query_id", "dimension", "weight")) if _few(queries) else queries.select("query_id", "dimension", "weight"), ["query_id", "dimension"])
+    weighted = scores.join(F.broadcast(queries.select("query_id", "dimension", "weight")) if few(queries) else queries.select("query_id", "dimension", "weight"), ["query_id", "dimension"])
     return weighted.groupBy("query_id", "article_id").agg(
         F.sum(F.when(F.isnan("score"), 0.0).otherwise(F.col("score")) * F.col("weight")).alias("index"),
         *(F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(f"s_{d}") for d in DIMENSIONS),
     )
 
 
-def _few(queries: DataFrame, most: int = 50_000) -> bool:
+def few(queries: DataFrame, most: int = 50_000) -> bool:
     return queries.limit(most + 1).count() <= most
 
 
@@ -149,8 +150,9 @@ def rank_lexical(
     filters: Filters = Filters(),
     n: int = 20,
     components: dict[str, float] | None = None,
-    hold: Callable[[DataFrame], DataFrame] = DataFrame.persist,
+    hold: Callable[[DataFrame], DataFrame] = keep,
 ) -> DataFrame:
     """Scores against the whole index, then filters, then the first ``n``; ``hold`` keeps what is used twice."""
+    queries = analysed(queries, hold)
     combined = hold(combine(dimension_scores(queries, index, components, hold), queries))
     return ranked(filters.apply(articles), combined, queries, n, "lexical")

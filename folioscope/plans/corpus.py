@@ -118,8 +118,10 @@ def embedded_articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """The vectors of the first article as the query's."""
-    return embeddings(spark, folder).where("article_id = 'a0'").select(F.lit("q").alias("query_id"), "dimension", F.col("embedding").alias("vector"))
+    """A query for every vector whose id is divisible by 100: it asks in all dimensions by that vector."""
+    asked = embeddings(spark, folder).where("vec_id % 100 = 0")
+    dims = F.explode(F.array(*map(F.lit, DIMENSIONS))).alias("dimension")
+    return asked.select(F.concat(F.lit("v"), "vec_id").alias("query_id"), dims, F.col("embedding").alias("vector"))
 
 
 def versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

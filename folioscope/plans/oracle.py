@@ -193,7 +193,7 @@ CTES = {
     "eart": """SELECT article_id, 'title ' || (k % 10)::VARCHAR AS title, CASE WHEN k % 8 <> 0 THEN (2000 + k % 20)::INTEGER END AS year,
         CASE WHEN k % 2 = 0 THEN '10.1000/v.' || k::VARCHAR ELSE '' END AS doi, CASE WHEN k % 7 = 0 THEN 'other' ELSE content_hash END AS content_hash
         FROM (SELECT *, vec_id // 5 AS k FROM emb WHERE dimension = 'theme') WHERE k % 9 <> 8""",
-    "cos": """SELECT e.article_id, e.dimension, list_dot_product(e.embedding, q.embedding) AS cosine FROM emb e JOIN emb q ON q.article_id = 'a0' AND q.dimension = e.dimension""",
+    "cos": "SELECT 'v' || q.vec_id AS query_id, e.article_id, e.dimension, list_dot_product(e.embedding, q.embedding) AS cosine FROM emb e JOIN emb q ON q.vec_id % 100 = 0",
     "cur": f"SELECT doc_id::VARCHAR AS article_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents WHERE doc_id % 11 <> 0",
     "prev": "SELECT doc_id::VARCHAR AS article_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 7 <> 0",
     "cmp": """SELECT article_id, c.content_hash AS current_hash, p.content_hash AS previous_hash,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.config import DIMENSIONS
 from folioscope.functions import text as X
 from folioscope.operators import ingest, lexical, semantic, validation, versioning
+from folioscope.operators.keep import keep
 from folioscope.operators.queries import normalize_weights
 from folioscope.operators.ranking import EXPLAIN_ORDER, Filters, explanation, rank_lexical
 from folioscope.plans import corpus as C
@@ -211,7 +212,7 @@ def avg_doc_length(spark, folder):
 
 
 def _index(spark, folder):
-    return lexical.build_index(_documents(spark, folder).persist()).persist()
+    return lexical.build_index(keep(_documents(spark, folder)))
 
 
 def _asked(spark, folder, weights=WEIGHTS):
@@ -266,8 +267,8 @@ def _ranking(weights: dict[str, float], where: str = "TRUE", n: int = TOP, sourc
 
 
 def _ranked(spark, folder, weights=WEIGHTS, filters=Filters(), n=TOP):
-    articles = C.dimension_articles(spark, folder).persist()
-    index = lexical.build_index(lexical.build_lexical_documents(articles).persist()).persist()
+    articles = keep(C.dimension_articles(spark, folder))
+    index = lexical.build_index(keep(lexical.build_lexical_documents(articles)))
     return rank_lexical(articles, index, _asked(spark, folder, weights), filters, n)
 
 
@@ -359,13 +360,11 @@ def timestamps_merge(spark, folder):
 # Embeddings.
 
 
-@query("SELECT count(*) AS actual, min(len(embedding))::INTEGER AS dimensions, count(*) = 5 * count(DISTINCT article_id) AS complete FROM emb")
+@query("SELECT count(*) AS actual, min(len(embedding))::INTEGER AS dimensions, CASE WHEN count(*) = 5 * count(DISTINCT article_id) THEN 'complete' ELSE 'partial' END AS status, TRUE AS normalized FROM emb")
 def embedding_status(spark, folder):
-    return C.embeddings(spark, folder).agg(
-        F.count(F.lit(1)).alias("actual"),
-        F.min("embedding_dimensions").alias("dimensions"),
-        (F.count(F.lit(1)) == 5 * F.count_distinct("article_id")).alias("complete"),
-    )
+    every = C.embeddings(spark, folder)
+    status = semantic.embedding_status(every, every.select("article_id").distinct().count())
+    return spark.createDataFrame([(status["actual"], status["dimensions"], status["status"], status["normalized"])], "actual long, dimensions int, status string, normalized boolean")
 
 
 @query(
@@ -380,56 +379,81 @@ def embedding_reuse(spark, folder):
     return semantic.merge_embeddings(supplied, previous, unchanged, articles).select("article_id", "dimension", F.col("model_name").alias("origin"))
 
 
-@query("SELECT article_id, dimension, round(cosine, 6) AS cosine, round((greatest(-1, least(1, cosine)) + 1) / 2, 6) AS score FROM cos")
+@query("SELECT query_id, article_id, dimension, round(cosine, 6) AS cosine, round((greatest(-1, least(1, cosine)) + 1) / 2, 6) AS score FROM cos")
 def cosine_scores(spark, folder):
     found = semantic.semantic_scores(C.embeddings(spark, folder), C.query_vectors(spark, folder))
-    return found.select("article_id", "dimension", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+    return found.select("query_id", "article_id", "dimension", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
 
 
 ALL_WEIGHTS = normalize_weights(None, list(DIMENSIONS))
 
 
 @query(
-    f"""SELECT rank, article_id, index, {', '.join(f'similarity_{d}' for d in EXPLAIN_ORDER)}, title, year, doi FROM (
-    SELECT *, row_number() OVER (ORDER BY index DESC, similarity_theme DESC NULLS LAST, year DESC NULLS LAST, title, article_id)::INTEGER AS rank FROM (
-    SELECT article_id, title, year, doi, round(100 * sum(score * w), 6) AS index,
+    f"""SELECT query_id, rank, article_id, index, {', '.join(f'similarity_{d}' for d in EXPLAIN_ORDER)}, title, year, doi FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY index DESC, similarity_theme DESC NULLS LAST, year DESC NULLS LAST, title, article_id)::INTEGER AS rank FROM (
+    SELECT query_id, article_id, title, year, doi, round(100 * sum(score * w), 6) AS index,
     {', '.join(f"round(100 * max(CASE WHEN dimension = '{d}' THEN score END), 6) AS similarity_{d}" for d in EXPLAIN_ORDER)}
     FROM (SELECT *, (greatest(-1, least(1, cosine)) + 1) / 2 AS score,
     CASE dimension {' '.join(f"WHEN '{d}' THEN {w!r}::DOUBLE" for d, w in ALL_WEIGHTS.items())} END AS w FROM cos) JOIN eart USING (article_id)
     WHERE year >= 2004 GROUP BY ALL)) WHERE rank <= 20"""
 )
 def rank_semantic(spark, folder):
-    asked = spark.createDataFrame([("q", d, "-", w) for d, w in ALL_WEIGHTS.items()], "query_id string, dimension string, text string, weight double")
-    found = semantic.rank_semantic(C.embedded_articles(spark, folder), C.embeddings(spark, folder), asked, C.query_vectors(spark, folder), Filters(year_min=2004))
-    return found.select("rank", "article_id", "index", *(f"similarity_{d}" for d in EXPLAIN_ORDER), "title", "year", "doi")
+    vectors = C.query_vectors(spark, folder)
+    weight = F.create_map(*(F.lit(x) for d, w in ALL_WEIGHTS.items() for x in (d, w)))
+    asked = vectors.select("query_id", "dimension", F.lit("-").alias("text"), weight[F.col("dimension")].alias("weight"))
+    found = semantic.rank_semantic(C.embedded_articles(spark, folder), C.embeddings(spark, folder), asked, vectors, Filters(year_min=2004))
+    return found.select("query_id", "rank", "article_id", "index", *(f"similarity_{d}" for d in EXPLAIN_ORDER), "title", "year", "doi")
 
 
 # Integrity checks.
 
 
 @query(
-    """SELECT 'V4_article_ids_unique' AS check_id, 0::BIGINT AS violations UNION ALL SELECT 'V5_lexical_unique', count(*) FROM (SELECT 1 FROM docs GROUP BY article_id, dimension HAVING count(*) > 1)
-    UNION ALL SELECT 'V6_lexical_complete', abs((SELECT count(*) FROM docs WHERE dimension <> 'data') - 5 * (SELECT count(*) FROM art))
-    UNION ALL SELECT 'V6b_lexical_orphans', 0 UNION ALL SELECT 'V7_lexical_dimensions', count(*) FILTER (WHERE dimension = 'theme') FROM docs"""
+    """SELECT * FROM (WITH a AS (SELECT article_id FROM art UNION ALL SELECT article_id FROM art WHERE year % 4 = 0),
+    d AS (SELECT article_id, dimension FROM docs WHERE dimension <> 'data' UNION ALL SELECT 'gone' || article_id, dimension FROM docs WHERE dimension = 'purpose' AND document_length % 3 = 0)
+    SELECT 'V4_article_ids_unique' AS check_id, count(*) - count(DISTINCT article_id) AS violations FROM a UNION ALL SELECT 'V5_lexical_unique', count(*) FROM (SELECT 1 FROM d GROUP BY article_id, dimension HAVING count(*) > 1)
+    UNION ALL SELECT 'V6_lexical_complete', abs((SELECT count(*) FROM d) - 5 * (SELECT count(*) FROM a))
+    UNION ALL SELECT 'V6b_lexical_orphans', count(*) FROM d WHERE article_id NOT IN (SELECT article_id FROM a) UNION ALL SELECT 'V7_lexical_dimensions', count(*) FILTER (WHERE dimension = 'theme') FROM d)"""
 )
 def checks_lexical(spark, folder):
-    """Documents of one dimension are left out and those of another renamed, so that checks fail."""
-    articles = C.dimension_articles(spark, folder)
-    documents = lexical.build_lexical_documents(articles).where("dimension <> 'data'")
+    """Articles stand twice, documents are left out, renamed or without an article, so that every check fails."""
+    articles = keep(C.dimension_articles(spark, folder))
+    documents = keep(lexical.build_lexical_documents(articles))
+    lost = documents.where("dimension = 'purpose' AND document_length % 3 = 0").withColumn("article_id", F.concat(F.lit("gone"), "article_id"))
+    documents = documents.where("dimension <> 'data'").unionByName(lost)
+    articles = articles.unionByName(articles.where("year % 4 = 0"))
     broken = documents.withColumn("dimension", F.when(F.col("dimension") == "theme", "topic").otherwise(F.col("dimension")))
     return validation.lexical_checks(articles, broken)
 
 
 @query(
-    """SELECT 'V8_embedding_orphans' AS check_id, count(*) AS violations FROM emb WHERE article_id NOT IN (SELECT article_id FROM eart)
-    UNION ALL SELECT 'V9_embedding_unique', 0 UNION ALL SELECT 'V10_embedding_dimensions', 0
-    UNION ALL SELECT 'V11_embedding_hashes', count(*) FROM emb e JOIN eart a USING (article_id) WHERE e.content_hash <> a.content_hash
-    UNION ALL SELECT 'V12_one_model', 0 UNION ALL SELECT 'V13_one_length', count(DISTINCT len(embedding)) - 1 FROM emb
-    UNION ALL SELECT 'V14_normalized_flag', 0 UNION ALL SELECT 'V14b_unit_norm', count(*) FILTER (WHERE abs(sqrt(list_dot_product(embedding, embedding)) - 1) > 1e-6) FROM emb
-    UNION ALL SELECT 'V15_finite', 0 UNION ALL SELECT 'V16_articles_even', count(*) FROM (SELECT article_id FROM emb GROUP BY 1 HAVING count(*) > 5 OR count(*) <> count(DISTINCT dimension))"""
+    """SELECT * FROM (WITH b AS (SELECT article_id, CASE WHEN vec_id % 31 = 3 THEN 'topic' ELSE dimension END AS dimension, CASE WHEN vec_id % 10 = 1 THEN 'other' ELSE 'm' END AS model,
+        vec_id % 6 <> 0 AS flag, vec_id % 8 = 5 AS odd, vec_id % 9 = 2 AS long, embedding, content_hash FROM emb UNION ALL
+        SELECT article_id, CASE WHEN vec_id % 31 = 3 THEN 'topic' ELSE dimension END, CASE WHEN vec_id % 10 = 1 THEN 'other' ELSE 'm' END, vec_id % 6 <> 0, vec_id % 8 = 5, vec_id % 9 = 2, embedding, content_hash FROM emb WHERE vec_id % 50 = 7)
+    SELECT 'V8_embedding_orphans' AS check_id, count(*) AS violations FROM b WHERE article_id NOT IN (SELECT article_id FROM eart)
+    UNION ALL SELECT 'V9_embedding_unique', count(*) FROM (SELECT 1 FROM b GROUP BY article_id, dimension HAVING count(*) > 1)
+    UNION ALL SELECT 'V10_embedding_dimensions', count(*) FROM b WHERE dimension NOT IN ('theme', 'purpose', 'method', 'data', 'context')
+    UNION ALL SELECT 'V11_embedding_hashes', count(*) FROM b e JOIN eart a USING (article_id) WHERE e.content_hash <> a.content_hash
+    UNION ALL SELECT 'V12_one_model', count(DISTINCT model) - 1 FROM b UNION ALL SELECT 'V13_one_length', count(DISTINCT CASE WHEN long THEN len(embedding) + 1 ELSE len(embedding) END) - 1 FROM b
+    UNION ALL SELECT 'V14_normalized_flag', count(*) FROM b WHERE NOT flag
+    UNION ALL SELECT 'V14b_unit_norm', count(*) FROM b WHERE odd OR long OR abs(sqrt(list_dot_product(embedding, embedding)) - 1) > 1e-6
+    UNION ALL SELECT 'V15_finite', count(*) FROM b WHERE odd
+    UNION ALL SELECT 'V16_articles_even', count(*) FROM (SELECT article_id FROM b GROUP BY 1 HAVING count(*) > 5 OR count(*) <> count(DISTINCT dimension)))"""
 )
 def checks_embeddings(spark, folder):
-    return validation.embedding_checks(C.embedded_articles(spark, folder), C.embeddings(spark, folder))
+    """Vectors stand twice, under a wrong dimension, of another model, without the flag, too long or not a number, so that every check fails."""
+    every = C.embeddings(spark, folder)
+    every = every.unionByName(every.where("vec_id % 50 = 7"))
+    nan = F.transform("embedding", lambda x: F.lit(float("nan")))
+    broken = every.withColumns(
+        {
+            "dimension": F.when(F.col("vec_id") % 31 == 3, "topic").otherwise(F.col("dimension")),
+            "model_name": F.when(F.col("vec_id") % 10 == 1, "other").otherwise("m"),
+            "normalized": F.col("vec_id") % 6 != 0,
+            "embedding": F.concat(F.when(F.col("vec_id") % 8 == 5, nan).otherwise(F.col("embedding")), F.when(F.col("vec_id") % 9 == 2, F.array(F.lit(2.0))).otherwise(F.array().cast("array<double>"))),
+        }
+    )
+    return validation.embedding_checks(C.embedded_articles(spark, folder), broken)
 
 
 @query("SELECT article_id, dimension FROM emb WHERE article_id NOT IN (SELECT article_id FROM eart)")
@@ -443,14 +467,21 @@ def checks_hash(spark, folder):
     return C.embeddings(spark, folder).join(articles, "article_id").where("content_hash <> h").select("article_id", "dimension")
 
 
+FIXED_METADATA = {k: v for k, v in versioning.release_metadata("2026.01", C.NOW[:10], 0, "m", {"status": "absent", "dimensions": 0, "normalized": False}, {}).items() if "articles" not in k}
+
+
 @query(
     "SELECT * FROM (SELECT unnest(['number_of_articles', 'articles_new', 'articles_modified', 'articles_unchanged', 'articles_removed']) AS key, unnest([(SELECT count(*) FROM cur), "
     + ", ".join(f"(SELECT count(*) FROM cmp WHERE status = '{s}')" for s in versioning.STATUSES)
-    + "])::VARCHAR AS value)"
+    + "])::VARCHAR AS value) UNION ALL SELECT unnest("
+    + O.listed(FIXED_METADATA)
+    + "), unnest("
+    + O.listed(map(str, FIXED_METADATA.values()))
+    + ")"
 )
 def metadata_kv(spark, folder):
     current, previous = C.versions(spark, folder)
     rows = versioning.comparison_summary(versioning.compare_versions(current, previous)).collect()
     status = {"status": "absent", "dimensions": 0, "normalized": False}
     values = versioning.release_metadata("2026.01", C.NOW[:10], current.count(), "m", status, {r.status: r.n_articles for r in rows})
-    return spark.createDataFrame([(k, v) for k, v in values.items() if "articles" in k], "key string, value string")
+    return spark.createDataFrame([(k, str(v)) for k, v in values.items()], "key string, value string")
