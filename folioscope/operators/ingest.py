@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.config import ALIASES, CONTENT_FIELDS, DIMENSIONS, FolioscopeError
@@ -169,22 +169,26 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.08, max_records: i
     if max_records is not None and articles.limit(max_records + 1).count() > max_records:
         articles = articles.limit(0)
     base = articles.where("title_normalized <> ''").select("article_id", "year", "title", F.col("title_normalized").alias("t"))
-    titles = keep(base.select("year", "t").distinct().withColumn("n", F.length("t")))
+    titles = keep(base.select("year", "t").distinct().select("year", "t", F.length("t").alias("n"), F.monotonically_increasing_id().alias("id")))
     # Titles are compared with longer ones too, so the edits are those that the longest partner allows.
     most = F.floor(F.lit(threshold) * F.floor(F.col("n") / (1 - threshold) + 1e-9) + 1e-9).cast("int")
-    titles = titles.withColumn("d", most).where("d > 0")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - GRAM + 1)), lambda i: F.xxhash64(F.substr("t", i, F.lit(GRAM))))
-    hashed = titles.withColumn("grams", grams)
-    counts = hashed.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    common = [r.g for r in counts.where("df > 1").orderBy(F.col("df").desc(), "g").limit(COMMON).collect()][::-1]
-    listed = F.lit(common).cast("array<bigint>")
-    placed = F.array_sort(F.transform("grams", lambda g, i: F.struct(F.array_position(listed, g).alias("common"), g.alias("g"), i.cast("int").alias("at"))))
-    entries = hashed.select("year", "t", "n", F.explode(F.slice(placed, 1, GRAM * F.col("d") + 1)).alias("x")).select("year", "t", "n", "x.g", "x.at")
+    placed = titles.withColumn("d", most).where("d > 0").select("id", "year", "n", "d", F.posexplode(grams).alias("at", "g"))
+    counts = keep(placed.groupBy("g").agg(F.count(F.lit(1)).alias("df")))
+    common = counts.orderBy(F.col("df").desc(), "g").limit(COMMON).collect()
+    often = F.col("g").isin([r.g for r in common]) if common else F.lit(False)
+    # The most frequent grams, at most ``COMMON``, meet their counts where they are; no other gram is a large key.
+    known = F.broadcast(articles.sparkSession.createDataFrame([tuple(r) for r in common], "g long, df long"))
+    counted = placed.where(~often).join(counts, "g").unionByName(placed.where(often).join(known, "g"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "g", "at"))
+    entries = keep(counted.withColumn("k", rank).where(F.col("k") <= GRAM * F.col("d") + 1).select("id", "year", "n", "g", "at"))
     a, b = entries.alias("a"), entries.alias("b")
     allowed = F.floor(F.lit(threshold) * F.greatest("a.n", "b.n") + 1e-9)
-    met = a.join(b, F.expr("a.year <=> b.year AND a.g = b.g AND a.t < b.t") & (F.abs(F.col("a.n") - F.col("b.n")) <= allowed) & (F.abs(F.col("a.at") - F.col("b.at")) <= allowed))
-    pairs = met.select(F.col("a.year").alias("year"), F.col("a.t").alias("t"), F.col("b.t").alias("s")).distinct()
-    near = pairs.select("year", "t", "s", F.levenshtein("t", "s").alias("distance"), F.greatest(F.length("t"), F.length("s")).alias("n"))
+    met = a.join(b, F.expr("a.year <=> b.year AND a.g = b.g AND a.id < b.id") & (F.abs(F.col("a.n") - F.col("b.n")) <= allowed) & (F.abs(F.col("a.at") - F.col("b.at")) <= allowed))
+    pairs = met.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    for end, name in (("u", "t"), ("v", "s")):
+        pairs = pairs.join(titles.select(F.col("id").alias(end), F.col("t").alias(name), F.col("year").alias(f"year_{name}")), end)
+    near = pairs.select(F.col("year_t").alias("year"), "t", "s", F.levenshtein("t", "s").alias("distance"), F.greatest(F.length("t"), F.length("s")).alias("n"))
     near = near.where(F.col("distance") <= threshold * F.col("n") + 1e-9)
     one = base.select(F.col("article_id").alias("a"), F.col("year").alias("year_a"), F.col("title").alias("title_one"), F.col("t").alias("t_a"))
     other = base.select(F.col("article_id").alias("b"), F.col("year").alias("year_b"), F.col("title").alias("title_other"), F.col("t").alias("t_b"))
