@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm.common import table, written
+from folioscope.llm.common import remove_folder, scratch, scratch_path, table
 from folioscope.llm.decontaminate import drop_contaminated
 from folioscope.llm.line_dedup import dedup_lines
 from folioscope.llm.mixing import Mix, mix_sources
@@ -53,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Every stage is written and read again; what a stage leaves in the shared folder goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch_path(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
