@@ -82,16 +82,22 @@ def fresh_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def heavy_keys(big: DataFrame, keys: list[str], n: int, least: int = 64) -> DataFrame | None:
-    """The ``keys`` with more than ``least`` rows, and more than a ten-thousandth of the ``n`` rows of ``big``.
+#: Keys that are dealt to several tasks at most, and the rows from which a key is.
+HEAVY, LEAST = 10_000, 256
 
-    ``_parts`` tells how many tasks to deal each to.  There are at most ten thousand of
-    them, so they may be broadcast; None if there are none.
+
+def heavy_keys(counts: DataFrame, keys: list[str], least: int = LEAST) -> DataFrame | None:
+    """Of ``counts`` (``keys`` and ``n``, their rows) the largest ``HEAVY`` with more than ``least``; None if there are none.
+
+    ``_parts`` tells how many tasks to deal each to.  Their number is bounded, so they may
+    be broadcast; any key not among them has less than a ten-thousandth of all rows.
     """
-    limit = max(least, n // 10_000)
-    rows = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
-    found = rows.collect()
-    return F.broadcast(big.sparkSession.createDataFrame(found, rows.schema)) if found else None
+    rows = counts.where(F.col("n") > least).orderBy(F.col("n").desc(), *keys).limit(HEAVY).select(*keys, "n").collect()
+    if not rows:
+        return None
+    size = max(least, sum(r.n for r in rows) // HEAVY)
+    schema = counts.select(*keys, F.lit(0).alias("_parts")).schema
+    return F.broadcast(counts.sparkSession.createDataFrame([(*r[:-1], -(-r.n // size)) for r in rows], schema))
 
 
 def dealt(big: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
@@ -105,9 +111,15 @@ def sent(small: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
     return small.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], n: int | None = None, least: int = 64) -> DataFrame:
-    """``big.join(small, keys)``, where a key may hold most of ``big``, which must be cheap to read twice."""
-    heavy = heavy_keys(big, keys, big.count() if n is None else n, least)
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame | None = None, least: int = LEAST) -> DataFrame:
+    """``big.join(small, keys)``, where a key may hold most of ``big``.
+
+    ``counts`` has ``keys`` and ``n``, how many rows of ``big`` there are of each, if that is
+    known; else they are counted, so ``big`` must be cheap to read twice.
+    """
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    heavy = heavy_keys(counts, keys, least)
     if heavy is None:
         return big.join(small, keys)
     return dealt(big, keys, heavy).join(sent(small, keys, heavy), [*keys, "_salt"]).drop("_salt")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import BLANKS, ascii_lower, cut, dealt, fresh_names, sent, sha256_hex
+from folioscope.llm.common import BLANKS, ascii_lower, cut, fresh_names, sha256_hex, spread_join
 
 
 def split_lines(text: Column) -> Column:
@@ -122,7 +122,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     lines = hashes.select(
         "doc_id", "row_key", "n_lines", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x")
     ).select("doc_id", "row_key", "n_lines", "pos", "x.a", "x.b")
-    hit = _hits(lines.where(F.col("a").isNotNull()), frequent)
+    # The keys of most lines are dealt to several tasks.
+    hit = spread_join(lines.where(F.col("a").isNotNull()), frequent, ["a", "b"], frequent.withColumnRenamed("n_docs", "n"))
     if keep_first:
         first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("row_key") == F.col("first_key"))
         hit = hit.where(~(first & (F.col("pos") == F.col("first_pos"))))
@@ -136,20 +137,6 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     )
 
 
-def _hits(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The lines with a frequent key; the keys of most lines are dealt to several tasks.
-
-    Those have over a ten-thousandth of all such lines, so there are at most ten thousand of them.
-    """
-    limit = max(64, (frequent.agg(F.sum("n_docs")).first()[0] or 0) // 10_000)
-    rows = frequent.where(F.col("n_docs") > limit).select("a", "b", F.ceil(F.col("n_docs") / limit).cast("int").alias("_parts"))
-    found = rows.collect()
-    if not found:
-        return lines.join(frequent, ["a", "b"])
-    heavy = F.broadcast(lines.sparkSession.createDataFrame(found, rows.schema))
-    return dealt(lines, ["a", "b"], heavy).join(sent(frequent, ["a", "b"], heavy), ["a", "b", "_salt"]).drop("_salt")
-
-
 def with_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """``docs`` with ``dedup_bitmap`` and ``dedup_dropped`` (numbered if ``docs`` has those), null for documents that keep all lines."""
     doc, key, n, bitmap = fresh_names(docs.columns, "doc", "key", "dedup_dropped", "dedup_bitmap")

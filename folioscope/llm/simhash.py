@@ -141,9 +141,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = cut(edges.union(edges.select("v", "u")).toDF("node", "near"))
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")))
-    n = labels.count()
     # A node with most of the links is dealt to several tasks; which ones they are does not change.
-    heavy = heavy_keys(both, ["near"], both.count())
+    heavy = heavy_keys(both.groupBy("near").agg(F.count(F.lit(1)).alias("n")), ["near"])
     keys = ["near"] if heavy is None else ["near", "_salt"]
     asked = both if heavy is None else cut(dealt(both, ["near"], heavy))
     while True:
@@ -154,7 +153,7 @@ def components(edges: DataFrame) -> DataFrame:
         best = hung.groupBy("node").agg(F.min("offer").alias("offer"))
         moved = cut(labels.join(best, "node", "left").select("node", F.least("root", "offer").alias("root"), F.col("root").alias("old")))
         up = moved.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        after = cut(spread_join(moved, up, ["root"], n).select("node", F.col("higher").alias("root"), "old"))
+        after = cut(spread_join(moved, up, ["root"]).select("node", F.col("higher").alias("root"), "old"))
         labels = after.select("node", "root")
         if after.where("root <> old").isEmpty():
             return labels
@@ -163,7 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """``doc_id, fp, component_id`` of every document."""
     prints = cut(fingerprints(docs, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     roots = components(links(nodes.select("fp"), radius))
     rooted = cut(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first_id", "root"))
     smallest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
@@ -171,7 +170,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     named = cut(
         nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     )
-    return spread_join(prints, named, ["fp"]).select("doc_id", "fp", "component_id")
+    return spread_join(prints, named, ["fp"], nodes).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

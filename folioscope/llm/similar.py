@@ -106,7 +106,7 @@ def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
     for seed in range(seeds):
         one = prints.select("node", F.get("fps", seed).alias("fp"))
         nodes = cut(one.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
-        equal = spread_join(one, nodes.where("n > 1"), ["fp"]).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+        equal = spread_join(one, nodes.where("n > 1"), ["fp"], nodes).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
         met = links(nodes.select("fp"), 2)
         firsts = nodes.select("fp", "first")
         far = (
@@ -121,7 +121,7 @@ def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
 def _banded(entries: DataFrame) -> DataFrame:
     """``key, node, first, n`` of the bands with two members or more; ``entries`` has ``key`` and ``node``."""
     bands = cut(entries.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return cut(spread_join(entries, bands, ["key"]))
+    return cut(spread_join(entries, bands, ["key"], bands))
 
 
 def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     )
     prints = cut(rows.mapInArrow(run, "doc long, a long, b long, fps array<long>, n long, sketch array<tinyint>, bands array<long>"))
     # A text is a node, whichever documents have it.
-    texts = prints.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first(F.struct("fps", "n", "sketch", "bands")).alias("p"))
+    texts = prints.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("rows"), F.first(F.struct("fps", "n", "sketch", "bands")).alias("p"))
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
     nodes = texts.select("node", "p.*")
     facts = nodes.select("node", "n", "sketch")
@@ -211,7 +211,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     if not pairs.isEmpty():
         edges = edges.union(near(pairs))
     # Documents come back to their texts, and the texts of one document hang together.
-    held = cut(spread_join(prints.select("doc", "a", "b"), texts.select("a", "b", "node"), ["a", "b"]).select("doc", "node").distinct())
+    held = cut(spread_join(prints.select("doc", "a", "b"), texts.select("a", "b", "node"), ["a", "b"], texts.select("a", "b", F.col("rows").alias("n"))).select("doc", "node").distinct())
     several = held.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
     same = held.join(several, "doc").where("node <> u").select("u", F.col("node").alias("v"))
     roots = components(edges.union(same).distinct())
