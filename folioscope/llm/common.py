@@ -115,14 +115,15 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], counts: DataF
     """``big.join(small, keys)``, where a key may hold most of ``big``.
 
     ``counts`` has ``keys`` and ``n``, how many rows of ``big`` there are of each, if that is
-    known; else they are counted, so ``big`` must be cheap to read twice.
+    known; else they are counted, so ``big`` must be cheap to read twice.  Neither side is
+    broadcast, as both grow with the data.
     """
     if counts is None:
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     heavy = heavy_keys(counts, keys, least)
     if heavy is None:
-        return big.join(small, keys)
-    return dealt(big, keys, heavy).join(sent(small, keys, heavy), [*keys, "_salt"]).drop("_salt")
+        return big.join(small.hint("merge"), keys)
+    return dealt(big, keys, heavy).join(sent(small, keys, heavy).hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def ascii_lower(text: Column) -> Column:

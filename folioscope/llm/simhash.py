@@ -147,11 +147,11 @@ def components(edges: DataFrame) -> DataFrame:
     asked = both if heavy is None else cut(dealt(both, ["near"], heavy))
     while True:
         told = labels.select(F.col("node").alias("near"), F.col("root").alias("offer"))
-        offers = asked.join(told if heavy is None else sent(told, ["near"], heavy), keys).groupBy("node").agg(F.min("offer").alias("offer"))
-        offered = labels.join(offers, "node").select("node", "root", "offer")
+        offers = asked.join((told if heavy is None else sent(told, ["near"], heavy)).hint("merge"), keys).groupBy("node").agg(F.min("offer").alias("offer"))
+        offered = labels.join(offers.hint("merge"), "node").select("node", "root", "offer")
         hung = offered.select("node", "offer").union(offered.select("root", "offer"))
         best = hung.groupBy("node").agg(F.min("offer").alias("offer"))
-        moved = cut(labels.join(best, "node", "left").select("node", F.least("root", "offer").alias("root"), F.col("root").alias("old")))
+        moved = cut(labels.join(best.hint("merge"), "node", "left").select("node", F.least("root", "offer").alias("root"), F.col("root").alias("old")))
         up = moved.select(F.col("node").alias("root"), F.col("root").alias("higher"))
         after = cut(spread_join(moved, up, ["root"]).select("node", F.col("higher").alias("root"), "old"))
         labels = after.select("node", "root")

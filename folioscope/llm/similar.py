@@ -127,7 +127,7 @@ def _banded(entries: DataFrame) -> DataFrame:
 def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
     """``members`` with their component ``root``, of the bands that hold more than one component."""
     roots = components(edges)
-    named = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = cut(members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return cut(spread_join(named, mixed.select("key"), ["key"]))
 
@@ -180,7 +180,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     def with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
         u, v = (facts.toDF(*(end if c == "node" else f"{c}_{end}" for c in facts.columns)) for end in "uv")
-        return spread_join(pairs, u, ["u"]).join(v, "v")
+        return spread_join(pairs, u, ["u"]).join(v.hint("merge"), "v")
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs that hold.  Sizes settle most candidates, and sketches most others: of pairs at the
@@ -215,7 +215,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     several = held.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
     same = held.join(several, "doc").where("node <> u").select("u", F.col("node").alias("v"))
     roots = components(edges.union(same).distinct())
-    named = cut(texts.join(roots, "node", "left").select("node", "low", "high", F.coalesce("root", "node").alias("root")))
+    named = cut(texts.select("node", "low", "high").join(roots.hint("merge"), "node", "left").select("node", "low", "high", F.coalesce("root", "node").alias("root")))
     groups = cut(named.groupBy("root").agg(F.min("low").alias("component_id"), F.max("high").alias("last")).where("component_id <> last"))
     member = cut(spread_join(named.select("node", "root"), groups, ["root"]).select("node", "component_id"))
     return spread_join(held, member, ["node"]).select(F.col("doc").alias("doc_id"), "component_id").distinct()
