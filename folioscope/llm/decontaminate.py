@@ -25,7 +25,7 @@ Defined results
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -72,11 +72,7 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
             term = np.concatenate(found)
             begins = np.repeat(np.arange(len(counts)) * GAP, counts)
             place = np.arange(len(term)) + begins
-            # Terms are numbered in their own order, so that shards are alike whatever came first.
-            names = sorted(terms)
-            number = np.empty(len(names), np.int32)
-            number[[terms[t] for t in names]] = np.arange(len(names))
-            term = number[term]
+            names = list(terms)
             order = np.argsort(term, kind="stable")
             place, times = place[order], np.bincount(term, minlength=len(names))
             starts = np.cumsum(times) - times
@@ -169,20 +165,26 @@ GAP = 64
 def _within(here: np.ndarray, want: np.ndarray, slop: int) -> np.ndarray:
     """Whether each position of ``want`` has one of ``here`` within ``slop``."""
     left = np.searchsorted(here, want - slop)
+    if not len(here):
+        return np.zeros(len(want), bool)
     return (left < len(here)) & (here[np.minimum(left, len(here) - 1)] <= want + slop)
 
 
-def find_window(lists: list[np.ndarray], order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+def find_window(positions: Callable[[int], np.ndarray], window: list[int], order: list[int], slop: int) -> tuple[np.ndarray, np.ndarray]:
     """The starts at which a window stands in place, and those at which it stands near.
 
-    ``lists[k]`` are the positions of its k-th term and ``order`` is from the rarest term on.
+    ``positions`` gives those of a term and ``order`` is from the rarest term of the window on.
     Near means that the first word is in place and each other within ``slop`` of its own.
     """
-    none = lists[0][:0]
-    if any(not len(x) for x in lists):
-        return none, none
     k = order[0]
-    starts = lists[k] - k
+    starts = positions(window[k]) - k
+    none = starts[:0]
+    # Of two words in their places or near, one stands at most twice the slop from where the other has it.
+    for other in order[1:3]:
+        starts = starts[_within(positions(window[other]), starts + other, 2 * slop)] if len(starts) else starts
+    if not len(starts):
+        return none, none
+    lists = [positions(t) for t in window]
     if k:
         starts = np.unique(np.concatenate([starts + d for d in range(-slop, slop + 1)]))
         starts = starts[_within(lists[0], starts, 0)]
@@ -201,7 +203,7 @@ def match_shards(index: DataFrame, windows: Windows, rarity: dict[int, int], slo
     """Per document row of the index: the hit runs, the items and the near matches of one block of windows."""
     seen = np.zeros(max(1, len(windows.terms)), np.int64)
     seen[list(rarity)] = list(rarity.values())
-    orders = [np.lexsort((np.arange(len(w)), seen[w])) for w in windows.rows]
+    orders = [np.lexsort((np.arange(len(w)), seen[w])).tolist() for w in windows.rows]
     # A window with a term that no document has cannot be found.
     by_first: dict[int, list[int]] = {}
     for i, (w, order) in enumerate(zip(windows.rows, orders)):
@@ -232,9 +234,7 @@ def match_shards(index: DataFrame, windows: Windows, rarity: dict[int, int], slo
                 for first in here:
                     for i in by_first.get(first, ()):
                         window = rows[i].tolist()
-                        if not all(t in here for t in window):
-                            continue
-                        starts, close = find_window([positions(t) for t in window], orders[i], slop)
+                        starts, close = find_window(positions, window, orders[i], slop)
                         np.add.at(near, np.searchsorted(ends, close, side="right"), 1)
                         if len(starts):
                             hits.append((starts, len(window)))
@@ -275,7 +275,7 @@ def term_counts(index: DataFrame, terms: dict[bytes, int]) -> dict[int, int]:
         return {}
     wanted = index.sparkSession.createDataFrame([(bytearray(t), k) for t, k in terms.items()], "term binary, number int")
     pairs = index.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("times").alias("n"))).alias("x")).select("x.term", "x.n")
-    return {r[0]: r[1] for r in pairs.join(wanted, "term").groupBy("number").agg(F.sum("n")).collect()}
+    return {r[0]: r[1] for r in pairs.join(F.broadcast(wanted), "term").groupBy("number").agg(F.sum("n")).collect()}
 
 
 def contamination(
