@@ -139,7 +139,8 @@ def components(edges: DataFrame) -> DataFrame:
     the neighbours, then halves the paths; rounds grow with the logarithm of the
     size, and each one is cut by a checkpoint.
     """
-    both = cut(edges.union(edges.select("v", "u")).toDF("node", "near"))
+    ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("near")), F.struct(F.col("v").alias("node"), F.col("u").alias("near")))
+    both = cut(edges.select(F.explode(ends).alias("x")).select("x.node", "x.near"))
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")))
     # A node with most of the links is dealt to several tasks; which ones they are does not change.
     heavy = heavy_keys(both.groupBy("near").agg(F.count(F.lit(1)).alias("n")), ["near"])

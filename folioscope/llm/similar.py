@@ -11,10 +11,10 @@ Jaccard similarity of the shingle sets, and groups are the components of the lin
 
 Members of a band are first linked to its smallest one.  A band whose members are then
 in one component is done; in the others every pair of members from different components
-is a candidate too.  Where more than :data:`CROWD` members are left, they are dealt anew
-by their other bands first, and what meets in two bands goes the same way (a pair at 0.8
-meets in fewer than two of 32 bands once in 900,000 times); no member or pair is dropped
-for the size of its group.
+is a candidate too.  Members of a band of more than :data:`CROWD` are dealt anew first, by
+their rarest shingles: of two sets at 0.8 the rarest fifth of one meets that of the other,
+so nothing is lost, and texts that only share a common passage part.  What meets at a rare
+shingle goes the same way; no member or pair is dropped for the size of its group.
 
 Defined results
 ---------------
@@ -27,13 +27,15 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, fresh_names, spread_join, written
@@ -43,8 +45,12 @@ from folioscope.llm.simhash import components, links
 SKETCH = 128
 #: A pair at the threshold meets in no band with this probability at most.
 MISS = 1e-6
-#: Members of a band that are paired as they are; larger ones are dealt by a second band first.
+#: Members of a band that are paired as they are; those of larger ones are dealt by their rarest shingles first.
 CROWD = 32
+#: What every member of a band carries beside ``key`` and ``node``: shingles, those before the one of the key, the last bits of each minimal hash.
+CARRIED = ("size", "place", "bits")
+#: How many last bits of a minimal hash those are.
+PLANES = 4
 SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -100,6 +106,22 @@ def signature(grams: list[int], rows: int, size: int = SKETCH) -> tuple[list[int
     return (least & np.uint64(0xFF)).astype(np.uint8).view(np.int8).tolist(), keys.view(np.int64).tolist()
 
 
+def last_bits(sketch: list[int]) -> list[int]:
+    """The last bits of the minimal hashes, one plane of signed longs after the other."""
+    planes = np.array(sketch, np.int8).view(np.uint8) >> np.arange(PLANES, dtype=np.uint8)[:, None] & 1
+    return np.packbits(planes, axis=1).view(np.int64).ravel().tolist()
+
+
+def most_odd(similarity: float, size: int = SKETCH) -> int:
+    """The most minimal hashes whose last bits differ in all but one in ten million pairs at ``similarity``."""
+    odd, tail = (1 - similarity) * (1 - 0.5**PLANES), 1.0
+    for d in range(size):
+        tail -= math.comb(size, d) * odd**d * (1 - odd) ** (size - d)
+        if tail <= 1e-7:
+            return d
+    return size
+
+
 def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
     """``u, v`` documents that one of the fingerprints puts within two bits; ``prints`` has ``node`` and ``fps``."""
     found = None
@@ -119,7 +141,7 @@ def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
 
 
 def _banded(entries: DataFrame) -> DataFrame:
-    """``key, node, first, n`` of the bands with two members or more; ``entries`` has ``key`` and ``node``."""
+    """``key, node, first, n`` of the bands with two members or more; ``entries`` has ``key``, ``node`` and what else is kept."""
     bands = cut(entries.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     return cut(spread_join(entries, bands, ["key"], bands))
 
@@ -132,10 +154,35 @@ def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(spread_join(named, mixed.select("key"), ["key"]))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """``u, v``: the pairs of a band from different components that its first member is not in."""
-    u, v = (members.where("node <> first").select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
-    return u.join(v, "key").where("u < v AND root_u <> root_v").select("u", "v")
+def _rarest(grams: DataFrame, similarity: float) -> DataFrame:
+    """``key, node, size, place``: the shingles by which sets at ``similarity`` must meet; ``grams`` has ``node`` and ``grams``.
+
+    They are the first ``size - ceil(similarity * size) + 1`` in the order of how many sets have them.
+    Those that no other set has come first and meet nothing, so only their number counts.
+    """
+    entries = grams.select("node", F.size("grams").alias("size"), F.explode("grams").alias("key"))
+    common = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = spread_join(entries, common, ["key"], common).groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("met"))
+    own = F.col("size") - F.size("met")
+    length = F.greatest(F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - own, F.lit(0)).cast("int")
+    placed = met.select("node", "size", own.alias("own"), F.posexplode(F.slice("met", F.lit(1), length)).alias("at", "x"))
+    return placed.select("x.key", "node", "size", (F.col("own") + F.col("at")).alias("place"))
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: the pairs of a band from different components that its first member is not in.
+
+    Where the key is the first shingle that two sets share, they share no more than the shorter
+    rest; a pair that could not reach the threshold that way is left to a key before or is none.
+    """
+    u, v = (members.where("node <> first").select("key", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", *CARRIED))) for x in "uv")
+    rest = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
+    fit = rest >= similarity / (1 + similarity) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    words = SKETCH // 64
+    differ = [F.get("bits_u", k).bitwiseXOR(F.get("bits_v", k)) for k in range(words * PLANES)]
+    odd = sum(F.bit_count(reduce(Column.bitwiseOR, differ[k::words])) for k in range(words))
+    pairs = u.join(v, "key").where("u < v AND root_u <> root_v").where(fit & (odd <= most_odd(similarity)))
+    return pairs.select("u", "v")
 
 
 def _star(members: DataFrame) -> DataFrame:
@@ -148,7 +195,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, sketches, bands = [], [], [], []
+            fps, sizes, sketches, bands, bits = [], [], [], [], []
             for text in batch.column("text"):
                 grams = shingle_set(text.as_py(), shingle)
                 fps.append(word_fingerprints(text.as_py(), seeds))
@@ -156,9 +203,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
                 sketch, keys = signature(grams, depth)
                 sketches.append(sketch)
                 bands.append(keys)
+                bits.append(last_bits(sketch))
             longs = pa.list_(pa.int64())
-            made = [pa.array(fps, longs), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int8())), pa.array(bands, longs)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "a", "b")), *made], ["doc", "a", "b", "fps", "n", "sketch", "bands"])
+            made = [pa.array(fps, longs), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int8())), pa.array(bands, longs), pa.array(bits, longs)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "a", "b")), *made], ["doc", "a", "b", "fps", "n", "sketch", "bands", "bits"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +219,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         F.xxhash64(F.lit("second"), F.coalesce("text", F.lit(""))).alias("b"),
         "text",
     )
-    prints = cut(rows.mapInArrow(run, "doc long, a long, b long, fps array<long>, n long, sketch array<tinyint>, bands array<long>"))
+    prints = cut(rows.mapInArrow(run, "doc long, a long, b long, fps array<long>, n long, sketch array<tinyint>, bands array<long>, bits array<long>"))
     # A text is a node, whichever documents have it.
-    texts = prints.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("rows"), F.first(F.struct("fps", "n", "sketch", "bands")).alias("p"))
+    texts = prints.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("rows"), F.first(F.struct("fps", "n", "sketch", "bands", "bits")).alias("p"))
     texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
     nodes = texts.select("node", "p.*")
     facts = nodes.select("node", "n", "sketch")
@@ -182,31 +230,32 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         u, v = (facts.toDF(*(end if c == "node" else f"{c}_{end}" for c in facts.columns)) for end in "uv")
         return spread_join(pairs, u, ["u"]).join(v.hint("merge"), "v")
 
+    def shingles(wanted: DataFrame) -> DataFrame:
+        """``node, grams`` of the nodes of ``wanted``."""
+        first = texts.select("a", "b", "node", F.col("low").alias("doc")).join(wanted, "node")
+        held = rows.join(first, ["doc", "a", "b"]).dropDuplicates(["node"])
+        return written(held.select("node", "text").mapInArrow(sets, "node long, grams array<long>"), "shingles")
+
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs that hold.  Sizes settle most candidates, and sketches most others: of pairs at the
         threshold one in ten million has so few equal bytes.  Only then do the sets themselves move."""
         sized = with_both(cut(pairs), facts).where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
         equal = F.size(F.filter(F.zip_with("sketch_u", "sketch_v", lambda x, y: x == y), lambda x: x))
         likely = cut(sized.where(equal >= (similarity - 0.2) * SKETCH).select("u", "v"))
-        wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-        first = texts.select("a", "b", "node", F.col("low").alias("doc")).join(wanted, "node")
-        held = rows.join(first, ["doc", "a", "b"]).dropDuplicates(["node"])
-        grams = written(held.select("node", "text").mapInArrow(sets, "node long, grams array<long>"), "shingles")
+        grams = shingles(likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct())
         both = with_both(likely, grams)
         shared = F.size(F.array_intersect("grams_u", "grams_v"))
-        return cut(both.where(shared >= similarity * (F.size("grams_u") + F.size("grams_v") - shared)).select("u", "v"))
+        return written(both.where(shared >= similarity * (F.size("grams_u") + F.size("grams_v") - shared)).select("u", "v"), "near")
 
-    members = _banded(nodes.select("node", F.explode("bands").alias("key")))
+    members = _banded(nodes.select("node", F.col("n").alias("size"), F.lit(0).alias("place"), "bits", F.explode("bands").alias("key")))
     edges = near(_candidates(nodes.select("node", "fps"), seeds).union(_star(members)).distinct())
     left = _unsettled(members, edges)
-    pairs = _across(left.where(F.col("n") <= CROWD))
-    crowded = left.where(F.col("n") > CROWD)
+    pairs = _across(left.where(F.col("n") <= CROWD), similarity)
+    crowded = left.where(F.col("n") > CROWD).select("node", "bits").distinct()
     if not crowded.isEmpty():
-        second = crowded.join(nodes.select("node", F.explode("bands").alias("other")), "node").where("key <> other")
-        both = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-        members = _banded(second.select(both.alias("key"), "node").distinct())
+        members = _banded(_rarest(shingles(crowded.select("node")), similarity).join(crowded, "node"))
         edges = edges.union(near(_star(members).distinct()))
-        pairs = pairs.union(_across(_unsettled(members, edges)))
+        pairs = pairs.union(_across(_unsettled(members, edges), similarity))
     pairs = cut(pairs.distinct())
     if not pairs.isEmpty():
         edges = edges.union(near(pairs))
