@@ -19,6 +19,7 @@ from folioscope.llm.secrets import RULES, secret_digests
 from folioscope.llm.simhash import hex_fingerprint, near_duplicates
 from folioscope.llm.suffix_dedup import repeat_digests
 from folioscope.llm.warc import round_trip
+from folioscope.llm.whitening import whiten
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,6 +81,10 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_digests(table(spark, folder, "documents"), width=50)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
+    "op11_whitening": op11_whitening,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
