@@ -17,6 +17,7 @@ from folioscope.llm.quality import RULES as QUALITY_RULES
 from folioscope.llm.quality import judge
 from folioscope.llm.secrets import RULES, secret_digests
 from folioscope.llm.simhash import hex_fingerprint, near_duplicates
+from folioscope.llm.spelling import spelling_variants
 from folioscope.llm.suffix_dedup import repeat_digests
 from folioscope.llm.warc import round_trip
 from folioscope.llm.whitening import whiten
@@ -85,6 +86,10 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"), components=16)
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"), ratio=2, least_length=5, least=3, damage=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
+    "op12_spelling": op12_spelling,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
