@@ -13,6 +13,7 @@ from folioscope.llm.decontaminate import contamination_digests
 from folioscope.llm.licenses import scan_licences
 from folioscope.llm.line_dedup import line_digests
 from folioscope.llm.mixing import Mix, select_tokens
+from folioscope.llm.odd_sketch import near_copies
 from folioscope.llm.quality import RULES as QUALITY_RULES
 from folioscope.llm.quality import judge
 from folioscope.llm.secrets import RULES, secret_digests
@@ -90,6 +91,10 @@ def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(table(spark, folder, "documents"), ratio=2, least_length=5, least=3, damage=97)
 
 
+def op13_odd_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(table(spark, folder, "documents"), shingle=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_whitening": op11_whitening,
     "op12_spelling": op12_spelling,
+    "op13_odd_sketch": op13_odd_sketch,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
