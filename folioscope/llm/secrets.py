@@ -145,8 +145,10 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...
     current = reduce(
         lambda a, b: a | b, ((F.col("kind") == r.kind) & (F.col("version") == r.version) for r in rules)
     )
+    # Two scans at once may append the same blob twice; a pair counts once, however often it stands.
+    once = ledger.where(current).groupBy("blob_id", "kind", "version").agg(F.max_by("spans", F.size("spans")).alias("spans"))
     each = (
-        ledger.where(current & (F.size("spans") > 0))
+        once.where(F.size("spans") > 0)
         .select("blob_id", "kind", F.explode("spans").alias("s"))
         .groupBy("blob_id")
         .agg(

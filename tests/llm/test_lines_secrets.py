@@ -6,6 +6,7 @@ import pytest
 from folioscope.llm.line_dedup import dedup_lines, line_digests
 from folioscope.llm.queries import op7_secrets, op8_line_dedup
 from folioscope.llm.secrets import findings_by_path, secret_digests, update_ledger
+from pyspark.sql import functions as F
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -100,3 +101,18 @@ def test_ledger_scans_unseen_blobs_only(spark):
     assert gained.select("blob_id").distinct().count() == 1
     both = {r.doc_id: r.found for r in findings_by_path(paths, ledger.select(*gained.columns).union(gained)).collect()}
     assert [x.kind for x in both[3]] == ["assign"] and [x.kind for x in both[4]] == ["hex"]
+
+
+def test_a_blob_that_stands_twice_in_the_ledger_counts_once(spark, tmp_path):
+    """Two scans at once append the same pairs; one of them may have seen nothing yet."""
+    store = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, 'password = "abcdef123"'), (2, 'password = "abcdef123"'), (3, "deadbeef" * 4)], "doc_id long, text string")
+    want = sorted(secret_digests(docs).collect())
+    _, gained = update_ledger(docs)
+    for _ in range(2):
+        gained.write.mode("append").parquet(store)
+    gained.withColumn("spans", F.slice("spans", 1, 0)).write.mode("append").parquet(store)
+    assert sorted(secret_digests(docs, store=store).collect()) == want and [r.n_assign for r in want] == [1, 1, 0]
+    # The next run opens the ledger that this one left.
+    assert sorted(secret_digests(docs, store=store).collect()) == want
+    assert spark.read.parquet(store).count() == 3 * gained.count()
