@@ -40,9 +40,24 @@ def to_ascii(c: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """NFKC, for which Spark has no function; only used where it is asked for."""
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None and not t.isascii() else t)
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None else t)
+
+
+def _stable_class(end: int = 0x180) -> str:
+    """The characters below ``end`` that NFKC leaves alone beside any other of them, as ranges of a class."""
+    stable = [c for c in range(end) if unicodedata.is_normalized("NFKC", chr(c))]
+    starts = [c for c in stable if c - 1 not in stable]
+    ends = [c for c in stable if c + 1 not in stable]
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends))
+
+
+UNSTABLE = f"[^{_stable_class()}]"
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC, for which Spark has no function: only texts with a character that it may change leave the JVM."""
+    return F.coalesce(_nfkc(F.when(c.rlike(UNSTABLE), c)), c)
 
 
 def normalize_text(c: Column, lowercase: bool = False, remove_diacritics: bool = False, compatibility: bool = False) -> Column:
@@ -105,7 +120,12 @@ def hash_text(*columns: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Tokens of a text: at least two characters or a known short term, and no stop word."""
-    words = F.split(normalize_for_matching(c), " ")
+    return matching_tokens(normalize_for_matching(c))
+
+
+def matching_tokens(normalized: Column) -> Column:
+    """The tokens of a text that is normalised for matching."""
+    words = F.split(normalized, " ")
     short, stop = F.array(*map(F.lit, SHORT_TERMS)), F.array(*map(F.lit, STOPWORDS))
     return F.filter(
         words, lambda w: (w != "") & ((F.length(w) > 1) | F.array_contains(short, w)) & ~F.array_contains(stop, w)
@@ -119,7 +139,12 @@ def doi_terms(c: Column) -> Column:
 
 def exact_terms(c: Column) -> Column:
     """The dictionary phrases in a text, in the dictionary's order, and then its DOIs."""
-    padded = F.concat(F.lit(" "), normalize_for_matching(c), F.lit(" "))
+    return matching_exact_terms(normalize_for_matching(c), c)
+
+
+def matching_exact_terms(normalized: Column, c: Column) -> Column:
+    """The exact terms of a text ``c`` of which the form for matching is at hand."""
+    padded = F.concat(F.lit(" "), normalized, F.lit(" "))
     words = F.array(*map(F.lit, EXACT_TERMS))
     # The text goes through an array of one, so that it is normalised once and not for every phrase.
     found = F.transform(F.array(padded), lambda p: F.filter(words, lambda w: F.contains(p, F.concat(F.lit(" "), w, F.lit(" ")))))
@@ -136,7 +161,12 @@ def parse_json_tokens(c: Column) -> Column:
 
 
 def split_sentences(c: Column) -> Column:
-    marked = F.regexp_replace(normalize_text(c), SENTENCE_END, f"$1{SENTENCE_MARK}$2")
+    return normalized_sentences(normalize_text(c))
+
+
+def normalized_sentences(normalized: Column) -> Column:
+    """The sentences of a normalised text."""
+    marked = F.regexp_replace(normalized, SENTENCE_END, f"$1{SENTENCE_MARK}$2")
     return F.filter(F.transform(F.split(marked, SENTENCE_MARK), lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -144,8 +174,9 @@ def cue_pattern(cues: str) -> str:
     return rf"(^|[^\p{{L}}\p{{N}}_])({cues})($|[^\p{{L}}\p{{N}}_])"
 
 
-def sentences_with(c: Column, cues: str, most: int = 3) -> Column:
-    found = F.filter(split_sentences(c), lambda s: F.lower(s).rlike(cue_pattern(cues)))
+def sentences_with(sentences: Column, cues: str, most: int = 3) -> Column:
+    """The first ``most`` of an array of sentences that hold a cue, as one text."""
+    found = F.filter(sentences, lambda s: F.lower(s).rlike(cue_pattern(cues)))
     return F.array_join(F.slice(found, 1, most), " ")
 
 

@@ -23,7 +23,7 @@ def _choice(explicit: Column, extracted: Column, fallback: Column) -> Column:
     return (
         F.when(explicit != "", pick(explicit, "explicit", 1.0))
         .when(extracted != "", pick(extracted, "rule_based", 0.75))
-        .otherwise(pick(X.normalize_text(fallback), "fallback", 0.35))
+        .otherwise(pick(fallback, "fallback", 0.35))
     )
 
 
@@ -41,22 +41,32 @@ def build_dimension_texts(articles: DataFrame, language: str = "auto", now: str
     for name in DIMENSIONS:
         if name not in articles.columns:
             articles = articles.withColumn(name, F.lit(""))
-    title, keywords, abstract = (X.normalize_text(F.col(c)) for c in ("title", "keywords", "abstract"))
-    explicit = {d: X.normalize_text(F.col(d)) for d in DIMENSIONS}
+    # Each step is a column of its own, so that what several dimensions use is worked out once.
+    out = articles.withColumns({f"_{c}": X.normalize_text(F.col(c)) for c in ("title", "keywords", "abstract")})
+    out = out.withColumns({f"_said_{d}": X.normalize_text(F.col(d)) for d in DIMENSIONS})
+    title, keywords, abstract = (F.col(f"_{c}") for c in ("title", "keywords", "abstract"))
+    explicit = {d: F.col(f"_said_{d}") for d in DIMENSIONS}
     constructed = X.normalize_text(F.concat(title, F.lit(". "), keywords, F.lit(". "), abstract))
     theme = F.when(
         explicit["theme"] != "",
         F.struct(explicit["theme"].alias("text"), F.lit("explicit").alias("source"), F.lit(1.0).alias("confidence")),
     ).otherwise(F.struct(constructed.alias("text"), F.lit("constructed").alias("source"), F.lit(0.85).alias("confidence")))
-    out = articles.withColumn("_theme", theme)
+    out = out.withColumns(
+        {
+            "_theme": theme,
+            "_sentences": X.normalized_sentences(abstract),
+            "_all_sentences": X.split_sentences(F.concat_ws(" ", title, abstract, keywords)),
+        }
+    )
     fallback = F.when(abstract != "", abstract).otherwise(F.col("_theme.text"))
-    whole = F.concat_ws(" ", title, abstract, keywords)
-    wide = F.when(abstract != "", F.concat_ws(" ", title, keywords, abstract)).otherwise(F.col("_theme.text"))
-    for name, cues in DIMENSION_CUES.items():
-        searched, rest = (whole, wide) if name == "context" else (abstract, fallback)
-        out = out.withColumn(f"_{name}", _choice(explicit[name], X.sentences_with(searched, cues), rest))
+    wide = F.when(abstract != "", X.normalize_text(F.concat_ws(" ", title, keywords, abstract))).otherwise(F.col("_theme.text"))
+    found = {d: X.sentences_with(F.col("_all_sentences" if d == "context" else "_sentences"), cues) for d, cues in DIMENSION_CUES.items()}
+    out = out.withColumns({f"_found_{d}": text for d, text in found.items()})
+    for name in DIMENSION_CUES:
+        out = out.withColumn(f"_{name}", _choice(explicit[name], F.col(f"_found_{name}"), wide if name == "context" else fallback))
     parts = {f"{d}_{p}": F.col(f"_{d}.{p}") for d in DIMENSIONS for p in ("text", "source", "confidence")}
-    out = out.withColumns(parts).drop(*(f"_{d}" for d in DIMENSIONS))
+    made = ["_title", "_keywords", "_abstract", "_sentences", "_all_sentences", *(f"{p}{d}" for d in DIMENSIONS for p in ("_", "_said_", "_found_"))]
+    out = out.withColumns(parts).drop(*made)
     out = out.withColumn("dimension_language", F.lit(language))
     out = out.withColumn("updated_at", F.lit(now)) if now else out
     return out.withColumn("content_hash", content_hash(dimension_texts=True))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,10 +81,9 @@ def canonical_records(raw: DataFrame, column_map: dict[str, str] | None = None,
     return records.where("title_normalized <> ''")
 
 
-def _united(name: str) -> Column:
-    """The terms of a group's rows in order, each once."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.col(name).alias("x"))))
-    parts = F.flatten(F.transform(rows, lambda r: F.split(r["x"], ";")))
+def _united(rows: Column) -> Column:
+    """The terms of a group's rows (position and terms) in order, each once."""
+    parts = F.flatten(F.transform(F.array_sort(rows), lambda r: F.split(r["x"], ";")))
     return F.array_join(X.distinct_terms(parts), "; ")
 
 
@@ -91,25 +91,31 @@ def collapse(records: DataFrame, key: Column) -> DataFrame:
     """One row per key, merged; rows with a blank key stay alone.  ``pos`` becomes the group's key.
 
     Values are picked by ordered aggregates, so a group is never gathered but for its
-    author and keyword lists.
+    author and keyword lists.  A title brings its normalised form along, and a row that has been
+    through a stage before and stays alone keeps its lists as they are.
     """
+    settled = (F.col("original_rows") == 1) & F.lit("original_rows" in records.columns)
     keyed = records.withColumn("_key", F.coalesce(F.when(key != "", key), F.concat(F.lit("row:"), F.col("pos"))))
 
     def filled(name: str) -> Column:
         return F.trim(name) != ""
 
+    longest = F.when(filled("title"), F.struct(-F.length(F.trim("title")), "pos"))
     merged = keyed.groupBy("_key").agg(
         *(F.coalesce(F.min_by(F.when(filled(c), F.trim(c)), F.when(filled(c), F.struct(-F.length(F.trim(c)), "pos"))), F.lit("")).alias(c) for c in LONGEST),
-        *(_united(c).alias(c) for c in ("authors", "keywords")),
+        F.coalesce(F.min_by("title_normalized", longest), F.lit("")).alias("title_normalized"),
+        *(F.collect_list(F.struct("pos", F.col(c).alias("x"))).alias(f"_{c}") for c in ("authors", "keywords")),
+        F.first("authors_normalized").alias("_normalized"),
         *(F.coalesce(F.min_by(F.when(filled(c), F.trim(c)), F.when(filled(c), F.col("pos"))), F.lit("")).alias(c) for c in FIRST),
         F.min_by("year", F.when(F.col("year").isNotNull(), F.col("pos"))).alias("year"),
         F.count(F.lit(1)).alias("original_rows"),
     )
-    return merged.select(
+    lists = {c: F.when(settled, F.get(f"_{c}", 0)["x"]).otherwise(_united(F.col(f"_{c}"))) for c in ("authors", "keywords")}
+    return merged.withColumns(lists).select(
         *RECORD,
         "doi_normalized",
-        X.normalize_for_matching(F.col("title")).alias("title_normalized"),
-        X.normalize_authors_for_id(F.col("authors")).alias("authors_normalized"),
+        "title_normalized",
+        F.when(settled, F.col("_normalized")).otherwise(X.normalize_authors_for_id(F.col("authors"))).alias("authors_normalized"),
         F.col("_key").alias("pos"),
         "original_rows",
     )
@@ -208,9 +214,13 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.08, max_records: i
 class Processed:
     articles: DataFrame
     duplicates: DataFrame
-    possible_duplicates: DataFrame
     source: str
 
+    @cached_property
+    def possible_duplicates(self) -> DataFrame:
+        """Pairs of articles with nearly equal titles; looked for when they are first asked for."""
+        return near_duplicates(keep(self.articles))
+
 
 def with_ids(records: DataFrame) -> DataFrame:
     return records.withColumn("article_id", article_id()).withColumn("content_hash", content_hash())
@@ -247,4 +257,4 @@ def process_records(
         F.lit(now).alias("created_at"),
         F.lit(now).alias("updated_at"),
     )
-    return Processed(articles, duplicate_report(stages), near_duplicates(articles), source)
+    return Processed(articles, duplicate_report(stages), source)

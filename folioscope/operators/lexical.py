@@ -25,12 +25,14 @@ def build_lexical_documents(articles: DataFrame) -> DataFrame:
     if missing:
         raise FolioscopeError("missing_column", f"missing columns: {', '.join(missing)}")
     tall = articles.unpivot(["article_id", "content_hash"], [f"{d}_text" for d in DIMENSIONS], "dimension", "text")
-    return tall.select(
+    # A column that is made here and used twice below is worked out once.
+    normal = tall.withColumn("normalized_text", X.normalize_for_matching(F.col("text")))
+    return normal.select(
         "article_id",
         F.regexp_replace("dimension", "_text$", "").alias("dimension"),
-        X.normalize_for_matching(F.col("text")).alias("normalized_text"),
-        X.tokenize(F.col("text")).alias("tokens"),
-        X.exact_terms(F.col("text")).alias("exact_terms"),
+        "normalized_text",
+        X.matching_tokens(F.col("normalized_text")).alias("tokens"),
+        X.matching_exact_terms(F.col("normalized_text"), F.col("text")).alias("exact_terms"),
         "content_hash",
     ).withColumn("document_length", F.size("tokens"))
 

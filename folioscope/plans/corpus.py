@@ -21,6 +21,8 @@ SEEDS = (
     "no cue here; Plain prose, without any.",
 )
 NOW = "2026-01-01T00:00:00Z"
+#: Bytes that one task reads.
+SPLIT = 128 << 20
 COLUMN_MAP = {"author_keywords": "Keywords A", "index_keywords": "Keywords I"}
 
 
@@ -28,9 +30,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table too small to give every core a split is dealt to all of them; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * SPLIT else df
+
+
 def raw(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as untidy bibliographic rows."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     seed = F.element_at(F.array(*map(F.lit, SEEDS)), (F.col("doc_id") % len(SEEDS) + 1).cast("int"))
     n = F.col("n_chars")
     # Some titles get a typo, so that there are near duplicates to find.

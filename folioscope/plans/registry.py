@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from folioscope.config import DIMENSIONS
 from folioscope.functions import text as X
-from folioscope.operators import ingest, lexical, semantic, validation, versioning
+from folioscope.operators import ingest, lexical, semantic, stored_index, validation, versioning
 from folioscope.operators.keep import keep
 from folioscope.operators.queries import normalize_weights
-from folioscope.operators.ranking import EXPLAIN_ORDER, Filters, explanation, rank_lexical
+from folioscope.operators import ranking
+from folioscope.operators.ranking import EXPLAIN_ORDER, Filters, explanation
 from folioscope.plans import corpus as C
 from folioscope.plans import oracle as O
 
@@ -266,34 +268,61 @@ def _ranking(weights: dict[str, float], where: str = "TRUE", n: int = TOP, sourc
     )
 
 
-def _ranked(spark, folder, weights=WEIGHTS, filters=Filters(), n=TOP):
+def _stored(spark, folder):
+    """The articles and their stored index, which later queries of the session open."""
     articles = keep(C.dimension_articles(spark, folder))
-    index = lexical.build_index(keep(lexical.build_lexical_documents(articles)))
-    return rank_lexical(articles, index, _asked(spark, folder, weights), filters, n)
+    where = f"{spark.sparkContext.getCheckpointDir()}/index-{folder.strip('/').replace('/', '-').replace(':', '')}"
+    return articles, stored_index.index_of(spark, where, articles, lexical.build_lexical_documents(articles))
+
+
+def _searched(spark, folder, weights=WEIGHTS, filters=Filters(), n=TOP):
+    articles, index = _stored(spark, folder)
+    return stored_index.search(articles, index, _asked(spark, folder, weights), filters, n)
+
+
+@query(_ranking(WEIGHTS))
+def rank_lexical(spark, folder):
+    return _searched(spark, folder)
 
 
 @query(_ranking(WEIGHTS))
 def rank_lexical_batch(spark, folder):
-    return _ranked(spark, folder)
+    """The same result from an index that is built and read in one go, with the scores of all pairs."""
+    articles = keep(C.dimension_articles(spark, folder))
+    index = lexical.build_index(keep(lexical.build_lexical_documents(articles)))
+    return ranking.rank_lexical(articles, index, _asked(spark, folder), n=TOP)
 
 
 @query(_ranking(CUSTOM))
 def weights_custom(spark, folder):
-    return _ranked(spark, folder, CUSTOM)
+    return _searched(spark, folder, CUSTOM)
 
 
 @query("SELECT * EXCLUDE (query_id) FROM (" + _ranking(WEIGHTS, n=1) + ")")
 def rank_lexical_best(spark, folder):
-    return _ranked(spark, folder, n=1).drop("query_id")
+    return _searched(spark, folder, n=1).drop("query_id")
 
 
-QUERIES["rank_lexical"] = rank_lexical_batch
-ORACLE_SQL["rank_lexical"] = ORACLE_SQL["rank_lexical_batch"]
+@query(_ranking(WEIGHTS, n=5))
+def rank_updated_index(spark, folder):
+    """An index of a previous version, in which articles lacked, read otherwise or stood that are gone, brought up to date."""
+    articles = keep(C.dimension_articles(spark, folder))
+    documents = keep(lexical.build_lexical_documents(articles))
+    h = F.pmod(F.xxhash64("article_id"), F.lit(12))
+    earlier = F.when(h < 3, F.concat(F.lit("gone"), "article_id")).otherwise(F.col("article_id"))
+    told = F.when(h.isin(5, 6), F.lit("otherwise")).otherwise(F.col("content_hash"))
+    tokens = F.when(h.isin(5, 6), F.concat(F.slice("tokens", 1, 9), F.array(F.lit("former")))).otherwise(F.col("tokens"))
+    previous = articles.where(h < 10).select(earlier.alias("article_id"), told.alias("content_hash"))
+    before = documents.where(h < 10).select(earlier.alias("article_id"), "dimension", "normalized_text", tokens.alias("tokens"), "exact_terms", told.alias("content_hash"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/updated-{uuid.uuid4().hex}"
+    index = stored_index.create_index(before.withColumn("document_length", F.size("tokens")), path, "previous")
+    index = stored_index.update_index(index, documents, versioning.compare_versions(articles, previous), "current")
+    return stored_index.search(articles, index, _asked(spark, folder), n=5)
 
 
 @query(_ranking(WEIGHTS, f"year >= 2005 AND year <= 2015 AND contains({O.match('source_title')}, 'src1')"))
 def rank_lexical_filtered(spark, folder):
-    return _ranked(spark, folder, filters=Filters(year_min=2005, year_max=2015, source_title="SRC1"))
+    return _searched(spark, folder, filters=Filters(year_min=2005, year_max=2015, source_title="SRC1"))
 
 
 @query(

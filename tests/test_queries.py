@@ -22,7 +22,7 @@ def shown(value):
     return repr(round(value, 6) + 0.0) if isinstance(value, float) else repr(value)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("rank_lexical", "weights_custom", "rank_lexical_best")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("weights_custom", "rank_lexical_best")])
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
