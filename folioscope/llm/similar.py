@@ -2,19 +2,10 @@
 
 A SimHash of five-word shingles puts documents with a similarity of 0.8 seven to
 fourteen bits apart, which no covering of 64 bits can search.  Candidates are the
-documents within two bits in one of ``seeds`` word fingerprints
-(:func:`folioscope.llm.simhash.links`), and those that agree on all rows of one of the
-MinHash bands of their shingle sets.  The bands bear the guarantee, whatever the edit:
-the rows of a band are chosen so that a pair at the threshold misses all bands with a
-probability of :data:`MISS` at most.  Every candidate link is then checked by the true
-Jaccard similarity of the shingle sets, and groups are the components of the links that hold.
-
-Members of a band are first linked to its smallest one.  A band whose members are then
-in one component is done; in the others every pair of members from different components
-is a candidate too.  Members of a band of more than :data:`CROWD` are dealt anew first, by
-their rarest shingles: of two sets at 0.8 the rarest fifth of one meets that of the other,
-so nothing is lost, and texts that only share a common passage part.  What meets at a rare
-shingle goes the same way; no member or pair is dropped for the size of its group.
+documents whose words' SimHashes lie within two bits (:func:`folioscope.llm.simhash.links`), and
+those that meet in a MinHash band of their shingle sets.  The bands bear the guarantee, whatever the
+edit; how they are searched without making all pairs of a band, and how a candidate is tested
+by its odd sketch and confirmed on the full sets, is told in :mod:`folioscope.llm.odd_sketch`.
 
 Defined results
 ---------------
@@ -22,256 +13,72 @@ Defined results
 * fewer words than a shingle: the whole word sequence is the one shingle.
 * rows with a null ``doc_id`` stay and take no part.
 * rows that share a ``doc_id`` are one document with each of its texts; they stay or go together.
+* ids may be of any type with an order.
 * other columns are kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, fresh_names, spread_join, written
-from folioscope.llm.simhash import components, links
-
-#: Minimal hashes kept for the first test of a candidate.
-SKETCH = 128
-#: A pair at the threshold meets in no band with this probability at most.
-MISS = 1e-6
-#: Members of a band that are paired as they are; those of larger ones are dealt by their rarest shingles first.
-CROWD = 32
-#: What every member of a band carries beside ``key`` and ``node``: shingles, those before the one of the key, the last bits of each minimal hash.
-CARRIED = ("size", "place", "bits")
-#: How many last bits of a minimal hash those are.
-PLANES = 4
-SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-def word_fingerprints(text: str | None, seeds: int) -> list[int]:
-    """Signed 64-bit SimHashes of the words with their counts, one per seed; zeros without words."""
-    counts = Counter((text or "").encode().lower().split())
-    if not counts:
-        return [0] * seeds
-    base = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
-    weight = np.fromiter(counts.values(), np.float64, len(counts))
-    out = []
-    for seed in range(seeds):
-        h = base ^ np.uint64(seed * SPREAD[0] & (2**64 - 1))
-        h *= np.uint64(SPREAD[1])
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(SPREAD[0])
-        h ^= h >> np.uint64(32)
-        ones = weight @ np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out.append(int(np.packbits(ones * 2 > weight.sum(), bitorder="little").view(np.int64)[0]))
-    return out
-
-
-def shingle_set(text: str | None, shingle: int) -> list[int]:
-    """The distinct signed 64-bit hashes of the word shingles."""
-    words = (text or "").encode().lower().split()
-    grams = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    return np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)).view(np.int64).tolist()
-
-
-def band_rows(similarity: float, size: int = SKETCH) -> int:
-    """The most rows in a band with which pairs at ``similarity`` still meet."""
-    fit = [r for r in range(1, 17) if (1 - similarity**r) ** (size // r) <= MISS]
-    return max(fit, default=1)
-
-
-def signature(grams: list[int], rows: int, size: int = SKETCH) -> tuple[list[int], list[int]]:
-    """The last bytes of ``size`` minimal hashes of a shingle set, as signed bytes, and the keys of its bands."""
-    values = np.array(grams, np.int64).view(np.uint64)
-    factor = np.arange(1, 2 * size, 2, dtype=np.uint64) * np.uint64(SPREAD[0])
-    least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 4096):
-        part = (values[at : at + 4096, None] ^ factor) * np.uint64(SPREAD[1])
-        part ^= part >> np.uint64(29)
-        part *= np.uint64(SPREAD[0])
-        np.minimum(least, part.min(0), out=least)
-    bands = size // rows
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for row in range(rows):
-        keys = (keys ^ least[row * bands : (row + 1) * bands]) * np.uint64(SPREAD[1])
-        keys ^= keys >> np.uint64(29)
-        keys *= np.uint64(SPREAD[0])
-    least ^= least >> np.uint64(32)
-    return (least & np.uint64(0xFF)).astype(np.uint8).view(np.int8).tolist(), keys.view(np.int64).tolist()
-
-
-def last_bits(sketch: list[int]) -> list[int]:
-    """The last bits of the minimal hashes, one plane of signed longs after the other."""
-    planes = np.array(sketch, np.int8).view(np.uint8) >> np.arange(PLANES, dtype=np.uint8)[:, None] & 1
-    return np.packbits(planes, axis=1).view(np.int64).ravel().tolist()
-
-
-def most_odd(similarity: float, size: int = SKETCH) -> int:
-    """The most minimal hashes whose last bits differ in all but one in ten million pairs at ``similarity``."""
-    odd, tail = (1 - similarity) * (1 - 0.5**PLANES), 1.0
-    for d in range(size):
-        tail -= math.comb(size, d) * odd**d * (1 - odd) ** (size - d)
-        if tail <= 1e-7:
-            return d
-    return size
-
-
-def _candidates(prints: DataFrame, seeds: int) -> DataFrame:
-    """``u, v`` documents that one of the fingerprints puts within two bits; ``prints`` has ``node`` and ``fps``."""
-    found = None
-    for seed in range(seeds):
-        one = prints.select("node", F.get("fps", seed).alias("fp"))
-        nodes = cut(one.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
-        equal = spread_join(one, nodes.where("n > 1"), ["fp"], nodes).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-        met = links(nodes.select("fp"), 2)
-        firsts = nodes.select("fp", "first")
-        far = (
-            met.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u")
-            .join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
-            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        )
-        found = equal.union(far) if found is None else found.union(equal).union(far)
-    return cut(found.distinct())
-
-
-def _banded(entries: DataFrame) -> DataFrame:
-    """``key, node, first, n`` of the bands with two members or more; ``entries`` has ``key``, ``node`` and what else is kept."""
-    bands = cut(entries.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    return cut(spread_join(entries, bands, ["key"], bands))
-
-
-def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """``members`` with their component ``root``, of the bands that hold more than one component."""
-    roots = components(edges)
-    named = cut(members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return cut(spread_join(named, mixed.select("key"), ["key"]))
-
-
-def _rarest(grams: DataFrame, similarity: float) -> DataFrame:
-    """``key, node, size, place``: the shingles by which sets at ``similarity`` must meet; ``grams`` has ``node`` and ``grams``.
-
-    They are the first ``size - ceil(similarity * size) + 1`` in the order of how many sets have them.
-    Those that no other set has come first and meet nothing, so only their number counts.
-    """
-    entries = grams.select("node", F.size("grams").alias("size"), F.explode("grams").alias("key"))
-    common = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = spread_join(entries, common, ["key"], common).groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("met"))
-    own = F.col("size") - F.size("met")
-    length = F.greatest(F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - own, F.lit(0)).cast("int")
-    placed = met.select("node", "size", own.alias("own"), F.posexplode(F.slice("met", F.lit(1), length)).alias("at", "x"))
-    return placed.select("x.key", "node", "size", (F.col("own") + F.col("at")).alias("place"))
-
-
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """``u, v``: the pairs of a band from different components that its first member is not in.
-
-    Where the key is the first shingle that two sets share, they share no more than the shorter
-    rest; a pair that could not reach the threshold that way is left to a key before or is none.
-    """
-    u, v = (members.where("node <> first").select("key", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", *CARRIED))) for x in "uv")
-    rest = F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
-    fit = rest >= similarity / (1 + similarity) * (F.col("size_u") + F.col("size_v")) - 1e-6
-    words = SKETCH // 64
-    differ = [F.get("bits_u", k).bitwiseXOR(F.get("bits_v", k)) for k in range(words * PLANES)]
-    odd = sum(F.bit_count(reduce(Column.bitwiseOR, differ[k::words])) for k in range(words))
-    pairs = u.join(v, "key").where("u < v AND root_u <> root_v").where(fit & (odd <= most_odd(similarity)))
-    return pairs.select("u", "v")
-
-
-def _star(members: DataFrame) -> DataFrame:
-    return members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
-
-
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, seeds: int = 1) -> DataFrame:
-    """``doc_id, component_id`` (both long) of the documents in a group of two or more."""
-    depth = band_rows(similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, sizes, sketches, bands, bits = [], [], [], [], []
-            for text in batch.column("text"):
-                grams = shingle_set(text.as_py(), shingle)
-                fps.append(word_fingerprints(text.as_py(), seeds))
-                sizes.append(len(grams))
-                sketch, keys = signature(grams, depth)
-                sketches.append(sketch)
-                bands.append(keys)
-                bits.append(last_bits(sketch))
-            longs = pa.list_(pa.int64())
-            made = [pa.array(fps, longs), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int8())), pa.array(bands, longs), pa.array(bits, longs)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "a", "b")), *made], ["doc", "a", "b", "fps", "n", "sketch", "bands", "bits"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = pa.array([shingle_set(t.as_py(), shingle) for t in batch.column("text")], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), grams], ["node", "grams"])
-
-    rows = docs.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("a"),
-        F.xxhash64(F.lit("second"), F.coalesce("text", F.lit(""))).alias("b"),
-        "text",
-    )
-    prints = cut(rows.mapInArrow(run, "doc long, a long, b long, fps array<long>, n long, sketch array<tinyint>, bands array<long>, bits array<long>"))
-    # A text is a node, whichever documents have it.
-    texts = prints.groupBy("a", "b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("rows"), F.first(F.struct("fps", "n", "sketch", "bands", "bits")).alias("p"))
-    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
-    nodes = texts.select("node", "p.*")
-    facts = nodes.select("node", "n", "sketch")
-
-    def with_both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-        u, v = (facts.toDF(*(end if c == "node" else f"{c}_{end}" for c in facts.columns)) for end in "uv")
-        return spread_join(pairs, u, ["u"]).join(v.hint("merge"), "v")
-
-    def shingles(wanted: DataFrame) -> DataFrame:
-        """``node, grams`` of the nodes of ``wanted``."""
-        first = texts.select("a", "b", "node", F.col("low").alias("doc")).join(wanted, "node")
-        held = rows.join(first, ["doc", "a", "b"]).dropDuplicates(["node"])
-        return written(held.select("node", "text").mapInArrow(sets, "node long, grams array<long>"), "shingles")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The pairs that hold.  Sizes settle most candidates, and sketches most others: of pairs at the
-        threshold one in ten million has so few equal bytes.  Only then do the sets themselves move."""
-        sized = with_both(cut(pairs), facts).where(F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v"))
-        equal = F.size(F.filter(F.zip_with("sketch_u", "sketch_v", lambda x, y: x == y), lambda x: x))
-        likely = cut(sized.where(equal >= (similarity - 0.2) * SKETCH).select("u", "v"))
-        grams = shingles(likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct())
-        both = with_both(likely, grams)
-        shared = F.size(F.array_intersect("grams_u", "grams_v"))
-        return written(both.where(shared >= similarity * (F.size("grams_u") + F.size("grams_v") - shared)).select("u", "v"), "near")
-
-    members = _banded(nodes.select("node", F.col("n").alias("size"), F.lit(0).alias("place"), "bits", F.explode("bands").alias("key")))
-    edges = near(_candidates(nodes.select("node", "fps"), seeds).union(_star(members)).distinct())
-    left = _unsettled(members, edges)
-    pairs = _across(left.where(F.col("n") <= CROWD), similarity)
-    crowded = left.where(F.col("n") > CROWD).select("node", "bits").distinct()
-    if not crowded.isEmpty():
-        members = _banded(_rarest(shingles(crowded.select("node")), similarity).join(crowded, "node"))
-        edges = edges.union(near(_star(members).distinct()))
-        pairs = pairs.union(_across(_unsettled(members, edges), similarity))
-    pairs = cut(pairs.distinct())
-    if not pairs.isEmpty():
-        edges = edges.union(near(pairs))
-    # Documents come back to their texts, and the texts of one document hang together.
-    held = cut(spread_join(prints.select("doc", "a", "b"), texts.select("a", "b", "node"), ["a", "b"], texts.select("a", "b", F.col("rows").alias("n"))).select("doc", "node").distinct())
-    several = held.groupBy("doc").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v")
-    same = held.join(several, "doc").where("node <> u").select("u", F.col("node").alias("v"))
-    roots = components(edges.union(same).distinct())
-    named = cut(texts.select("node", "low", "high").join(roots.hint("merge"), "node", "left").select("node", "low", "high", F.coalesce("root", "node").alias("root")))
-    groups = cut(named.groupBy("root").agg(F.min("low").alias("component_id"), F.max("high").alias("last")).where("component_id <> last"))
-    member = cut(spread_join(named.select("node", "root"), groups, ["root"]).select("node", "component_id"))
-    return spread_join(held, member, ["node"]).select(F.col("doc").alias("doc_id"), "component_id").distinct()
-
-
-def keep_one_similar(docs: DataFrame, **options) -> DataFrame:
+from folioscope.llm.common import cut, fresh_names, spread_join
+from folioscope.llm.odd_sketch import component_ids, linked_components, named, sketched, text_key
+from folioscope.llm.simhash import components, fingerprints, links
+
+
+def simhash_pairs(rows: DataFrame, nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """``u, v`` texts whose words' fingerprints lie within ``radius`` bits: each with the smallest of its fingerprint, and those of linked ones."""
+    prints = fingerprints(rows.select(F.struct(*text_key(F.col("text"))).alias("doc_id"), "text"), 1)
+    prints = prints.groupBy(F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b")).agg(F.first("fp").alias("fp"))
+    held = cut(prints.join(nodes.where("n > 0").select("a", "b", "node").hint("merge"), ["a", "b"]).select("node", "fp"))
+    firsts = cut(held.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")))
+    equal = spread_join(held, firsts.select("fp", "first"), ["fp"], firsts.select("fp", "n")).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    first = firsts.select("fp", "first")
+    met = links(firsts.select("fp"), radius)
+    far = met.join(first.toDF("u", "a").hint("merge"), "u").join(first.toDF("v", "b").hint("merge"), "v")
+    return cut(equal.union(far.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct())
+
+
+def _tied(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``u, v``: texts that belong together whatever they are: blank ones, and those of one document."""
+    blank = nodes.where("n = 0").select("node")
+    tied = blank.join(F.broadcast(blank.agg(F.min("node").alias("u"))), F.col("node") != F.col("u")).select("u", F.col("node").alias("v"))
+    key = F.struct(*text_key(F.col("text")))
+    several = rows.select("doc_id", key.alias("k")).groupBy("doc_id").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x <> y").select("doc_id")
+    held = rows.join(several.hint("merge"), "doc_id").select("doc_id", *text_key(F.col("text")))
+    held = cut(held.distinct().join(nodes.select("a", "b", "node").hint("merge"), ["a", "b"]))
+    first = held.groupBy("doc_id").agg(F.min("node").alias("u"))
+    return tied.union(held.join(first.hint("merge"), "doc_id").where("node <> u").select("u", F.col("node").alias("v")))
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``doc_id, component_id`` of every row with a ``doc_id``."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    nodes = sketched(rows, shingle, percent)
+    roots = linked_components(rows, nodes, shingle, percent, simhash_pairs(rows, nodes))
+    tied = cut(_tied(rows, nodes))
+    if not tied.isEmpty():
+        # Only the components of their ends have to be joined.
+        root = cut(named(tied.select(F.col("u").alias("node")).union(tied.select("v")).distinct(), roots))
+        between = tied.join(root.toDF("u", "root_u").hint("merge"), "u").join(root.toDF("v", "root_v").hint("merge"), "v").where("root_u <> root_v")
+        higher = components(between.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct()).toDF("root", "higher")
+        every = roots.union(root.join(roots.select("node").hint("merge"), "node", "left_anti"))
+        roots = cut(every.join(higher.hint("merge"), "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
+    told = cut(component_ids(nodes.select("node", "a", "b", "low", "rows"), roots))
+    keyed = rows.select("doc_id", *text_key(F.col("text")))
+    return spread_join(keyed, told.select("a", "b", "component_id"), ["a", "b"], told.select("a", "b", F.col("rows").alias("n"))).select("doc_id", "component_id")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, component_id`` of the documents in a group of two or more."""
+    every = cut(_grouped(docs, shingle, percent).distinct())
+    groups = every.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return spread_join(every, groups.drop("n"), ["component_id"], groups).select("doc_id", "component_id")
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, same columns, with the smallest ``doc_id`` of every group."""
     (gone_id,) = fresh_names(docs.columns, "gone")
-    gone = cut(similar_documents(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone[gone_id], "left_anti").select(*docs.columns)
+    gone = cut(_grouped(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct())
+    return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti").select(*docs.columns)

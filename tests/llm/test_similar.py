@@ -4,7 +4,8 @@ import random
 
 import pytest
 from folioscope.llm.common import spread_join
-from folioscope.llm.similar import band_rows, keep_one_similar, shingle_set, similar_documents
+from folioscope.llm.odd_sketch import SAMPLES, band_shape, shingle_set
+from folioscope.llm.similar import keep_one_similar, similar_documents
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -95,6 +96,14 @@ def test_a_document_with_several_texts(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 20, 20]
 
 
+def test_ids_may_be_strings(spark):
+    rng = random.Random(6)
+    words = prose(rng, 90)
+    rows = [("d10", words), ("d9", words[:-1] + ["z"]), ("d7", prose(rng, 80)), (None, words), ("e", []), ("c", [])]
+    df = spark.createDataFrame([(d, " ".join(t), "k") for d, t in rows], "doc_id string, text string, node string")
+    assert sorted((r.doc_id or "-" for r in keep_one_similar(df).collect())) == ["-", "c", "d10", "d7"]
+
+
 @pytest.mark.parametrize("least", [1, 64])
 def test_spread_joins_keep_every_row(spark, least):
     rows = [(k % 3 if k % 2 else 7, k) for k in range(900)]
@@ -105,5 +114,5 @@ def test_spread_joins_keep_every_row(spark, least):
 
 def test_bands_hold_at_the_threshold():
     for similarity in (0.5, 0.8, 0.9):
-        rows = band_rows(similarity)
-        assert (1 - similarity**rows) ** (128 // rows) <= 1e-6
+        rows, bands = band_shape(similarity)
+        assert (1 - similarity**rows) ** bands <= 1e-6 and rows * bands <= SAMPLES
