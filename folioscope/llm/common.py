@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,33 +35,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Folders made by this process and not removed yet.
-_MADE: list[str] = []
+#: Folders made inside the innermost :func:`scratch` of this thread.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for one written table in the shared folder."""
-    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder, in whatever file system it is."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    if path in _MADE:
-        _MADE.remove(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes the scratch folders made inside it; what is wanted of them must have been written elsewhere by then."""
-    before = list(_MADE)
+    """Removes the scratch folders that this thread makes inside it; what is wanted of them must have been written elsewhere by then."""
+    token = _MADE.set([])
     try:
         yield
     finally:
-        for path in [p for p in _MADE if p not in before]:
+        for path in _MADE.get():
             remove_folder(spark, path)
+        _MADE.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

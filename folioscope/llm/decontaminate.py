@@ -29,8 +29,8 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -209,18 +209,21 @@ def match_shards(index: DataFrame, windows: Windows, rarity: dict[int, int], slo
     for i, (w, order) in enumerate(zip(windows.rows, orders)):
         if seen[w].all():
             by_first.setdefault(int(w[order[0]]), []).append(i)
-    vocabulary = list(windows.terms)
+    vocabulary = pa.array(list(windows.terms), pa.binary())
     shared = index.sparkSession.sparkContext.broadcast((vocabulary, windows.rows, windows.items, orders, by_first))
+    kind = pa.list_(pa.int64())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, rows, owners, orders, by_first = shared.value
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                times = np.asarray(row.times, np.int64)
-                stops, steps = np.cumsum(times), np.frombuffer(row.steps, np.int32)
-                place = {bytes(t): k for k, t in enumerate(row.terms)}
-                here = {t: place[w] for t, w in enumerate(vocabulary) if w in place}
-                counts = np.asarray(row.n_words, np.int64)
+        for batch in batches:
+            # One shard at a time: a batch may hold many, and their terms stay in Arrow.
+            for at in range(batch.num_rows):
+                row = {c: batch.column(c)[at] for c in batch.schema.names}
+                times = row["times"].values.to_numpy().astype(np.int64)
+                stops, steps = np.cumsum(times), np.frombuffer(row["steps"].as_buffer(), np.int32)
+                found = pc.index_in(vocabulary, row["terms"].values)
+                here = dict(zip(np.flatnonzero(found.is_valid()).tolist(), found.drop_null().to_pylist()))
+                counts = row["n_words"].values.to_numpy().astype(np.int64)
                 ends = np.cumsum(counts + GAP)
                 lists: dict[int, np.ndarray] = {}
 
@@ -251,20 +254,19 @@ def match_shards(index: DataFrame, windows: Windows, rarity: dict[int, int], slo
                     flags = covered[begins[d] : begins[d] + counts[d]] if hits else covered[:0]
                     turns = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0)) if flags.any() else flags[:0]
                     runs.append(turns.astype(np.int64))
-                yield pd.DataFrame(
-                    {
-                        "shard": row.shard,
-                        "at": np.arange(len(counts)),
-                        "doc_id": row.doc_ids,
-                        "n_words": counts,
-                        "runs": runs,
-                        "items": [sorted(set(n)) for n in names],
-                        "n_near": near,
-                    }
-                )
+                made = [
+                    pa.array([row["shard"].as_py()] * len(counts), pa.int64()),
+                    pa.array(np.arange(len(counts))),
+                    row["doc_ids"].values,
+                    pa.array(counts),
+                    pa.array(runs, kind),
+                    pa.array([sorted(set(n)) for n in names], pa.list_(pa.string())),
+                    pa.array(near),
+                ]
+                yield pa.RecordBatch.from_arrays(made, ["shard", "at", "doc_id", "n_words", "runs", "items", "n_near"])
 
     doc = index.schema["doc_ids"].dataType.elementType.simpleString()
-    return index.mapInPandas(
+    return index.mapInArrow(
         run, f"shard long, at long, doc_id {doc}, n_words long, runs array<long>, items array<string>, n_near long"
     )
 

@@ -89,3 +89,19 @@ def test_stage_keeps_one_of_each_group(spark, docs, no_docs, rows):
     assert {r.doc_id: r.component_id for r in similar_documents(df).collect()} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
     assert keep_one_similar(no_docs).count() == 0 and keep_one(no_docs).count() == 0
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_scratch_removes_its_own_folders_only(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from folioscope.llm.common import scratch, written
+
+    def make(name):
+        return written(spark.range(3).toDF("x"), name)
+
+    with ThreadPoolExecutor(1) as pool:
+        with scratch(spark):
+            own, other = make("own"), pool.submit(make, "other").result()
+            assert own.count() == other.count() == 3
+        assert other.count() == 3 and spark.read.parquet(other.inputFiles()[0]).count() == 3
+    assert not spark._jvm.java.io.File(own.inputFiles()[0].removeprefix("file:")).exists()
