@@ -8,15 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.api import recommend_articles
 from folioscope.config import DIMENSIONS
 from folioscope.functions import text as X
 from folioscope.operators import ingest, lexical, semantic, stored_index, validation, versioning
 from folioscope.operators.keep import keep
-from folioscope.operators.queries import normalize_weights
+from folioscope.operators.queries import normalize_weights, prepare_query
 from folioscope.operators import ranking
 from folioscope.operators.ranking import EXPLAIN_ORDER, Filters, explanation
 from folioscope.plans import corpus as C
 from folioscope.plans import oracle as O
+from folioscope.release import build_database_release
+from folioscope.sources.files import import_article_data
+from folioscope.sources.releases import read_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -434,6 +438,75 @@ def rank_semantic(spark, folder):
     return found.select("query_id", "rank", "article_id", "index", *(f"similarity_{d}" for d in EXPLAIN_ORDER), "title", "year", "doi")
 
 
+# Files and releases.  What is written goes to the session's folder.
+
+
+def _folder(spark, folder: str, name: str) -> str:
+    keep(spark.range(1))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{folder.strip('/').replace('/', '-').replace(':', '')}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, NULLIF(text, '') AS text, source FROM documents")
+def import_csv(spark, folder):
+    """Whole documents with their line feeds and quotes, from quoted files that are read in ranges."""
+    path = _folder(spark, folder, "table") + ".csv"
+    docs = C.table(spark, folder, "documents").select("doc_id", "text", "source")
+    docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return import_article_data(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def import_json(spark, folder):
+    """Conversations written as nested objects, read in ranges and flattened."""
+    path = _folder(spark, folder, "nested") + ".json"
+    rows = C.table(spark, folder, "conversations").select("conv_id", F.struct("turn", F.struct("role", "text").alias("said")).alias("at"))
+    rows.write.option("ignoreNullFields", False).json(path)
+    found = import_article_data(spark, path)
+    return found.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("`at.turn`").cast("long").alias("turn"), F.col("`at.said.role`").alias("role"), F.col("`at.said.text`").alias("text"))
+
+
+def _released(spark, folder):
+    """A release of the articles with vectors by the stand-in encoder, written, hashed and validated."""
+    root = _folder(spark, folder, "release")
+    return build_database_release(keep(C.articles(spark, folder)), "2026.01", root, C.NOW, model_name="m", encoder=semantic.hashing_encoder(8))
+
+
+@query(f"SELECT article_id, title, authors, abstract, keywords, doi_normalized, year, source_title, {', '.join(f'{d}_text' for d in DIMENSIONS)}, content_hash FROM hashes")
+def release_articles(spark, folder):
+    """What readers of a release find in its current version."""
+    found = read_tables(spark, _released(spark, folder).database)["articles"]
+    return found.select("article_id", "title", "authors", "abstract", "keywords", "doi_normalized", "year", "source_title", *(f"{d}_text" for d in DIMENSIONS), "content_hash")
+
+
+@query(
+    """SELECT 'manifest' AS check_id, count(*) AS violations FROM art UNION ALL SELECT 'embeddings', 5 * count(*) FROM art UNION ALL
+    SELECT * FROM (VALUES ('V1_tables', 0::BIGINT), ('V2_articles_columns', 0), ('V2_lexical_documents_columns', 0), ('V2_embeddings_columns', 0), ('V3_metadata', 0), ('V12_model_agrees', 1),
+    ('V13_length_agrees', 0), ('V16_status', 1), ('V17_manifest', 2), ('V18_schema', 1))"""
+)
+def release_checks(spark, folder):
+    """Counts of a release's manifest, and the checks of its metadata after its status, model, schema and number of articles were changed."""
+    release = _released(spark, folder)
+    tables = read_tables(spark, release.database)
+    wrong = {"embedding_status": "partial", "embedding_model": "other", "database_schema_version": "9"}
+    value = F.coalesce(F.create_map(*(F.lit(x) for kv in wrong.items() for x in kv))[F.col("key")], F.col("value"))
+    tables["database_metadata"] = tables["database_metadata"].withColumn("value", value)
+    manifest = {**release.manifest, "number_of_articles": 1, "embedding_status": "partial"}
+    checks = validation.validate_tables(tables, manifest).where("check_id IN ('V1_tables', 'V3_metadata', 'V16_status', 'V17_manifest', 'V18_schema', 'V12_model_agrees', 'V13_length_agrees') OR check_id LIKE 'V2%'")
+    counts = [("manifest", int(release.manifest["number_of_articles"])), ("embeddings", read_tables(spark, release.database)["embeddings"].count())]
+    return spark.createDataFrame(counts, "check_id string, violations long").union(checks)
+
+
+@query(_ranking(WEIGHTS, n=5))
+def recommend(spark, folder):
+    """The entry point: prepared queries over a release and the index that is stored beside it."""
+    release = _released(spark, folder)
+    asked = [
+        prepare_query(title=r.text, purpose=f"This study aims to {r.text}", context=f"{r.text} women in Honduras, DOI 10.5555/abc.77", query_id=f"b{r.item_id}")
+        for r in C.table(spark, folder, "benchmark").select("item_id", "text").collect()
+    ]
+    return recommend_articles(spark, release.database, asked, n=5, engine="lexical").table
+
+
 # Integrity checks.
 
 
