@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets go of what finished steps hold: Spark removes shuffle files once their plans are collected in the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_names(columns: list[str], *wanted: str) -> list[str]:
     """Column names like ``wanted`` that none of ``columns`` has, whatever the case."""
     taken, out = {c.lower() for c in columns}, []

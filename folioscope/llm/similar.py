@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, fresh_names, spread_join
+from folioscope.llm.common import cut, fresh_names, settle, spread_join
 from folioscope.llm.odd_sketch import component_ids, linked_components, named, sketched, text_key
 from folioscope.llm.simhash import components, fingerprints, links
 
@@ -56,7 +56,11 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``doc_id, component_id`` of every row with a ``doc_id``."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     nodes = sketched(rows, shingle, percent)
-    roots = linked_components(rows, nodes, shingle, percent, simhash_pairs(rows, nodes))
+    met = simhash_pairs(rows, nodes)
+    settle(docs.sparkSession)
+    roots = linked_components(rows, nodes, shingle, percent, met)
+    # The whole texts were dealt out in there; nothing that follows needs it.
+    settle(docs.sparkSession)
     tied = cut(_tied(rows, nodes))
     if not tied.isEmpty():
         # Only the components of their ends have to be joined.
@@ -81,4 +85,5 @@ def keep_one_similar(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     """``docs``, same columns, with the smallest ``doc_id`` of every group."""
     (gone_id,) = fresh_names(docs.columns, "gone")
     gone = cut(_grouped(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct())
+    settle(docs.sparkSession)
     return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti").select(*docs.columns)
