@@ -211,12 +211,48 @@ def _quality_sql(alpha: float = 0.01, delta: float = 0.05) -> str:
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(broken) = 0 AS kept, array_to_string(broken, ',') AS rejected_by FROM j"""
 
 
+def _spelling_sql(least_length: int = 5, least: int = 3, damage: int = 97, ratio: int = 2) -> str:
+    # DuckDB has no CRC-32, so its table is made by its rule and the bytes are folded over it.
+    crc = "list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, (2 * k + 1)::BIGINT, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT]))"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    return f"""WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {step}) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+        r AS MATERIALIZED (SELECT doc_id, {_LOWER.format('run')} AS run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+        h AS (SELECT run, c, xor({crc}, 4294967295::BIGINT) AS h FROM (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r) CROSS JOIN tab),
+        w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % {damage} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h) WHERE length(word) >= {least_length} GROUP BY word HAVING sum(c) >= {least}),
+        p AS MATERIALIZED (SELECT word, n, left(word, i - 1) || '?' || substr(word, i + 1) AS swap, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        near AS MATERIALIZED (SELECT a.word, b.word AS v, b.n AS m FROM p a JOIN p b ON a.swap = b.swap AND a.word <> b.word UNION SELECT p.word, w.word, w.n FROM p JOIN w ON p.less = w.word UNION SELECT w.word, p.word, p.n FROM p JOIN w ON p.less = w.word),
+        best AS (SELECT word, count(*) AS n_near, first(v ORDER BY m DESC, v) AS v, max(m) AS m FROM near GROUP BY word),
+        f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {ratio} * n THEN v END AS form, CASE WHEN m >= {ratio} * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+        walk AS (SELECT word, word AS here FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.here = f.word WHERE f.form IS NOT NULL),
+        ends AS (SELECT walk.word, walk.here AS root FROM walk JOIN f ON walk.here = f.word WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)"""
+
+
+def _near_copies_sql(percent: int = 80) -> str:
+    words = _TOKENS.replace("coalesce(text, '')", _LOWER.format("coalesce(text, '')"))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {words} AS words FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END)) AS g FROM d),
+        t AS MATERIALIZED (SELECT row_number() OVER () AS node, * FROM (SELECT g, len(g) AS n, min(doc_id) AS low FROM s WHERE len(g) > 0 GROUP BY g)),
+        x AS MATERIALIZED (SELECT node, n, unnest(g) AS k FROM t),
+        o AS (SELECT node, n, k, row_number() OVER (PARTITION BY node ORDER BY df, k) AS place FROM x JOIN (SELECT k, count(*) AS df FROM x GROUP BY k) USING (k)),
+        p AS MATERIALIZED (SELECT * FROM o WHERE place <= n - (n * {percent} + 99) // 100 + 1),
+        c AS (SELECT DISTINCT a.node AS u, b.node AS v FROM p a JOIN p b ON a.k = b.k AND a.node < b.node AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)),
+        e AS (SELECT u, v FROM (SELECT u, v, a.n AS n, b.n AS m, len(list_intersect(a.g, b.g)) AS k FROM c JOIN t a ON a.node = u JOIN t b ON b.node = v) WHERE 100 * k >= {percent} * (n + m - k)),
+        pair AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        r AS (SELECT node, node AS other FROM t UNION SELECT r.node, pair.v FROM r JOIN pair ON r.other = pair.u),
+        f AS (SELECT r.node, min(t.low) AS low FROM r JOIN t ON r.other = t.node GROUP BY r.node)
+        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE f.low END AS component_id, s.doc_id IS NOT DISTINCT FROM (CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE f.low END) AS kept
+        FROM s LEFT JOIN t USING (g) LEFT JOIN f USING (node)"""
+
+
 #: The operators that SQL can express; the others are held against brute force in the tests.
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": _mixing_sql(),
     "op7_secrets": _secrets_sql(),
     "op9_suffix_dedup": _repeats_sql(),
     "op10_quality": _quality_sql(),
+    "op12_spelling": _spelling_sql(),
+    "op13_odd_sketch": _near_copies_sql(),
     "op2_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
         last AS (SELECT body, max(page_id) AS top FROM p GROUP BY body)
         SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
