@@ -210,6 +210,11 @@ def near_duplicates(articles: DataFrame, threshold: float = 0.08, max_records: i
     )
 
 
+def processed_order() -> list[Column]:
+    """By title and year, missing years last; articles that agree in both by their ids."""
+    return [F.asc("title_normalized"), F.asc_nulls_last("year"), F.asc("article_id")]
+
+
 @dataclass
 class Processed:
     articles: DataFrame
@@ -221,6 +226,16 @@ class Processed:
         """Pairs of articles with nearly equal titles; looked for when they are first asked for."""
         return near_duplicates(keep(self.articles))
 
+    @property
+    def ordered(self) -> DataFrame:
+        """The articles by title and year, missing years last."""
+        return self.articles.orderBy(*processed_order())
+
+    def write(self, path: str) -> None:
+        """Written in that order: each file holds a range, and files follow one another by name."""
+        order = processed_order()
+        self.articles.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
 
 def with_ids(records: DataFrame) -> DataFrame:
     return records.withColumn("article_id", article_id()).withColumn("content_hash", content_hash())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.api import recommend_articles
 from folioscope.config import DIMENSIONS
 from folioscope.functions import text as X
+from folioscope.functions.vectors import pack_vector, unpack_vector
 from folioscope.operators import ingest, lexical, semantic, stored_index, validation, versioning
 from folioscope.operators.keep import keep
 from folioscope.operators.queries import normalize_weights, prepare_query
@@ -418,6 +419,14 @@ def cosine_scores(spark, folder):
     return found.select("query_id", "article_id", "dimension", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
 
 
+@query("SELECT vec_id, 684::INTEGER AS n_chars, len(embedding)::INTEGER AS n, embedding[1]::DOUBLE AS first, embedding[33]::DOUBLE AS middle, embedding[64]::DOUBLE AS last FROM embeddings")
+def vector_export(spark, folder):
+    """Vectors as text and back."""
+    packed = C.table(spark, folder, "embeddings").select("vec_id", pack_vector(F.col("embedding")).alias("t"))
+    back = packed.withColumn("v", unpack_vector(F.col("t")))
+    return back.select("vec_id", F.length("t").alias("n_chars"), F.size("v").alias("n"), *(F.get("v", F.lit(i)).alias(c) for c, i in (("first", 0), ("middle", 32), ("last", 63))))
+
+
 ALL_WEIGHTS = normalize_weights(None, list(DIMENSIONS))
 
 
