@@ -1,14 +1,16 @@
 """Exact substring dedup by externally sorted suffix arrays.
 
 A byte goes if a string of ``width`` bytes that covers it also starts in a document
-with a smaller ``doc_id``.  The work is cut into shards that need no merging:
+with a smaller ``doc_id``.  Passages of some hundred bytes, cut where the bytes say so,
+that stand whole in a smaller document go first, by their digests: long copies are then
+one span, not one for every segment.  The rest is cut into shards that need no merging:
 
 1. every start of a ``width``-byte string is named by the smallest hash among the
    ``GRAM``-byte strings inside it, so equal strings share a name wherever they are;
 2. runs of starts with one name become segments.  Of equal segments that a task holds
    together, the larger documents lose theirs there and then, and only the one of the
    smallest document goes on; tasks pack what is left, compressed, into one row for
-   every shard of names: this is the only time that texts move before the result is applied;
+   every shard of names;
 3. a shard merges equal segments in the same way, leaves out those whose gram and the
    bytes about it are found in one document only, and sorts the suffixes of the others
    in external memory (:mod:`folioscope.llm.suffix_sort`); neighbours whose common
@@ -42,8 +44,9 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import fresh_names
@@ -51,6 +54,8 @@ from folioscope.llm.suffix_sort import room, sorted_suffixes
 
 GRAM = 12
 PIECE = 1 << 20
+#: A passage begins at one in so many bytes on average, and so many bytes after another at least.
+PASSAGE, APART = 256, 64
 #: Spans that a task holds before it hands them on.
 SPANS = 1 << 21
 #: Documents, row keys, begins and ends.
@@ -96,21 +101,112 @@ def named_runs(pieces: list[tuple[int, int, bytes]], width: int) -> tuple[np.nda
     return raw, piece[first], first, stop - first, (names[first] >> np.uint64(16)).view(np.int64), gram.astype(np.uint8)
 
 
-def _pieces(texts: Iterator[bytes], width: int, limit: int = 2 * PIECE) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of pieces of about ``limit`` bytes; neighbours of a cut text share ``width - 1`` bytes."""
+def _open_parts(raw: bytes, settled: list[tuple[int, int]], width: int) -> Iterator[tuple[int, bytes]]:
+    """Place and bytes of the strings that start in none of the settled passages."""
+    at = 0
+    for s, e in sorted(settled):
+        if at < s:
+            yield at, raw[at : s + width - 1]
+        at = e - width + 1
+    yield at, raw[at:]
+
+
+def _pieces(texts: Iterator[tuple[bytes, list[tuple[int, int]]]], width: int, limit: int = 2 * PIECE) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of pieces of about ``limit`` bytes of what is not settled; neighbours of a cut text share ``width - 1`` bytes."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
-    for row, raw in enumerate(texts):
-        for at in range(0, len(raw) - width + 1, PIECE):
-            held.append((row, at, raw[at : at + PIECE + width - 1]))
-            size += len(held[-1][2])
-            if size >= limit:
-                yield held
-                held, size = [], 0
+    for row, (raw, settled) in enumerate(texts):
+        for begin, part in _open_parts(raw, settled, width):
+            for at in range(0, len(part) - width + 1, PIECE):
+                held.append((row, begin + at, part[at : at + PIECE + width - 1]))
+                size += len(held[-1][2])
+                if size >= limit:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 
 
+def passages(texts: list[bytes], width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts end to end, and text, begin and end there of their passages.
+
+    Passages begin where the bytes say so.  Each overlaps the next by ``width - 1`` bytes,
+    so every string of ``width`` bytes starts in one passage and lies in it.
+    """
+    raw = b"".join(texts)
+    ends = np.cumsum([len(t) for t in texts])
+    words = np.ndarray((max(0, len(raw) - 7),), "<u8", raw, strides=(1,))
+    hit = np.flatnonzero(words * MIX[0] < np.uint64((1 << 64) // PASSAGE))
+    of = np.searchsorted(ends, hit, side="right")
+    inside = hit + 8 <= ends[of]
+    hit, of = hit[inside], of[inside]
+    apart = np.ones(len(hit), bool)
+    apart[1:] = (np.diff(hit) >= APART) | (np.diff(of) > 0)
+    begin = np.union1d(hit[apart], ends - [len(t) for t in texts])
+    begin = begin[begin < len(raw)]
+    of = np.searchsorted(ends, begin, side="right")
+    end = np.minimum(np.append(begin[1:], len(raw)) + width - 1, ends[of])
+    whole = end - begin >= width
+    return raw, of[whole], begin[whole], end[whole]
+
+
+def settled_passages(docs: DataFrame, width: int) -> DataFrame:
+    """``_doc, _row_key, _settled``: begin and end of the passages that also stand, whole, in a smaller document.
+
+    All that starts in them goes, and what equals it finds it in the smaller document, so
+    they need no suffixes.  Of the passages that a task holds together, only the smallest
+    document's meet those of other tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
+            texts, size, found, first = [], 0, [], 0
+            for k, t in enumerate(batch.column("raw")):
+                texts.append(t.as_py())
+                size += len(texts[-1])
+                if size >= 2 * PIECE or k == len(ids) - 1:
+                    raw, of, begin, end = passages(texts, width)
+                    digests = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(begin.tolist(), end.tolist()))
+                    base = np.cumsum([0, *map(len, texts)])[of]
+                    found.append((np.frombuffer(digests, np.int64).reshape(-1, 2), of + first, begin - base, end - base))
+                    texts, size, first = [], 0, k + 1
+            if not found:
+                continue
+            key, of, begin, end = (np.concatenate(x) for x in zip(*found))
+            high, low, doc, row_key = key[:, 0].copy(), key[:, 1].copy(), ids[of], rows[of]
+            order = np.lexsort((doc, low, high))
+            heads = np.flatnonzero(np.concatenate(([len(order) > 0], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0))))
+            lost = np.empty(len(order), bool)
+            lost[order] = doc[order] > np.repeat(doc[order[heads]], np.diff(np.append(heads, len(order))))
+            # What is lost already meets nothing, so it gets a key of its own.
+            high[lost], low[lost] = row_key[lost] ^ (doc[lost].view(np.uint64) * MIX[0]).view(np.int64), begin[lost]
+            columns = [high, low, doc, row_key, begin.astype(np.int32), end.astype(np.int32), lost]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["high", "low", "_doc", "_row_key", "s", "e", "lost"])
+
+    texts = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width)).select(
+        F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row_key"), F.encode("text", "UTF-8").alias("raw")
+    )
+    found = texts.mapInArrow(run, "high long, low long, _doc long, _row_key long, s int, e int, lost boolean")
+    least = F.min("_doc").over(Window.partitionBy("high", "low"))
+    settled = found.withColumn("least", least).where("lost OR least < _doc")
+    return settled.groupBy("_doc", "_row_key").agg(F.collect_list(F.struct("s", "e")).alias("_settled"))
+
+
+def compressed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, _doc, _row_key, raw``: the texts of all rows, compressed before they move."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=7)
+        for batch in batches:
+            raw = pa.array([None if t is None else coder.compress(t) for t in batch.column("raw").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_doc"), batch.column("_row_key"), raw], ["doc_id", "_doc", "_row_key", "raw"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_row_key"), F.encode("text", "UTF-8").alias("raw"))
+    return texts.mapInArrow(squeeze, f"doc_id {kind}, _doc long, _row_key long, raw binary")
+
+
 def _squeeze(*columns: np.ndarray) -> bytes:
     """Columns of one length, bytes of equal weight side by side, compressed."""
     return zstandard.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), 3)
@@ -209,20 +305,27 @@ class Segments(NamedTuple):
         return out, spans
 
 
-def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int = 16 << 20) -> DataFrame:
+def packed_segments(texts: DataFrame, width: int, shards: int, flush_bytes: int = 16 << 20) -> DataFrame:
     """``shard, docs, places, runs, text``: the segments that a task has for a shard, compressed; or in ``done`` spans that are settled.
 
-    Of equal segments that a task holds at once only those in their smallest document
+    ``texts`` are :func:`compressed_texts` with their :func:`settled_passages`, which make
+    no segments.  Of equal segments that a task holds at once only those in their smallest document
     leave it.  The larger documents lose all of it, so their spans are known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        whole: list[Spans] = []
         size = 0
 
         def row(shard: int, *blobs: bytes | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "docs", "places", "runs", "text", "done"])
 
+        def done(spans: list[Spans]) -> Iterator[pa.RecordBatch]:
+            doc, row_key, begin, end = _joined_spans(tuple(np.concatenate(x) for x in zip(*spans)))
+            if len(doc):
+                yield row(int(row_key[0] % shards), None, None, None, None, _squeeze(doc, row_key, begin, end))
+
         def flush() -> Iterator[pa.RecordBatch]:
             raws, doc, row_key, at, start, n, key, gram = (list(x) for x in zip(*held))
             base = np.cumsum([0, *map(len, raws)])
@@ -232,8 +335,8 @@ def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int =
             size = n + width - 1
             rep = first_equals(raw, start, size, doc)
             lost = np.flatnonzero(doc[rep] < doc)
-            if len(lost):
-                yield row(int(row_key[lost[0]] % shards), None, None, None, None, _squeeze(*_joined_spans((doc[lost], row_key[lost], at[lost], at[lost] + size[lost]))))
+            yield from done([*whole, (doc[lost], row_key[lost], at[lost], at[lost] + size[lost])])
+            whole.clear()
             left = np.flatnonzero(doc[rep] == doc)
             order = left[np.lexsort((rep[left], key[left] % shards))]
             shard = key[order] % shards
@@ -251,8 +354,13 @@ def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int =
                 yield row(int(shard[s]), owners, _squeeze(np.diff(at[mine], prepend=0)), runs, text, None)
 
         for batch in batches:
-            ids, rows = batch.column("doc").to_numpy(), batch.column("row_key").to_numpy()
-            for pieces in _pieces((t.as_py() for t in batch.column("raw")), width):
+            batch = batch.filter(pc.and_(batch.column("_doc").is_valid(), batch.column("raw").is_valid()))
+            ids, rows = batch.column("_doc").to_numpy(), batch.column("_row_key").to_numpy()
+            settled = [[(x["s"], x["e"]) for x in spans or ()] for spans in batch.column("_settled").to_pylist()]
+            of = np.repeat(np.arange(len(ids)), [len(x) for x in settled])
+            if len(of):
+                whole.append((ids[of], rows[of], *np.array([p for x in settled for p in x], np.int64).T))
+            for pieces in _pieces(((zstandard.decompress(t.as_py()), x) for t, x in zip(batch.column("raw"), settled)), width):
                 raw, of, start, n, key, gram = named_runs(pieces, width)
                 line = np.array([p[0] for p in pieces])[of]
                 begin = np.cumsum([0, *(len(p[2]) for p in pieces[:-1])])
@@ -264,10 +372,9 @@ def packed_segments(docs: DataFrame, width: int, shards: int, flush_bytes: int =
                     held, size = [], 0
         if held:
             yield from flush()
+        elif whole:
+            yield from done(whole)
 
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row_key"), F.encode("text", "UTF-8").alias("raw")
-    )
     return texts.mapInArrow(run, "shard int, docs binary, places binary, runs binary, text binary, done binary")
 
 
@@ -480,10 +587,12 @@ def _span_rows(spans: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(row_key[heads]), *lists], ["doc", "row_key", "s", "e"])
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 64 << 20, shards: int | None = None) -> DataFrame:
-    """``doc, row_key, s, e``: begins and ends, by twos, of unmerged byte spans of repeats, for the documents that have any.
+def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 64 << 20, shards: int | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """``doc, row_key, spans``: begins and ends, by twos, of unmerged byte spans of repeats, for the documents that have any.
 
-    Begins and ends come in lists of lists, one for each shard.
+    Begins and ends come in lists of lists, one for each shard that found some and for
+    each pack of settled ones.  ``texts`` are the
+    :func:`compressed_texts` of ``docs``, if the caller needs them too.
     """
     if not GRAM + 8 <= width <= 200:
         raise ValueError(f"width must lie between {GRAM + 8} and 200 bytes")
@@ -519,7 +628,9 @@ def repeated_spans(docs: DataFrame, width: int = 50, memory: int = 64 << 20, sha
             spool.spans.extend(sorted_spans(Segments.joined(waiting), width, memory))
         yield from settled(spool.spans, 0)
 
-    packed = packed_segments(docs, width, shards).repartitionById(shards, "shard")
+    texts = compressed_texts(docs) if texts is None else texts
+    open_texts = texts.join(settled_passages(docs, width), ["_doc", "_row_key"], "left")
+    packed = packed_segments(open_texts, width, shards).repartitionById(shards, "shard")
     rows = packed.mapInArrow(run, "doc long, row_key long, s array<int>, e array<int>")
     return rows.groupBy("doc", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
@@ -581,16 +692,8 @@ def repeat_digests(docs: DataFrame, **options) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
             )
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdCompressor(level=7)
-        for batch in batches:
-            raw = pa.array([None if t is None else coder.compress(t) for t in batch.column("raw").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_doc"), batch.column("_row_key"), raw], ["doc_id", "_doc", "_row_key", "raw"])
-
-    # Texts are compressed before they move to their spans.
-    texts = docs.select("doc_id", F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_row_key"), F.encode("text", "UTF-8").alias("raw"))
-    found = repeated_spans(docs, **options).select(F.col("doc").alias("_doc"), F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans"))
-    packed = texts.mapInArrow(squeeze, f"doc_id {kind}, _doc long, _row_key long, raw binary")
+    packed = compressed_texts(docs)
+    found = repeated_spans(docs, texts=packed, **options).select(F.col("doc").alias("_doc"), F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans"))
     return packed.join(found, ["_doc", "_row_key"], "left").select("doc_id", "raw", "_spans").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
     )

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from folioscope.llm import suffix_dedup, suffix_sort
 from folioscope.llm.queries import op9_suffix_dedup
-from folioscope.llm.suffix_dedup import Segments, Spool, remove_repeats, repeat_digests, sorted_spans, varied_segments
+from folioscope.llm.suffix_dedup import Segments, Spool, passages, remove_repeats, repeat_digests, repeated_spans, sorted_spans, varied_segments
 
 
 def brute(rows, width=50):
@@ -154,3 +154,42 @@ def test_equal_hashes_do_not_merge_different_segments(monkeypatch):
     size = np.full(9, 60)
     rep = suffix_dedup.first_equals(raw, np.cumsum(size) - size, size, np.arange(9)[::-1])
     assert all(rep[k] == k or raw[60 * rep[k]] == raw[60 * k] for k in range(9))
+
+
+def near_copies(rng, n=12):
+    """One task each: copies of a long text, some with changed, lost or repeated bytes."""
+    base = "".join(rng.choice("abcdé \n") for _ in range(9000))
+    rows = [(n, base), (n, base), (n, base[::-1])]
+    for i in range(n):
+        text = base
+        for _ in range(i % 4):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "x", text[at - 300 : at]]) + text[at + rng.randrange(3) :]
+        rows.append((i, text))
+    return rows
+
+
+def test_passages_hold_every_string_once():
+    rng = random.Random(4)
+    texts = [t.encode() for _, t in near_copies(rng)] + [b"", b"short", b"a" * 5000, b"b" * 50]
+    rng.shuffle(texts)
+    raw, of, begin, end = passages(texts, 50)
+    base = np.cumsum([0, *map(len, texts)])
+    for k, t in enumerate(texts):
+        own = sorted((b - base[k], e - base[k]) for b, e in zip(begin[of == k], end[of == k]))
+        assert [a for b, e in own for a in range(b, e - 49)] == list(range(len(t) - 49))
+        assert all(0 <= b and e <= len(t) for b, e in own)
+    # They do not depend on what stands about a text.
+    cut = lambda t: [(b, e) for _, b, e in zip(*(x.tolist() for x in passages([t], 50)[1:]))]
+    assert cut(texts[0]) == [(b, e) for k, b, e in zip(of, begin, end) if k == 0]
+
+
+def test_copies_return_no_more_rows_from_more_shards(spark):
+    """A document that another repeats at length came back once from every shard."""
+    rows = near_copies(random.Random(3))
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    assert found(repeat_digests(df, shards=7)) == brute(rows)
+    made = {r.doc: len(r.spans) for r in repeated_spans(df, shards=200).collect()}
+    # Copies without a change, the one with the smallest id apart, and all of them.
+    assert set(made) == set(range(1, 13)) and all(made[d] <= 2 for d in (4, 8, 12)), made
+    assert sum(made.values()) <= 120, made
