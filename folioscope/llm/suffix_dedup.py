@@ -61,6 +61,8 @@ SPANS = 1 << 21
 #: Documents, row keys, begins and ends.
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 POSITION = np.uint64(0xFFFF)
+#: Starts that are named at once; their grams have places below 1 << 16.
+BLOCK = 1 << 15
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -87,18 +89,23 @@ def named_runs(pieces: list[tuple[int, int, bytes]], width: int) -> tuple[np.nda
     raw = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     lengths = np.array([len(p[2]) for p in pieces])
     ends = np.cumsum(lengths)
-    hashes = _hashes(raw, slice(None)) | np.arange(len(raw) - GRAM + 1, dtype=np.uint64) & POSITION
-    names = _window_min(hashes, width - GRAM + 1)
-    piece = np.repeat(np.arange(len(pieces)), lengths)[: len(names)]
+    hashes = _hashes(raw, slice(None))
+    gram = np.empty(len(raw) - width + 1, np.int64)
+    for s in range(0, len(gram), BLOCK):
+        # Of equal grams the leftmost names a string; its place in the block fits below the hash.
+        part = hashes[s : s + BLOCK + width - GRAM]
+        least = _window_min(part | np.arange(len(part), dtype=np.uint64), width - GRAM + 1)
+        gram[s : s + len(least)] = (least & POSITION).view(np.int64) + s
+    piece = np.repeat(np.arange(len(pieces)), lengths)[: len(gram)]
     last = ends[piece] - width
-    at = np.arange(len(names))
-    fresh = np.ones(len(names), bool)
-    fresh[1:] = (names[1:] != names[:-1]) | (piece[1:] != piece[:-1])
+    at = np.arange(len(gram))
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (piece[1:] != piece[:-1])
     first = np.flatnonzero(fresh & (at <= last))
-    following = np.append(np.flatnonzero(fresh), len(names))
+    following = np.append(np.flatnonzero(fresh), len(gram))
     stop = np.minimum(following[np.searchsorted(following, first, side="right")], last[first] + 1)
-    gram = (names[first] - first.astype(np.uint64)) & POSITION
-    return raw, piece[first], first, stop - first, (names[first] >> np.uint64(16)).view(np.int64), gram.astype(np.uint8)
+    names = (hashes[gram[first]] >> np.uint64(16)).view(np.int64)
+    return raw, piece[first], first, stop - first, names, (gram[first] - first).astype(np.uint8)
 
 
 def _open_parts(raw: bytes, settled: list[tuple[int, int]], width: int) -> Iterator[tuple[int, bytes]]:

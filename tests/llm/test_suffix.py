@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from folioscope.llm import suffix_dedup, suffix_sort
 from folioscope.llm.queries import op9_suffix_dedup
-from folioscope.llm.suffix_dedup import Segments, Spool, passages, remove_repeats, repeat_digests, repeated_spans, sorted_spans, varied_segments
+from folioscope.llm.suffix_dedup import Segments, Spool, named_runs, passages, remove_repeats, repeat_digests, repeated_spans, sorted_spans, varied_segments
 
 
 def brute(rows, width=50):
@@ -193,3 +193,19 @@ def test_copies_return_no_more_rows_from_more_shards(spark):
     # Copies without a change, the one with the smallest id apart, and all of them.
     assert set(made) == set(range(1, 13)) and all(made[d] <= 2 for d in (4, 8, 12)), made
     assert sum(made.values()) <= 120, made
+
+
+def test_a_string_has_one_name_and_gram_wherever_it_stands():
+    """Of equal grams another one was taken where places passed a multiple of 65,536."""
+    rng = random.Random(8)
+    shared = b"0123456789 " + b"thble " * 12 + b"of of of of of of of of of of of of of of "
+    pad = bytes(rng.randrange(97, 123) for _ in range(65_600))
+
+    def named(before):
+        raw, _, first, n, name, gram = named_runs([(0, 0, pad[:before] + shared + pad[:60])], 50)
+        held = {f + k: (x, f + g - before) for f, c, x, g in zip(*(y.tolist() for y in (first, n, name, gram))) for k in range(c)}
+        assert sorted(held) == list(range(len(raw) - 49))
+        return [held[before + k] for k in range(len(shared) - 49)]
+
+    for before in [1, *range(32_600, 32_780, 7), *range(65_390, 65_590, 7)]:
+        assert named(before) == named(0)
