@@ -205,9 +205,8 @@ def idf_tables(spark, folder):
 
 @query("SELECT dimension, article_id, round(norm, 6) AS norm FROM norms")
 def doc_norms(spark, folder):
-    docs = _documents(spark, folder)
-    counts = lexical.term_counts(docs)
-    return lexical.document_norms(counts, lexical.term_table(counts, lexical.corpus_stats(docs))).withColumn("norm", F.round("norm", 6))
+    docs = lexical.build_index(_documents(spark, folder)).documents.where("norm > 0")
+    return docs.select("dimension", "article_id", F.round("norm", 6).alias("norm"))
 
 
 @query("SELECT dimension, n, round(avgdl, 6) AS avgdl FROM stats")
@@ -219,7 +218,7 @@ def avg_doc_length(spark, folder):
 
 
 def _index(spark, folder):
-    return lexical.build_index(keep(_documents(spark, folder)))
+    return lexical.build_index(_documents(spark, folder))
 
 
 def _asked(spark, folder, weights=WEIGHTS):
@@ -275,9 +274,9 @@ def _ranking(weights: dict[str, float], where: str = "TRUE", n: int = TOP, sourc
 
 def _stored(spark, folder):
     """The articles and their stored index, which later queries of the session open."""
-    articles = keep(C.dimension_articles(spark, folder))
+    articles, documents = lexical.kept_articles(C.dimension_articles(spark, folder))
     where = f"{spark.sparkContext.getCheckpointDir()}/index-{folder.strip('/').replace('/', '-').replace(':', '')}"
-    return articles, stored_index.index_of(spark, where, articles, lexical.build_lexical_documents(articles))
+    return articles, stored_index.index_of(spark, where, articles, documents)
 
 
 def _searched(spark, folder, weights=WEIGHTS, filters=Filters(), n=TOP):
@@ -293,8 +292,8 @@ def rank_lexical(spark, folder):
 @query(_ranking(WEIGHTS))
 def rank_lexical_batch(spark, folder):
     """The same result from an index that is built and read in one go, with the scores of all pairs."""
-    articles = keep(C.dimension_articles(spark, folder))
-    index = lexical.build_index(keep(lexical.build_lexical_documents(articles)))
+    articles, documents = lexical.kept_articles(C.dimension_articles(spark, folder))
+    index = lexical.build_index(documents)
     return ranking.rank_lexical(articles, index, _asked(spark, folder), n=TOP)
 
 
